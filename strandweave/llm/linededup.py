@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.core.session import checkpoint, ship
+from strandweave.core.session import checkpoint, extended, ship
 from strandweave.llm import textscan
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -126,7 +126,7 @@ def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs
     ship(docs.sparkSession)
     n_lines, n_dropped = "n_lines", "n_dropped"
     rest = [c for c in docs.columns if c.lower() not in (n_lines, n_dropped)]
-    schema = docs.select(*rest).schema.add(n_lines, "long").add(n_dropped, "long")
+    schema = extended(docs.select(*rest), n_lines="long", n_dropped="long")
 
     def run(batches):
         for batch in batches:

@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandweave.core.session import read
-from strandweave.llm import linededup, packing, sharding, simhash, toxicity
+from strandweave.llm import ann, decontaminate, langid, linededup, packing, repeats, sharding, simhash, toxicity
+
+
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_passages(read(spark, sf_dir, "documents"), window=50)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -20,6 +33,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(read(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(read(spark, sf_dir, "documents"), window=13).drop("kept")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(read(spark, sf_dir, "documents"), k=4, radius=4)
 
@@ -28,7 +49,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), 16)
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op5_packing, op6_line_dedup, op9_simhash, op10_sharding)}
+QUERIES = {f.__name__: f for f in (
+        op1_ann, op2_toxicity, op3_suffix_array, op4_language_id, op5_packing, op6_line_dedup, op7_substring_dedup, op8_decontamination,
+        op9_simhash, op10_sharding,
+    )}
 
 ORACLES = {
     "op6_line_dedup": r"""

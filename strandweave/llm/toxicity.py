@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.core.session import ship
+from strandweave.core.session import extended, ship
 from strandweave.llm import textscan
 
 BUCKETS = 1 << 18  #: hashed word features
@@ -182,6 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The documents with a column ``score``, the chance of being toxic from the whole text alone; null texts count as empty."""
     ship(docs.sparkSession)
+    docs = docs.drop("score")
     names = [*docs.columns, "score"]
     at = docs.columns.index("text")
 
@@ -189,7 +190,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for part in textscan.runs(batches):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.scores(part.column(at)))], names=names)
 
-    return docs.mapInArrow(run, docs.schema.add("score", "double") if "score" not in docs.columns else docs.schema)
+    return docs.mapInArrow(run, extended(docs, score="double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
