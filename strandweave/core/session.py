@@ -8,7 +8,9 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType()}
 PACKAGE = Path(__file__).resolve().parents[1]
 _shipped: dict[str, str] = {}
 
@@ -64,3 +66,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def extended(df: DataFrame, **types: str) -> T.StructType:
+    """The frame's schema with more columns."""
+    return T.StructType([*df.schema.fields, *(T.StructField(k, _TYPES[v]) for k, v in types.items())])
