@@ -155,7 +155,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("rest", less(total)).withColumn("by_domain", smooth("in_domain", prior, DOMAIN_WEIGHT)).withColumn("by_host", smooth("in_host", F.col("by_domain"), HOST_WEIGHT))
     # chance of the declaration and of the suffix given the language, smoothed by their share of all pages
     given = lambda c: F.zip_with(c, "rest", lambda a, b: F.log((a + TABLE_WEIGHT * (plus(F.col(c)) + 1.0) / (whole + 1.0)) / (b + TABLE_WEIGHT)))
-    log = F.zip_with(F.zip_with("ll", F.transform("by_host", F.log), lambda a, b: a + b), F.zip_with(given("in_declared"), given("in_suffix"), lambda a, b: a + b), lambda a, b: a + b)
+    log = F.zip_with(F.zip_with("ll", F.transform("by_host", lambda x: F.log(x)), lambda a, b: a + b), F.zip_with(given("in_declared"), given("in_suffix"), lambda a, b: a + b), lambda a, b: a + b)
     rows = rows.withColumn("p", _normal(log))
     best = lambda c: F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position(c, F.array_max(c)).cast("int"))
     return rows.select("page_id", best("p").alias("lang"), F.array_max("p").alias("probability"), best("t").alias("text_lang"), "declared", "host")
