@@ -57,22 +57,22 @@ def ranking_metrics(cases: DataFrame, by: list[str]) -> DataFrame:
     expected credit where the k-th place falls into a tie.
     """
     c = curve(cases, by)
-    total = c.groupBy(*by).agg(F.sum("n").alias("N"), F.sum("pos").alias("P"))
+    total = c.groupBy(*by).agg(F.sum("n").alias("n_all"), F.sum("pos").alias("pos_all"))
     rows = c.join(F.broadcast(total), by) if by else c.crossJoin(F.broadcast(total))
-    ap = F.sum(F.when(F.col("P") > 0, F.col("pos") / F.col("P") * F.col("pos_to") / F.col("n_to")).otherwise(0.0))
+    ap = F.sum(F.when(F.col("pos_all") > 0, F.col("pos") / F.col("pos_all") * F.col("pos_to") / F.col("n_to")).otherwise(0.0))
     neg = F.col("n") - F.col("pos")
-    below = F.col("N") - F.col("P") - (F.col("n_to") - F.col("pos_to"))
+    below = F.col("n_all") - F.col("pos_all") - (F.col("n_to") - F.col("pos_to"))
     wins = F.sum((F.col("pos") * below + F.col("pos") * neg * 0.5).cast("double"))
     before = F.col("n_to") - F.col("n")
-    taken = F.greatest(F.lit(0), F.least(F.col("n"), F.col("P") - before))
+    taken = F.greatest(F.lit(0), F.least(F.col("n"), F.col("pos_all") - before))
     credit = F.sum(F.col("pos") * taken / F.col("n"))
-    out = rows.groupBy(*by, "N", "P").agg(ap.alias("pr_auc"), wins.alias("w"), credit.alias("c"))
-    share = F.col("P") / F.col("N")
-    both = (F.col("P") > 0) & (F.col("P") < F.col("N"))
+    out = rows.groupBy(*by, "n_all", "pos_all").agg(ap.alias("pr_auc"), wins.alias("w"), credit.alias("c"))
+    share = F.col("pos_all") / F.col("n_all")
+    both = (F.col("pos_all") > 0) & (F.col("pos_all") < F.col("n_all"))
     return out.select(
-        *by, F.col("N").alias("n"), F.col("P").alias("positives"), "pr_auc", F.when(both, (F.col("pr_auc") - share) / (1 - F.when(both, share).otherwise(0.0))).otherwise(0.0).alias("pr_auc_skill"),
-        F.when(both, F.col("w") / F.when(both, F.col("P") * (F.col("N") - F.col("P"))).otherwise(1)).otherwise(0.0).alias("roc_auc"),
-        F.when(F.col("P") > 0, F.col("c") / F.when(F.col("P") > 0, F.col("P")).otherwise(1)).otherwise(0.0).alias("top_k_accuracy"),
+        *by, F.col("n_all").alias("n"), F.col("pos_all").alias("positives"), "pr_auc", F.when(both, (F.col("pr_auc") - share) / (1 - F.when(both, share).otherwise(0.0))).otherwise(0.0).alias("pr_auc_skill"),
+        F.when(both, F.col("w") / F.when(both, F.col("pos_all") * (F.col("n_all") - F.col("pos_all"))).otherwise(1)).otherwise(0.0).alias("roc_auc"),
+        F.when(F.col("pos_all") > 0, F.col("c") / F.when(F.col("pos_all") > 0, F.col("pos_all")).otherwise(1)).otherwise(0.0).alias("top_k_accuracy"),
     )
 
 

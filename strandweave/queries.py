@@ -443,22 +443,22 @@ def _cases(spark, d) -> DataFrame:
 CURVE = CASES + ", g AS (SELECT stratum, predicted, count(*) AS n, sum(label) AS pos FROM cases GROUP BY ALL), c AS (SELECT *, sum(n) OVER w AS nt, sum(pos) OVER w AS pt, sum(n) OVER (PARTITION BY stratum) AS nn, sum(pos) OVER (PARTITION BY stratum) AS pp FROM g WINDOW w AS (PARTITION BY stratum ORDER BY predicted DESC))"
 
 
-@query("pr_auc", f"WITH {CURVE}, a AS (SELECT stratum, any_value(nn)::BIGINT AS n, any_value(pp)::BIGINT AS positives, sum(pos / pp::DOUBLE * pt / nt) AS ap FROM c GROUP BY stratum) SELECT stratum, n, positives, round(ap, 6) AS pr_auc, round((ap - positives / n) / (1 - positives / n), 6) AS pr_auc_skill FROM a")
+@query("pr_auc", f"WITH {CURVE}, a AS (SELECT stratum, any_value(nn)::BIGINT AS n, any_value(pp)::BIGINT AS positives, sum(CASE WHEN pp > 0 THEN pos / pp::DOUBLE * pt / nt ELSE 0 END) AS ap FROM c GROUP BY stratum) SELECT stratum, n, positives, round(ap, 6) AS pr_auc, round(CASE WHEN positives > 0 AND positives < n THEN (ap - positives / n) / (1 - positives / n) ELSE 0 END, 6) AS pr_auc_skill FROM a")
 def pr_auc(spark, d):
     return metrics.ranking_metrics(_cases(spark, d), ["stratum"]).select("stratum", "n", "positives", "pr_auc", "pr_auc_skill")
 
 
-@query("roc_auc", f"WITH {CASES}, r AS (SELECT stratum, label, rank() OVER (PARTITION BY stratum ORDER BY predicted) + (count(*) OVER (PARTITION BY stratum, predicted) - 1) / 2.0::DOUBLE AS rk FROM cases), s AS (SELECT stratum, sum(rk) FILTER (label = 1) AS sr, sum(label) AS p, count(*) - sum(label) AS q FROM r GROUP BY stratum) SELECT stratum, round((sr - p * (p + 1) / 2.0) / (p * q), 6) AS roc_auc FROM s")
+@query("roc_auc", f"WITH {CASES}, r AS (SELECT stratum, label, rank() OVER (PARTITION BY stratum ORDER BY predicted) + (count(*) OVER (PARTITION BY stratum, predicted) - 1) / 2.0::DOUBLE AS rk FROM cases), s AS (SELECT stratum, sum(rk) FILTER (label = 1) AS sr, sum(label) AS p, count(*) - sum(label) AS q FROM r GROUP BY stratum) SELECT stratum, round(CASE WHEN p > 0 AND q > 0 THEN (sr - p * (p + 1) / 2.0) / (p * q) ELSE 0 END, 6) AS roc_auc FROM s")
 def roc_auc(spark, d):
     return metrics.ranking_metrics(_cases(spark, d), ["stratum"]).select("stratum", "roc_auc")
 
 
-@query("top_k_accuracy", f"WITH {CURVE} SELECT stratum, round(sum(pos * greatest(0, least(n, pp - (nt - n))) / n::DOUBLE) / any_value(pp), 6) AS top_k_accuracy FROM c GROUP BY stratum")
+@query("top_k_accuracy", f"WITH {CURVE} SELECT stratum, round(sum(pos * greatest(0, least(n, pp - (nt - n))) / n::DOUBLE) / greatest(any_value(pp), 1), 6) AS top_k_accuracy FROM c GROUP BY stratum")
 def top_k_accuracy(spark, d):
     return metrics.ranking_metrics(_cases(spark, d), ["stratum"]).select("stratum", "top_k_accuracy")
 
 
-@query("mcc_brier", f"WITH {CASES}, s AS (SELECT stratum, count(*) FILTER (predicted >= 0.5 AND label = 1)::DOUBLE AS tp, count(*) FILTER (predicted >= 0.5 AND label = 0)::DOUBLE AS fp, count(*) FILTER (predicted < 0.5 AND label = 1)::DOUBLE AS fn, count(*) FILTER (predicted < 0.5 AND label = 0)::DOUBLE AS tn, avg(power(predicted - label, 2)) AS brier, avg(label) AS share FROM cases GROUP BY stratum) SELECT stratum, round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc, round(brier, 6) AS brier, round(1 - brier / (share * (1 - share)), 6) AS brier_skill FROM s")
+@query("mcc_brier", f"WITH {CASES}, s AS (SELECT stratum, count(*) FILTER (predicted >= 0.5 AND label = 1)::DOUBLE AS tp, count(*) FILTER (predicted >= 0.5 AND label = 0)::DOUBLE AS fp, count(*) FILTER (predicted < 0.5 AND label = 1)::DOUBLE AS fn, count(*) FILTER (predicted < 0.5 AND label = 0)::DOUBLE AS tn, avg(power(predicted - label, 2)) AS brier, avg(label) AS share FROM cases GROUP BY stratum) SELECT stratum, round(CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) > 0 THEN (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) ELSE 0 END, 6) AS mcc, round(brier, 6) AS brier, round(CASE WHEN share * (1 - share) > 0 THEN 1 - brier / (share * (1 - share)) ELSE 0 END, 6) AS brier_skill FROM s")
 def mcc_brier(spark, d):
     return metrics.threshold_metrics(_cases(spark, d), ["stratum"])
 
@@ -558,7 +558,7 @@ def _log_w(spark, d) -> dict[str, float]:
     return {r["codon"]: math.log(r["w"]) for r in usage.build_table(derive.cds_doc(spark, d)).collect()}
 
 
-MICRO = f"{TAB}, micro AS (SELECT codon, aa, CASE WHEN aa IN ('M', 'W', '*') THEN 0 ELSE CAST(round(ln(w) * 1000000) AS BIGINT) END AS m, translate(codon, 'ACGT', 'TGCA') AS inv FROM wtab)"
+MICRO = f"{TAB}, micro AS MATERIALIZED (SELECT codon, aa, CASE WHEN aa IN ('M', 'W', '*') THEN 0 ELSE CAST(round(ln(w) * 1000000) AS BIGINT) END AS m, translate(codon, 'ACGT', 'TGCA') AS inv FROM wtab)"
 
 
 @query("optimize_local", f"WITH {MICRO}, {RES}, best AS (SELECT aa, arg_max(codon, (m, inv)) AS codon FROM micro GROUP BY aa) SELECT seq_id, string_agg(codon, '' ORDER BY pos) AS dna FROM res JOIN best USING (aa) GROUP BY seq_id")
