@@ -23,10 +23,15 @@ def with_rank(df: DataFrame, by: list[str], column: str, name: str) -> DataFrame
 
 def pearson(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """0 where either side does not vary."""
-    r = F.when((F.min(x) == F.max(x)) | (F.min(y) == F.max(y)), F.lit(0.0)).otherwise(F.corr(x, y))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    r = F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)) & (spread > 0), F.covar_pop(x, y) / F.when(spread > 0, spread))
     return df.groupBy(*by).agg(_zero(r).alias("pearson"), F.count(F.lit(1)).alias("n"))
 
 
+def _slope(x: str, y: str) -> Column:
+    return F.when(F.min(x) < F.max(x), F.covar_pop(x, y) / F.when(F.var_pop(x) > 0, F.var_pop(x))).otherwise(0.0)
+
+
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     ranked = with_rank(with_rank(df.select(*by, x, y), by, x, "__x"), by, y, "__y")
     return pearson(ranked, by, "__x", "__y").withColumnRenamed("pearson", "spearman")
@@ -37,8 +42,8 @@ def regression(df: DataFrame, by: list[str], x: str = "predicted", y: str = "mea
     total = F.sum(F.pow(F.col(y) - F.col("__m"), F.lit(2)))
     rows = df.join(df.groupBy(*by).agg(F.avg(y).alias("__m")), by) if by else df.crossJoin(F.broadcast(df.agg(F.avg(y).alias("__m"))))
     return rows.groupBy(*by).agg(
-        F.coalesce(F.regr_slope(y, x), F.lit(0.0)).alias("slope"), F.coalesce(F.regr_intercept(y, x), F.avg(y)).alias("intercept"),
-        F.when(total > 0, 1 - F.sum(F.pow(F.col(y) - F.col(x), F.lit(2))) / total).otherwise(0.0).alias("r2"),
+        _slope(x, y).alias("slope"), (F.avg(y) - _slope(x, y) * F.avg(x)).alias("intercept"),
+        F.when(total > 0, 1 - F.sum(F.pow(F.col(y) - F.col(x), F.lit(2))) / F.when(total > 0, total)).otherwise(0.0).alias("r2"),
     )
 
 
@@ -138,7 +143,7 @@ def expression_gate(cases: DataFrame, share: float = 0.5, coverage: float = 0.9,
     rows = cases.join(F.broadcast(fold), "group")
     own = W.partitionBy("group")
     rows = rows.withColumn("x", F.col("predicted") - F.avg("predicted").over(own)).withColumn("y", F.col("measured") - F.avg("measured").over(own))
-    link = rows.where("calibration").agg(F.coalesce(F.regr_slope("y", "x"), F.lit(0.0)).alias("slope"), F.coalesce(F.regr_intercept("y", "x"), F.avg("y")).alias("intercept"))
+    link = rows.where("calibration").agg(F.coalesce(_slope("x", "y"), F.lit(0.0)).alias("slope"), F.coalesce(F.avg("y") - _slope("x", "y") * F.avg("x"), F.lit(0.0)).alias("intercept"))
     rows = rows.crossJoin(F.broadcast(link)).withColumn("residual", F.abs(F.col("y") - (F.col("slope") * F.col("x") + F.col("intercept"))))
     q = conformal(rows.where("calibration"), [], "residual", coverage).select("q")
     rest = rows.where("not calibration")
