@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.core.session import checkpoint, read
-from strandweave.llm import decontaminate, linededup, packing, simhash, toxicity
+from strandweave.llm import decontaminate, linededup, neardup, packing, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each SimHash group."""
-    copies = simhash.groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    """The document with the least doc_id of each group of copies and of near copies (five-word shingles, similarity 0.8 or more)."""
+    copies = neardup.groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -323,3 +323,25 @@ def test_pipeline(spark, tmp_path):
         assert kept.count() > 0.7 * docs.count(), name
         docs = kept
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).select("doc_id").distinct().count() == docs.count()
+
+
+def test_verified_near_duplicates(spark, docs, empty):
+    from strandweave.llm import neardup
+
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(900)]
+    rows, i = [], 0
+    for _ in range(40):
+        base = [rng.choice(vocab) for _ in range(200)]
+        for edits in (0, 1, 2, 3):
+            w = list(base)
+            for e in range(edits):
+                w[20 + 50 * e] = "edited"
+            rows.append((i, " ".join(w)))
+            i += 1
+    rows += [(500, rows[0][1]), (501, ""), (502, None), (None, rows[0][1]), (503, "one"), (504, "one two")]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {d for d, _ in rows if d is not None}
+    assert sum(got[j] == j // 4 * 4 for j in range(160)) >= 158  # candidates are approximate, similarity is exact
+    assert all(got[j] // 4 == j // 4 for j in range(160)) and got[500] == 0 and got[501] == got[502] == 501 and got[503] == 503 and got[504] == 504
+    assert neardup.groups(docs).count() == len([r for r in ROWS if r[0] is not None]) and neardup.groups(empty).count() == 0
