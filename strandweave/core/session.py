@@ -64,6 +64,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checkpoint_by(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """``df`` in the shared checkpoint folder, dealt by ``keys``: later joins on them don't shuffle it again.
+
+    A checkpoint keeps the partitioning of its plan only if that plan is not
+    adaptive, so adaptive planning is off for this one job.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return checkpoint(df.repartition(parts, *keys))
+    finally:
+        conf.set(name, before)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
