@@ -54,7 +54,39 @@ QUERIES = {f.__name__: f for f in (
         op9_simhash, op10_sharding,
     )}
 
+
+
+def _windows(n: int) -> str:
+    """Words of the documents, and each window of n words with the least document that holds an equal one."""
+    ahead = ", ".join(["x", *(f"lead(x, {i}) OVER w" for i in range(1, n))])
+    return f"""WITH words AS (
+  SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) - 1 AS p
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)),
+win AS (
+  SELECT doc_id, p, CASE WHEN lead(x, {n - 1}) OVER w IS NOT NULL THEN concat_ws(' ', {ahead}) END AS k
+  FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+least AS (SELECT k, min(doc_id) AS d FROM win WHERE k IS NOT NULL GROUP BY k),
+late AS (SELECT win.doc_id, p, d FROM win JOIN least USING (k) WHERE win.doc_id > d)"""
+
+
 ORACLES = {
+    "op3_suffix_array": _windows(50)
+    + """,
+cut AS (SELECT *, CASE WHEN p <= lag(p) OVER w + 50 THEN 0 ELSE 1 END AS new FROM late WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+span AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS n FROM cut)
+SELECT doc_id, min(p) AS start, max(p) + 50 - min(p) AS length, min(d) AS earlier_doc_id FROM span GROUP BY doc_id, n
+""",
+    "op7_substring_dedup": _windows(13)
+    + """,
+judged AS (
+  SELECT words.doc_id, words.p, x, max(late.p) OVER (PARTITION BY words.doc_id ORDER BY words.p ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM words LEFT JOIN late ON late.doc_id = words.doc_id AND late.p = words.p),
+done AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(x, ' ' ORDER BY p) FILTER (NOT gone), '') AS kept
+  FROM judged GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM (SELECT doc_id FROM documents) LEFT JOIN done USING (doc_id)
+""",
     "op6_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
