@@ -642,3 +642,99 @@ def fold_proxy(spark, d):
 @query("simplex_grid", "SELECT i AS point, round(i / 10.0::DOUBLE, 6) AS a, round(1 - i / 10.0::DOUBLE, 6) AS b FROM (SELECT unnest(range(0, 11)) AS i)")
 def simplex_grid(spark, d):
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(solve.simplex(2, 11))], "point long, a double, b double")
+
+
+# --- studies ----------------------------------------------------------------
+
+from strandweave.operators import studies  # noqa: E402
+
+_HIGH = "sites0 AS (SELECT seq_id, kind, pos FROM site WHERE score > 0.05)"
+
+
+def _sites(spark, d):
+    seqs = derive.dna_doc(spark, d)
+    scores = profiles.both_sites(seqs)
+    return seqs, scores, scores.where("score > 0.05").select("seq_id", "kind", "pos")
+
+
+@query("motif_consistency", f"WITH {SITES}, {_HIGH}, {km(2)}, o AS (SELECT *, unnest(range(-3, 4)) AS \"offset\" FROM sites0 WHERE kind = 'donor') SELECT \"offset\", round(count(k2.pos) / count(*), 6) AS share, count(*) AS n FROM o LEFT JOIN k2 ON k2.seq_id = o.seq_id AND k2.pos = o.pos + \"offset\" AND k2.kmer = 'GT' GROUP BY 1")
+def motif_consistency(spark, d):
+    seqs, _, sites = _sites(spark, d)
+    return studies.motif_consistency(sites.where("kind = 'donor'"), seqs)
+
+
+@query("alignment_probe", f"WITH {SITES}, {_HIGH}, o AS (SELECT *, unnest(range(-5, 6)) AS \"offset\" FROM sites0), m AS (SELECT o.kind, \"offset\", round(avg(coalesce(score, 0)), 9) AS mean FROM o LEFT JOIN site s ON s.seq_id = o.seq_id AND s.kind = o.kind AND s.pos = o.pos + \"offset\" GROUP BY ALL) SELECT kind, arg_max(\"offset\", (mean, -abs(\"offset\"), -\"offset\")) AS \"offset\", round(max(mean), 6) AS mean FROM m GROUP BY kind")
+def alignment_probe(spark, d):
+    _, scores, sites = _sites(spark, d)
+    return studies.alignment_probe(sites, scores)
+
+
+_DELTAS = "deltas AS (SELECT 'p' AS backend, doc_id AS \"case\", (n_chars % 97 - 48)::DOUBLE AS delta FROM documents UNION ALL SELECT 'q', doc_id, (n_chars % 53 - 26)::DOUBLE FROM documents UNION ALL SELECT 'r', doc_id, (n_chars % 194 - 97)::DOUBLE FROM documents)"
+
+
+def _deltas(spark, d):
+    n = F.col("n_chars")
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("backend"), v.cast("double").alias("delta")) for b, v in (("p", n % 97 - 48), ("q", n % 53 - 26), ("r", n % 194 - 97))])).alias("e")
+    return read(spark, d, "documents").select(F.col("doc_id").alias("case"), F.col("source").alias("group"), "n_chars", each).select("e.backend", "case", "e.delta", "group", "n_chars")
+
+
+_RANKED = "rank() OVER (PARTITION BY {k} ORDER BY {c}) + (count(*) OVER (PARTITION BY {k}, {c}) - 1) / 2.0::DOUBLE"
+
+
+@query("backend_agreement", f"WITH {_DELTAS}, j AS (SELECT x.backend AS a, y.backend AS b, x.delta AS x, y.delta AS y FROM deltas x JOIN deltas y ON x.\"case\" = y.\"case\" AND x.backend < y.backend), r AS (SELECT a, b, {_RANKED.format(k='a, b', c='x')} AS rx, {_RANKED.format(k='a, b', c='y')} AS ry, sign(x) = sign(y) AS s FROM j) SELECT a, b, round(corr(rx, ry), 6) AS spearman, count(*) AS n, round(avg(CASE WHEN s THEN 1.0::DOUBLE ELSE 0 END), 6) AS sign_agreement FROM r GROUP BY ALL")
+def backend_agreement(spark, d):
+    return studies.delta_agreement(_deltas(spark, d).select("backend", "case", "delta"))
+
+
+@query("context_stability", f"WITH {_DELTAS}, j AS (SELECT source AS g, x.backend AS a, y.backend AS b, x.delta AS x, y.delta AS y FROM deltas x JOIN deltas y ON x.\"case\" = y.\"case\" AND x.backend < y.backend JOIN documents ON doc_id = x.\"case\"), r AS (SELECT g, a, b, {_RANKED.format(k='g, a, b', c='x')} AS rx, {_RANKED.format(k='g, a, b', c='y')} AS ry FROM j), s AS (SELECT g, a, b, coalesce(corr(rx, ry), 0) AS s FROM r GROUP BY ALL) SELECT g AS \"group\", round(quantile_cont(s, 0.5), 6) AS stability FROM s GROUP BY g")
+def context_stability(spark, d):
+    return studies.context_stability(_deltas(spark, d).select("group", F.col("backend").alias("context"), F.col("case").alias("member"), F.col("delta").alias("score")))
+
+
+@query("context_swap", f"WITH {_DELTAS} SELECT source AS \"group\", doc_id AS member, round(abs(x.delta - y.delta), 6) AS change, abs(x.delta - y.delta) > 20 AS moved FROM deltas x JOIN deltas y ON x.\"case\" = y.\"case\" JOIN documents ON doc_id = x.\"case\" WHERE x.backend = 'p' AND y.backend = 'q'")
+def context_swap(spark, d):
+    rows = _deltas(spark, d).select("group", F.col("backend").alias("context"), F.col("case").alias("member"), F.col("delta").alias("score"))
+    return studies.context_swap(rows, "p", "q", 20.0)
+
+
+@query("confound_correlations", f"WITH {SEQ}, x AS (SELECT lang AS \"group\", (n_chars % 97)::DOUBLE AS s, unnest([{{'feature': 'gc', 'v': {gc('dna')} / length(dna)}}, {{'feature': 'length_nt', 'v': length(dna)::DOUBLE}}], recursive := true) FROM seqs JOIN documents ON doc_id = seq_id), r AS (SELECT \"group\", feature, {_RANKED.format(k='\"group\", feature', c='v')} AS rx, {_RANKED.format(k='\"group\", feature', c='s')} AS ry FROM x) SELECT \"group\", feature, round(coalesce(corr(rx, ry), 0), 6) AS spearman, count(*) AS n FROM r GROUP BY ALL")
+def confound_correlations(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.col("lang").alias("group"), (F.col("n_chars") % 97).alias("s"))
+    rows = derive.dna_doc(spark, d).select("seq_id", D.gc_fraction(F.col("dna")).alias("gc"), F.length("dna").alias("length_nt")).join(docs, "seq_id")
+    return studies.confounds(rows, "group", "s", ["gc", "length_nt"])
+
+
+@query("spread_ratio", f"WITH {CASES}, g AS (SELECT stddev_samp(measured) AS sd, avg(measured) AS m FROM cases GROUP BY \"group\") SELECT round(quantile_cont(sd, 0.5), 6) AS within, round(stddev_samp(m), 6) AS between, round(quantile_cont(sd, 0.5) / stddev_samp(m), 6) AS ratio FROM g")
+def spread_ratio(spark, d):
+    return studies.spread_ratio(_cases(spark, d), "group", "measured")
+
+
+@query("gc_retention", f"WITH {CASES}, e AS (SELECT quantile_cont(predicted, [0.2, 0.4, 0.6, 0.8]) AS e FROM cases), b AS (SELECT measured, len(list_filter(e, lambda v: v < predicted)) AS bin FROM cases, e), g AS (SELECT var_pop(measured) AS v, count(*) AS n FROM b GROUP BY bin) SELECT round(sqrt(sum(v * n) / sum(n)), 6) AS within, round((SELECT stddev_pop(measured) FROM cases), 6) AS whole, round(sqrt(sum(v * n) / sum(n)) / (SELECT stddev_pop(measured) FROM cases), 6) AS retention FROM g")
+def gc_retention(spark, d):
+    return studies.retention(_cases(spark, d), "measured", "predicted")
+
+
+@query("model_fidelity", f"WITH {SITES}, a AS (SELECT seq_id, pos, score AS x, round(score, 4) AS y FROM site WHERE kind = 'donor') SELECT round(max(abs(x - y)), 6) AS deviation, count(*) AS n, max(abs(x - y)) <= 1e-3 AS faithful FROM a")
+def model_fidelity(spark, d):
+    rows = profiles.site_scores(derive.dna_doc(spark, d), "donor").groupBy(F.col("seq_id").alias("window"), F.floor(F.col("pos") / 512).alias("b")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "score"))), lambda s: s["score"]).alias("values"))
+    rows = rows.select(F.struct("window", "b").alias("window"), "values")
+    return studies.fidelity(rows, rows.withColumn("values", F.transform("values", lambda v: F.round(v, 4))))
+
+
+@query("fold_means", "SELECT c_mktsegment, round(avg((c_acctbal + c_nationkey) / 2.0::DOUBLE), 6) AS value FROM customer GROUP BY 1")
+def fold_means(spark, d):
+    rows = read(spark, d, "customer").select("c_mktsegment", F.col("c_acctbal").alias("fold_a"), F.col("c_nationkey").alias("fold_b"))
+    return studies.fold_means(rows, ["c_mktsegment"], "fold_")
+
+
+@query("synonymy_check", f"WITH {COD}, p AS (SELECT seq_id, string_agg(aa, '' ORDER BY cpos) AS protein FROM cod WHERE cpos < 2 GROUP BY seq_id) SELECT source AS \"group\", count(DISTINCT protein) AS proteins, count(*) FILTER (doc_id % 10 = 0) AS natives, count(DISTINCT protein) = 1 AND count(*) FILTER (doc_id % 10 = 0) = 1 AS consistent FROM p JOIN documents ON doc_id = seq_id GROUP BY 1")
+def synonymy_check(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.col("source").alias("group"), F.when(F.col("doc_id") % 10 == 0, "native").otherwise("designed").alias("role"))
+    first = G.amino_acid(F.left("dna", F.lit(3)))
+    second = F.coalesce(G.amino_acid(F.substring("dna", 4, 3)), F.lit(""))
+    return studies.synonymous(derive.cds_doc(spark, d).select("seq_id", F.concat(first, second).alias("protein")).join(docs, "seq_id"))
+
+
+@query("permutation_baseline")
+def permutation_baseline(spark, d):
+    return metrics.ranking_metrics(studies.permuted(_cases(spark, d).select("stratum", "predicted", "label"), "predicted", ["stratum"], 3), ["stratum"])
