@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.core.session import checkpoint, ship
+from strandweave.core.session import checkpoint_by, ship
 from strandweave.llm import textscan
 
 CHUNK_BYTES = 6 << 20
@@ -41,13 +41,13 @@ PART_WORDS = 1 << 20  #: words whose anchors meet in one partition
 _TYPES = ["u1", "<u4", "<u8", "<i8"]
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as compressed byte planes: high bytes that are all alike cost next to nothing."""
     head = [len(arrays)]
     for a in arrays:
         head += [_TYPES.index(a.dtype.str.replace("|", "")), len(a)]
     planes = [np.ascontiguousarray(a.view("u1").reshape(len(a), -1).T).tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(np.array(head, "<i8").tobytes() + b"".join(planes))
+    return zstandard.ZstdCompressor(level=level).compress(np.array(head, "<i8").tobytes() + b"".join(planes))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -72,14 +72,14 @@ def chunked(docs: DataFrame) -> tuple[DataFrame, int]:
             raw, off = textscan.text_bytes(part.column(1))
             ids = part.column(0)
             known = np.asarray(ids.is_valid()).astype("u1")
-            blob = pack(ids.fill_null(0).to_numpy().astype("<i8"), known, off.astype("<i8"), raw)
+            blob = pack(ids.fill_null(0).to_numpy().astype("<i8"), known, off.astype("<i8"), raw, level=5)
             n = int(textscan.words(part.column(1)).first[-1])
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() << 24 | made]), pa.array([n]), pa.array([blob], pa.binary())], names=["chunk", "n_words", "blob"])
             made += 1
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "chunk long, n_words long, blob binary")
-    table = checkpoint(rows.repartition(parts, "chunk"))
+    table = checkpoint_by(rows, parts, "chunk")
     return table, table.agg(F.sum("n_words")).first()[0] or 0
 
 
