@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -81,8 +82,9 @@ class Model:
 
     @staticmethod
     def fit(texts: list[np.ndarray], labels: np.ndarray, pairs=IDENTITY_PAIRS, fairness: float = 1.0, l2: float = 1e-3, rounds: int = 40, least: int = 5, toxic_weight: float = TOXIC_WEIGHT, seed: int = 7) -> Model:
-        """Minimise log loss + fairness * (score change under identity swaps)^2 + l2 * |w|^2 by Adam.
+        """Fit to texts given as their distinct features, in any fixed order.
 
+        Minimises log loss + fairness * (score change under identity swaps)^2 + l2 * |w|^2 by Adam.
         Rows of either label are weighted by ``toxic_weight``. Features of fewer than ``least`` sampled texts keep weight zero, but a
         term and its partner are kept or left together.
         """
@@ -91,12 +93,11 @@ class Model:
         if not len(texts) or labels.min() == labels.max():
             return Model(weight, (6.0 if len(labels) and labels.min() else -6.0))
         seen = np.zeros(BUCKETS, dtype=np.int64)
-        texts = [np.unique(t) for t in texts]
         for t in texts:
             seen[t] += 1
         keep = (seen + np.where(other != np.arange(BUCKETS), seen[other], 0)) >= least
         ids = np.flatnonzero(keep)
-        dense = np.full(BUCKETS, -1)
+        dense = np.full(BUCKETS, -1, dtype=np.int32)
         dense[ids] = np.arange(len(ids))
         texts = [dense[t[keep[t]]] for t in texts]
         partner = dense[other[ids]]
@@ -165,7 +166,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     chosen = train.where("toxic = 1").orderBy(*order).limit(sample // 3).union(train.where("toxic = 0").orderBy(*order).limit(sample - sample // 3))
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(run, "toxic int, features binary").toPandas()
-    return [np.frombuffer(b, np.int32).astype(np.int64) for b in rows["features"]], rows["toxic"].to_numpy().astype(float)
+    rows = sorted(zip(rows["toxic"].tolist(), rows["features"], strict=True), key=lambda r: (r[0], zlib.crc32(r[1]), r[1]))  # tasks end in any order
+    return [np.frombuffer(b, np.int32) for _, b in rows], np.array([float(y) for y, _ in rows])
 
 
 def held_out(doc_id: str):
@@ -174,9 +176,7 @@ def held_out(doc_id: str):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -> Model:
-    texts, toxic = labelled_sample(docs, labels, sample)
-    texts = sorted(((toxic[i], t.tobytes()) for i, t in enumerate(texts)), key=lambda r: r)
-    return Model.fit([np.frombuffer(t, np.int64) for _, t in texts], np.array([y for y, _ in texts]), **options)
+    return Model.fit(*labelled_sample(docs, labels, sample), **options)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
