@@ -11,7 +11,7 @@ import pyarrow as pa
 
 from strandweave.llm import textscan
 
-CACHE_SEGMENTS = 400_000
+CACHE_SEGMENTS = 100_000
 
 #: White space of the pre-tokenizer's pattern that is not ASCII white space; texts that hold it are encoded whole.
 _WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -45,17 +45,25 @@ class SegmentEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocab, self.added = file["model"]["vocab"], [t["content"] for t in file["added_tokens"]]
+        self.path, self._whole = path, None
         to_byte = {c: b for b, c in enumerate(_byte_letters())}
         ranks = {bytes(to_byte[c] for c in piece): i for piece, i in vocab.items() if piece not in self.added}
         self.plain = tiktoken.Encoding("segments", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.forget()
 
+    @property
+    def tokenizer(self):
+        """The ``tokenizers`` object, loaded when a text first needs it."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+        return self._whole
+
     def forget(self) -> None:
         self.slot: dict[tuple[int, int], int] = {}
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
