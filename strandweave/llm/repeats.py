@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from strandweave.core.session import checkpoint_by, ship
 from strandweave.llm import textscan
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 PART_WORDS = 1 << 20  #: words whose anchors meet in one partition
 _TYPES = ["u1", "<u4", "<u8", "<i8"]
 
