@@ -17,7 +17,7 @@ from strandweave.core.session import checkpoint, ship
 from strandweave.llm import simhash, textscan
 from strandweave.llm.graph import components
 
-SHINGLE, SIMILARITY, RADIUS, TABLES = 5, 0.8, 15, 24
+SHINGLE, SIMILARITY, RADIUS, TABLES = 5, 0.8, 13, 24
 
 
 def sampled_tables(distinct: int, tables: int = TABLES) -> list[list[tuple[int, int]]]:
@@ -110,13 +110,17 @@ def groups(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for part in textscan.runs(batches, "text"):
-            fp = simhash.majority(*simhash.shingle_hashes(part.column(3), SHINGLE))
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(fp.view(np.int64))], names=["doc_id", "t1", "t2", "fp"])
+            h, first = simhash.shingle_hashes(part.column(3), SHINGLE)
+            fp, n = simhash.majority(h, first), [len(np.unique(h[a:b])) for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(fp.view(np.int64)), pa.array(n, pa.int64())], names=["doc_id", "t1", "t2", "fp", "n"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), one.alias("t1"), two.alias("t2"), "text")
-    marks = checkpoint(rows.mapInArrow(run, "doc_id long, t1 long, t2 long, fp long"))
-    nodes = checkpoint(marks.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")))
-    pairs = checkpoint(candidates(nodes.select("fp", "rep"), nodes.count()))
+    marks = checkpoint(rows.mapInArrow(run, "doc_id long, t1 long, t2 long, fp long, n long"))
+    nodes = checkpoint(marks.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n")))
+    found = candidates(nodes.select("fp", "rep"), nodes.count())
+    size = lambda c, n: nodes.select(F.col("rep").alias(c), F.col("n").alias(n))
+    alike = (F.least("n_a", "n_b") >= F.lit(SIMILARITY) * F.greatest("n_a", "n_b")) & (F.col("n_a") > 0)  # no smaller set can be similar enough
+    pairs = checkpoint(found.join(size("a", "n_a"), "a").join(size("b", "n_b"), "b").where(alike).select("a", "b"))
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
     texts = rows.select(F.col("doc_id").alias("rep"), "t1", "t2", "text").join(nodes.join(wanted, "rep").select("rep", "t1", "t2"), ["rep", "t1", "t2"], "left_semi").dropDuplicates(["rep", "t1", "t2"])
     links = components(verified(pairs, checkpoint(shingle_sets(texts))))
