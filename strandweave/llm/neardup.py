@@ -1,15 +1,17 @@
-"""Near-duplicate documents, the verified form of operator 9: SimHash candidates by bit-sliced comparison, then exact shingle similarity.
+"""Near-duplicate documents: pairs whose five-word shingle sets have similarity 0.8 or more, by an exact prefix-filtered join.
 
-The fingerprints of texts that share 0.8 of their five-word shingles differ
-in more bits than a few disjoint blocks can catch, so candidates come from
-many tables of sampled bits instead, each compared in full within a wider
-radius; only pairs whose shingle sets really are similar become links.
+All sets are sorted in one order. Two sets of sizes x and y that are similar
+enough share so many shingles that the least one they share is among the first
+x - ceil(0.8 x) + 1 of either, so documents meet in the buckets of these
+shingles; sizes and positions then rule out most other pairs, and whole sets
+decide. No pair is missed at any size of the input.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,63 +19,122 @@ from strandweave.core.session import checkpoint, ship
 from strandweave.llm import simhash, textscan
 from strandweave.llm.graph import components
 
-SHINGLE, SIMILARITY, RADIUS, TABLES = 5, 0.8, 13, 24
+SHINGLE, SIMILARITY = 5, 0.8
+SAMPLE, COMMON, LISTED = 32, 16, 100_000  #: texts sampled one in SAMPLE; shingles in COMMON of them or more come last in the order, LISTED at most
+TILE = 2048  #: expected documents of a common shingle's bucket that one comparison holds from either side
+SLAB = 1 << 20  #: pairs looked at at once
+_SLACK = 1e-9  #: against rounding of similarity * size
 
 
-def sampled_tables(distinct: int, tables: int = TABLES) -> list[list[tuple[int, int]]]:
-    """Tables of sampled bits: 10, or as many more as keep an evenly spread bucket within TILE values."""
-    bits = int(min(24, max(10, np.ceil(np.log2(max(1, distinct) / simhash.TILE)))))
-    rng = np.random.default_rng(977)
-    return [[(int(b), 1) for b in rng.choice(64, bits, replace=False)] for _ in range(tables)]
+def _sets(column: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
+    """Each text's sorted 64-bit hashes of its distinct lower-cased k-word shingles, or of all its words if fewer."""
+    w = textscan.words(column, lower=True)
+    h = w.hashes()
+    g = textscan.grams(h, k)
+    spans = zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)
+    return [np.unique(g[a : b - k + 1] if b - a >= k else textscan.grams(h[a:b], b - a) if b > a else g[:0]) for a, b in spans]
 
 
-def _nearest(n: int, fp: np.ndarray, pairs) -> tuple[np.ndarray, np.ndarray]:
-    """For each value its nearest other one and its least other one among the close pairs."""
-    far = np.int64(1) << 40
-    near, low = np.full(n, far), np.full(n, far)
-    for i, j in pairs:
-        d = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64) << 32
-        np.minimum.at(near, i, d | j)
-        np.minimum.at(near, j, d | i)
-        np.minimum.at(low, i, j)
-        np.minimum.at(low, j, i)
-    a = np.flatnonzero(low < far)
-    return np.concatenate([a, a]), np.concatenate([near[a] & 0xFFFFFFFF, low[a]])
+def _prefix(x: np.ndarray, common: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The first shingles of a sorted set, common ones last: as many as must hold the least one shared with any similar set."""
+    if len(common):
+        late = np.isin(x, common, assume_unique=True)
+        x = np.concatenate([x[~late], x[late]])
+    return x[: len(x) - int(np.ceil(similarity * len(x) - _SLACK)) + 1]
 
 
-def candidates(nodes: DataFrame, distinct: int, radius: int = RADIUS) -> DataFrame:
-    """Pairs (a, b) of ``rep``, a > b: each node of a bucket with the nearest and with the least one within the radius."""
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many of a sample of the distinct texts hold, sorted, and about how many texts hold them.
+
+    They only set the order of the shingles and how buckets are split, so the
+    pairs found do not depend on the sample.
+    """
+
+    def run(batches):
+        for part in textscan.runs(batches):
+            x = np.concatenate([*_sets(part.column(0)), np.zeros(0, np.uint64)])
+            key, n = np.unique(x, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
+
+    sample = texts.where(F.pmod("t1", F.lit(SAMPLE)) == 0).dropDuplicates(["t1", "t2"]).select("text")
+    found = sample.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    rows = found.orderBy(F.col("n").desc(), "key").limit(LISTED).collect()
+    key, n = np.array([r["key"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
+    order = np.argsort(key)
+    return key[order], n[order] * SAMPLE
+
+
+def _pairs(bucket: np.ndarray):
+    """Yields index arrays (i, j) of all pairs i < j of one bucket; ``bucket`` is non-decreasing."""
+    todo = np.searchsorted(bucket, bucket, side="right") - np.arange(len(bucket)) - 1
+    ends, at = np.cumsum(todo), 0
+    while at < len(bucket):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLAB, side="right")))
+        n = todo[at:to]
+        i = np.repeat(np.arange(at, to), n)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        at = to
+
+
+def candidates(nodes: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of ``rep``, a > b, among nodes (rep, n, prefix): every pair of similar sets, and few others.
+
+    Buckets of common shingles are split into pairs of tiles.
+    """
     ship(nodes.sparkSession)
+    listed, held_by = common
+    tiles_of = np.maximum(1, -(-held_by // TILE))
+
+    def spread(batches):
+        for batch in batches:
+            ends = np.cumsum(pa.compute.binary_length(batch.column(2)).to_numpy() // 8)
+            a = 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLAB, side="right")))
+                part, width = batch.slice(a, b - a), np.diff(ends[a:b], prepend=ends[a - 1] if a else 0)
+                a = b
+                key = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint64)
+                rep = np.repeat(part.column(0).to_numpy(), width)
+                at = np.repeat(part.column(1).to_numpy() << 32, width) | np.arange(len(key)) - np.repeat(np.cumsum(width) - width, width)
+                tile = np.zeros(len(key), dtype=np.int64)
+                if len(listed) and len(key):
+                    place = np.minimum(np.searchsorted(listed, key), len(listed) - 1)
+                    tiles = np.where(listed[place] == key, tiles_of[place], 1)
+                    own = np.repeat((textscan.mix(rep.view(np.uint64)) >> np.uint64(1)).astype(np.int64) % tiles, tiles)
+                    other = np.arange(tiles.sum()) - np.repeat(np.cumsum(tiles) - tiles, tiles)
+                    key, rep, at = np.repeat(key, tiles), np.repeat(rep, tiles), np.repeat(at, tiles)
+                    tile = np.minimum(own, other) * 1_000_000 + np.maximum(own, other)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key.view(np.int64), tile, rep, at)], names=["key", "tile", "rep", "at"])
 
     def run(batches):
-        for (_, _, _, fp, rep), bucket in simhash.bucket_runs(batches, 5):
-            order = np.lexsort((rep, bucket))
-            fp, rep, bucket = np.ascontiguousarray(fp[order]).view(np.uint64), rep[order], bucket[order]
-            i, j = _nearest(len(fp), fp, simhash.close_pairs(fp, bucket, radius))
-            a, b = np.maximum(rep[i], rep[j]), np.minimum(rep[i], rep[j])
-            pairs = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    keys = simhash.bucketed(nodes, sampled_tables(distinct)).select("t", "key", "tile", "fp", "rep")
+        for (_, _, _, rep, at), bucket in simhash.bucket_runs(batches, 5):
+            several = np.zeros(len(bucket), dtype=bool)
+            same = bucket[1:] == bucket[:-1]
+            several[1:] |= same
+            several[:-1] |= same
+            rep, size, place, bucket = rep[several], at[several] >> 32, at[several] & 0xFFFFFFFF, bucket[several]
+            for i, j in _pairs(bucket):
+                x, y = size[i], size[j]
+                shared = np.minimum(x - place[i], y - place[j])  # at most, if no lesser shingle is shared
+                ok = (shared >= similarity / (1 + similarity) * (x + y) - _SLACK) & (rep[i] != rep[j])
+                a, b = rep[i[ok]], rep[j[ok]]
+                pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keys.repartition(parts, "t", "key", "tile").sortWithinPartitions("t", "key", "tile").mapInArrow(run, "a long, b long").distinct()
+    keys = nodes.select("rep", "n", "prefix").mapInArrow(spread, "key long, tile long, rep long, at long")
+    met = keys.repartition(parts, "key", "tile").sortWithinPartitions("key", "tile").select("key", "tile", F.lit(0).alias("t"), "rep", "at")
+    return met.mapInArrow(run, "a long, b long").distinct()
 
 
-def shingle_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(rep, shingles): sorted 32-bit hashes of each text's distinct lower-cased k-word shingles, or of all its words if fewer."""
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(rep, shingles): the packed shingle set of each text."""
     ship(docs.sparkSession)
 
     def run(batches):
         for part in textscan.runs(batches):
-            w = textscan.words(part.column(1), lower=True)
-            h = w.hashes()
-            g = textscan.grams(h, k)
-            out = []
-            for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
-                own = g[a : b - k + 1] if b - a >= k else textscan.grams(h[a:b], b - a) if b > a else g[:0]
-                out.append(np.unique(own.astype(np.uint32)).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=["rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in _sets(part.column(1))], pa.binary())], names=["rep", "shingles"])
 
     return docs.select("rep", "text").mapInArrow(run, "rep long, shingles binary")
 
@@ -85,12 +146,12 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                if min(len(x), len(y)) < similarity * max(len(x), len(y)) or not len(x):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                if min(len(x), len(y)) < similarity * max(len(x), len(y)) - _SLACK or not len(x):
                     keep.append(False)
                     continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - _SLACK)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
@@ -108,19 +169,19 @@ def groups(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     one, two = F.xxhash64(F.coalesce("text", F.lit(""))), F.xxhash64(F.lit(7), F.coalesce("text", F.lit("")))
 
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), one.alias("t1"), two.alias("t2"), "text")
+    common = common_shingles(rows)
+
     def run(batches):
         for part in textscan.runs(batches, "text"):
-            h, first = simhash.shingle_hashes(part.column(3), SHINGLE)
-            fp, n = simhash.majority(h, first), [len(np.unique(h[a:b])) for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(fp.view(np.int64)), pa.array(n, pa.int64())], names=["doc_id", "t1", "t2", "fp", "n"])
-
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), one.alias("t1"), two.alias("t2"), "text")
-    marks = checkpoint(rows.mapInArrow(run, "doc_id long, t1 long, t2 long, fp long, n long"))
-    nodes = checkpoint(marks.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n")))
-    found = candidates(nodes.select("fp", "rep"), nodes.count())
-    size = lambda c, n: nodes.select(F.col("rep").alias(c), F.col("n").alias(n))
-    alike = (F.least("n_a", "n_b") >= F.lit(SIMILARITY) * F.greatest("n_a", "n_b")) & (F.col("n_a") > 0)  # no smaller set can be similar enough
-    pairs = checkpoint(found.join(size("a", "n_a"), "a").join(size("b", "n_b"), "b").where(alike).select("a", "b"))
+            sets = _sets(part.column(3))
+            prefix = [_prefix(x, common[0]).tobytes() if len(x) else b"" for x in sets]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([len(x) for x in sets], pa.int64()), pa.array(prefix, pa.binary())], names=["doc_id", "t1", "t2", "n", "prefix"])
+
+    marks = checkpoint(rows.mapInArrow(run, "doc_id long, t1 long, t2 long, n long, prefix binary"))
+    nodes = checkpoint(marks.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    pairs = checkpoint(candidates(nodes, common))
+    marks, nodes = marks.drop("n", "prefix"), nodes.drop("n", "prefix")
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
     texts = rows.select(F.col("doc_id").alias("rep"), "t1", "t2", "text").join(nodes.join(wanted, "rep").select("rep", "t1", "t2"), ["rep", "t1", "t2"], "left_semi").dropDuplicates(["rep", "t1", "t2"])
     links = components(verified(pairs, checkpoint(shingle_sets(texts))))

@@ -345,3 +345,35 @@ def test_verified_near_duplicates(spark, docs, empty):
     assert sum(got[j] == j // 4 * 4 for j in range(160)) >= 158  # candidates are approximate, similarity is exact
     assert all(got[j] // 4 == j // 4 for j in range(160)) and got[500] == 0 and got[501] == got[502] == 501 and got[503] == 503 and got[504] == 504
     assert neardup.groups(docs).count() == len([r for r in ROWS if r[0] is not None]) and neardup.groups(empty).count() == 0
+
+
+def _similar_groups(rows):
+    """The least doc_id each is linked to by pairs of similar shingle sets, by brute force."""
+    sets = []
+    for _, t in rows:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    group = {d: d for d, _ in rows}
+    links = [(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0]
+    for _ in rows:
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    return group
+
+
+def _words(rng, n):
+    return ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+
+
+def test_near_duplicates_just_over_the_limit(spark):
+    from strandweave.llm import neardup
+
+    rng, rows = random.Random(21), []
+    for i in range(150):  # four edits of 200 words leave a similarity of 0.815, five 0.77
+        w = _words(rng, 200)
+        rows.append((2 * i, " ".join(w)))
+        for e in range(5 if i % 5 == 0 else 4):
+            w[20 + 35 * e] = "edited"
+        rows.append((2 * i + 1, " ".join(w)))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d if d // 2 % 5 == 0 else d // 2 * 2 for d, _ in rows}
