@@ -3,8 +3,8 @@
 All sets are sorted in one order. Two sets of sizes x and y that are similar
 enough share so many shingles that the least one they share is among the first
 x - ceil(0.8 x) + 1 of either, so documents meet in the buckets of these
-shingles; sizes and positions then rule out most other pairs, and whole sets
-decide. No pair is missed at any size of the input.
+shingles; sizes, positions and sketches then rule out most other pairs, and whole
+sets decide. No pair is missed at any size of the input.
 """
 
 from __future__ import annotations
@@ -128,6 +128,35 @@ def candidates(nodes: DataFrame, common: tuple[np.ndarray, np.ndarray], similari
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
+def _sketch(x: np.ndarray) -> bytes:
+    """The parities of a set's members in two cells a member or more; two sets differ in as many members or more as their sketches in bits."""
+    bits = max(64, 1 << int(2 * len(x)).bit_length())
+    return np.packbits((np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _differ(x: bytes, y: bytes) -> int:
+    """The bits in which two sketches differ, the longer one folded onto the other."""
+    short, long = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(long.reshape(-1, len(short)), axis=0) ^ short).sum())
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs but for those whose sketches differ in more bits than similar sets of their sizes can; ``nodes`` has (rep, n, sketch)."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            total = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            off = np.array([_differ(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)])
+            keep = off <= total - 2 * np.ceil(similarity / (1 + similarity) * total - _SLACK)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    side = lambda c: nodes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b")
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """(rep, shingles): the packed shingle set of each text."""
     ship(docs.sparkSession)
@@ -176,12 +205,12 @@ def groups(docs: DataFrame) -> DataFrame:
         for part in textscan.runs(batches, "text"):
             sets = _sets(part.column(3))
             prefix = [_prefix(x, common[0]).tobytes() if len(x) else b"" for x in sets]
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([len(x) for x in sets], pa.int64()), pa.array(prefix, pa.binary())], names=["doc_id", "t1", "t2", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([len(x) for x in sets], pa.int64()), pa.array(prefix, pa.binary()), pa.array([_sketch(x) for x in sets], pa.binary())], names=["doc_id", "t1", "t2", "n", "prefix", "sketch"])
 
-    marks = checkpoint(rows.mapInArrow(run, "doc_id long, t1 long, t2 long, n long, prefix binary"))
-    nodes = checkpoint(marks.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    pairs = checkpoint(candidates(nodes, common))
-    marks, nodes = marks.drop("n", "prefix"), nodes.drop("n", "prefix")
+    marks = checkpoint(rows.mapInArrow(run, "doc_id long, t1 long, t2 long, n long, prefix binary, sketch binary"))
+    nodes = checkpoint(marks.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "prefix", "sketch"))))
+    pairs = checkpoint(possible(candidates(nodes, common), nodes))
+    marks, nodes = marks.select("doc_id", "t1", "t2"), nodes.select("t1", "t2", "rep")
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
     texts = rows.select(F.col("doc_id").alias("rep"), "t1", "t2", "text").join(nodes.join(wanted, "rep").select("rep", "t1", "t2"), ["rep", "t1", "t2"], "left_semi").dropDuplicates(["rep", "t1", "t2"])
     links = components(verified(pairs, checkpoint(shingle_sets(texts))))

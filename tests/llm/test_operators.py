@@ -377,3 +377,23 @@ def test_near_duplicates_just_over_the_limit(spark):
         rows.append((2 * i + 1, " ".join(w)))
     got = {r["doc_id"]: r["component_id"] for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: d if d // 2 % 5 == 0 else d // 2 * 2 for d, _ in rows}
+
+
+def test_near_duplicates_link_through_every_similar_pair(spark):
+    from strandweave.llm import neardup
+
+    rng, rows = random.Random(22), []
+    for i in range(60):  # chains: neighbours are similar, the two in the middle less than the others, the ends not; a template is common to all of a chain
+        w, steps = _words(rng, 200), (1, 4, 1)
+        rows.append((4 * i, " ".join(w)))
+        for j, e in enumerate(steps):
+            for at in rng.sample(range(j * 8, 192, 24), e):
+                w[at] = _words(rng, 1)[0]
+            rows.append((4 * i + j + 1, " ".join(w)))
+    shared = _words(rng, 140)
+    rows += [(1000 + i, " ".join(shared + own)) for i, own in enumerate(_words(rng, 60) for _ in range(40))]
+    last = rows[-1][1].split()
+    rows.append((1100, " ".join([*last[:150], "changed", *last[151:]])))
+    want = _similar_groups(rows)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and want[1100] == 1039 and len({want[d] for d in range(240)}) == 60
