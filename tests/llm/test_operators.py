@@ -397,3 +397,21 @@ def test_near_duplicates_link_through_every_similar_pair(spark):
     want = _similar_groups(rows)
     got = {r["doc_id"]: r["component_id"] for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want and want[1100] == 1039 and len({want[d] for d in range(240)}) == 60
+
+
+@pytest.mark.parametrize("sample, common, tile", [(32, 16, 2048), (1, 2, 1), (2, 1, 3)])
+def test_near_duplicates_do_not_depend_on_order_or_tiles(spark, monkeypatch, sample, common, tile):
+    from strandweave.llm import neardup
+
+    rng, rows = random.Random(23), [(-1, None), (-2, ""), (-3, "One two"), (-4, "one  TWO")]
+    shared = _words(rng, 60)
+    for i in range(0, 90, 3):
+        w = shared + _words(rng, rng.choice([0, 5, 20, 60]))
+        for j in range(3):
+            w[rng.randrange(len(w))] = _words(rng, 1)[0]
+            rows.append((i + j, " ".join(w[: len(w) - rng.choice([0, 3])])))
+    want = _similar_groups(rows) | {-1: -2}
+    for name, value in (("SAMPLE", sample), ("COMMON", common), ("TILE", tile)):
+        monkeypatch.setattr(neardup, name, value)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) > 5
