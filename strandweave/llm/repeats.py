@@ -276,8 +276,13 @@ def _later(rows):
     yield out
 
 
-def marks(table: DataFrame, n_words: int, anchors, window: int) -> DataFrame:
-    """(chunk, blobs): the windows of each chunk that also start in a document with a smaller doc_id, as packed (word, least doc_id)."""
+def marks(table: DataFrame, n_words: int, anchors, window: int, exact: bool = False) -> DataFrame:
+    """(chunk, blobs): the windows of each chunk that also start in a document with a smaller doc_id, as packed (word, smaller doc_id).
+
+    That is the least one for the first document of each chunk; other documents
+    of the chunk get their chunk's first and, if ``exact``, the word where it
+    holds the window, by which ``_marked`` finds the least one of all chunks.
+    """
     parts = max(8, math.ceil(n_words / PART_WORDS))
 
     def probes(batches):
@@ -315,7 +320,8 @@ def marks(table: DataFrame, n_words: int, anchors, window: int) -> DataFrame:
                 late = doc > least
                 rows = []
                 if late.any():
-                    rows.append((chunk % parts, 1, chunk, pack(where[late].astype("<u4"), least[late].astype("<i8"))))
+                    first = [where[new][np.cumsum(new) - 1][late].astype("<u4")] if exact else []
+                    rows.append((chunk % parts, 1, chunk, pack(where[late].astype("<u4"), least[late].astype("<i8"), *first)))
                 part, key, doc, where = part[~late], key[~late], doc[~late], where[~late]
                 rows += [(p, 0, chunk, pack(np.diff(key[a:b], prepend=np.uint64(0)).astype("<u8"), doc[a:b].astype("<i8"), where[a:b].astype("<u4"))) for p, a, b in _spans(part)]
                 yield _rows(_SENT_NAMES, _SENT_TYPES, rows)
@@ -331,7 +337,13 @@ def _marked(c: Chunk, blobs) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at, least = np.concatenate([f[0] for f in found]).astype(np.int64), np.concatenate([f[1] for f in found])
     order = np.argsort(at, kind="stable")
-    return at[order], least[order]
+    at, least = at[order], least[order]
+    for late, _, first in (f for f in found if len(f) == 3):
+        place = np.minimum(np.searchsorted(at, first), len(at) - 1)
+        known = at[place] == first  # else the chunk's first document is the least of all
+        mine = np.searchsorted(at, late[known])
+        least[mine] = np.minimum(least[mine], least[place[known]])
+    return at, least
 
 
 def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
@@ -403,5 +415,5 @@ def repeated_passages(docs: DataFrame, window: int = 50, k: int = 8, span: int =
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=names)
 
     table, n_words = chunked(docs)
-    found = marks(table, n_words, SuffixAnchors(k, span, window), window)
+    found = marks(table, n_words, SuffixAnchors(k, span, window), window, exact=True)
     return table.join(found, "chunk").select("blob", "blobs").mapInArrow(run, "doc_id long, start long, length long, earlier_doc_id long")

@@ -415,3 +415,14 @@ def test_near_duplicates_do_not_depend_on_order_or_tiles(spark, monkeypatch, sam
         monkeypatch.setattr(neardup, name, value)
     got = {r["doc_id"]: r["component_id"] for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want and len(set(want.values())) > 5
+
+
+def test_repeated_passages_name_the_least_document_over_chunks(spark):
+    rng = random.Random(31)
+    passage, other = _words(rng, 80), _words(rng, 70)
+    say = lambda *w: " ".join([*_words(rng, 30), *(x for p in w for x in p), *_words(rng, 30)])
+    chunks = [[(9, say(passage)), (4, say(other)), (11, say(other))], [(5, say(passage)), (7, say(passage, other))], [(1, say(passage)), (12, say(passage)), (3, say(other))]]
+    rdd = spark.sparkContext.parallelize([r for c in chunks for r in c], 8)
+    for parts in (rdd, spark.sparkContext.union([spark.sparkContext.parallelize(c, 1) for c in chunks])):
+        got = {(r["doc_id"], r["length"], r["earlier_doc_id"]) for r in repeats.repeated_passages(spark.createDataFrame(parts, "doc_id long, text string")).collect()}
+        assert got == {(5, 80, 1), (7, 150, 1), (9, 80, 1), (12, 80, 1), (4, 70, 3), (11, 70, 3)}
