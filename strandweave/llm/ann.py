@@ -96,7 +96,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = TA
     banded by powers of two, and a query probes every band, so longer vectors
     are not missed for their direction. Buckets beyond TILE rows are split, on
     either side, into blocks that are multiplied one at a time; every bucket
-    is compared in full. A repeated vec_id with different vectors counts each.
+    is compared in full. Queries for which the probes find fewer than ``k`` are
+    compared with all vectors. A repeated vec_id with different vectors counts each.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -110,6 +111,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = TA
 
     index = checkpoint(_keys(entries.select("rep", "band", "v"), 1, tables))
     sought = checkpoint(_keys(asked, probes, tables).join(F.broadcast(entries.select("band").distinct()), how="cross"))
+    done = checkpoint(_ranked(_met(index, sought, k), entries, k))
+    full = done.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
+    short = checkpoint(asked.join(full, "id", "left_anti"))
+    if short.isEmpty():
+        return done
+    one_bucket = [F.size("v").cast("long").alias("key"), F.lit(0).alias("band")]
+    rest = _ranked(_met(entries.select("rep", "v", *one_bucket), short.select("id", "v", *one_bucket), k), entries, k)
+    return done.join(full, done["query_id"] == full["id"], "left_semi").unionByName(rest)
+
+
+def _met(index: DataFrame, sought: DataFrame, k: int) -> DataFrame:
+    """(query_id, rep, score): the k + 1 best of each block of a bucket (key, band) for each query (id, v) in it, among vectors (rep, v)."""
+    spark = index.sparkSession
     # one row for each table, axis and band, however many vectors there are
     size = index.groupBy("key", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     ask = sought.groupBy("key", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("turns"))
@@ -150,9 +164,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = TA
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     block = ["key", "band", "tile", "turn"]
-    near = left.unionByName(right).repartition(parts, *block).sortWithinPartitions(*block, "side").mapInArrow(run, "query_id long, rep long, score double")
+    return left.unionByName(right).repartition(parts, *block).sortWithinPartitions(*block, "side").mapInArrow(run, "query_id long, rep long, score double")
+
+
+def _ranked(near: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) from the entries found."""
     top = W.partitionBy("query_id").orderBy(F.col("score").desc(), "rep")
-    near = near.withColumn("place", F.dense_rank().over(top)).where(F.col("place") <= k + 1).select(*names).distinct()
+    near = near.withColumn("place", F.dense_rank().over(top)).where(F.col("place") <= k + 1).select("query_id", "rep", "score").distinct()
     wide = near.join(entries.select("rep", "ids"), "rep").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     final = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return wide.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -426,3 +426,16 @@ def test_repeated_passages_name_the_least_document_over_chunks(spark):
     for parts in (rdd, spark.sparkContext.union([spark.sparkContext.parallelize(c, 1) for c in chunks])):
         got = {(r["doc_id"], r["length"], r["earlier_doc_id"]) for r in repeats.repeated_passages(spark.createDataFrame(parts, "doc_id long, text string")).collect()}
         assert got == {(5, 80, 1), (7, 150, 1), (9, 80, 1), (12, 80, 1), (4, 70, 3), (11, 70, 3)}
+
+
+def test_ann_answers_are_full(spark):
+    rng = np.random.default_rng(41)
+    x = rng.normal(size=(15, 64))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    for k in (5, 20):
+        got = defaultdict(dict)
+        for r in ann.search(df, df, k).collect():
+            got[r["query_id"]][r["rank"]] = r["vec_id"]
+        assert all(sorted(got[q]) == list(range(1, min(k, 14) + 1)) for q in range(15))
+    for q in range(15):
+        assert [got[q][r] for r in range(1, 15)] == [int(i) for i in np.argsort(-(x @ x[q])) if i != q]
