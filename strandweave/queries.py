@@ -123,7 +123,7 @@ RES = PROT + ", res AS (SELECT seq_id, i AS pos, substr(protein || '*', i + 1, 1
 
 @query("naive_backtranslate", f"WITH {RES}, {CODE}, f AS (SELECT aa, min(codon) AS codon FROM code GROUP BY aa) SELECT seq_id, string_agg(codon, '' ORDER BY pos) AS dna FROM res JOIN f USING (aa) GROUP BY seq_id")
 def naive_backtranslate(spark, d):
-    return solve.optimize_local(derive.protein_bench(spark, d), dict.fromkeys(G.CODE, 0.0))
+    return solve.optimize_local(derive.protein_bench(spark, d, 24), dict.fromkeys(G.CODE, 0.0))
 
 
 @query("dinuc_counts", f"WITH {SEQ}, {km(2)} SELECT kmer, count(*) AS n FROM k2 GROUP BY kmer")
@@ -563,7 +563,7 @@ MICRO = f"{TAB}, micro AS MATERIALIZED (SELECT codon, aa, CASE WHEN aa IN ('M',
 
 @query("optimize_local", f"WITH {MICRO}, {RES}, best AS (SELECT aa, arg_max(codon, (m, inv)) AS codon FROM micro GROUP BY aa) SELECT seq_id, string_agg(codon, '' ORDER BY pos) AS dna FROM res JOIN best USING (aa) GROUP BY seq_id")
 def optimize_local(spark, d):
-    return solve.optimize_local(derive.protein_bench(spark, d), _log_w(spark, d))
+    return solve.optimize_local(derive.protein_bench(spark, d, 24), _log_w(spark, d))
 
 
 _TRELLIS = f"""WITH RECURSIVE {MICRO}, {PROT}, dp(seq_id, pos, ctx, score, dna) AS (
@@ -579,7 +579,7 @@ SELECT seq_id, arg_max(dna, (score, translate(dna, 'ACGT', 'TGCA'))) AS dna, max
 @query("optimize_trellis", _TRELLIS)
 def optimize_trellis(spark, d):
     w, rule = solve.Weights(_log_w(spark, d)), rules.Homopolymer(3)
-    return solve.solve_batch(derive.protein_bench(spark, d), lambda p: [solve.trellis(p, w, [rule])]).where("dna is not null").select("seq_id", "dna", "score")
+    return solve.solve_batch(derive.protein_bench(spark, d, 24), lambda p: [solve.trellis(p, w, [rule])]).where("dna is not null").select("seq_id", "dna", "score")
 
 
 @query("optimize_beam")

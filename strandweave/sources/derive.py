@@ -24,6 +24,7 @@ def dna_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("event_id").alias("seq_id"), F.translate(F.md5(F.col("event_id").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT").alias("dna"), "event_type")
 
 
-def protein_bench(spark: SparkSession, sf_dir: str, length: int = 24) -> DataFrame:
-    """proteins(seq_id, protein) from the benchmark items."""
-    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), F.left(protein_letters(F.col("text")), F.lit(length)).alias("protein")).where(F.length("protein") > 0)
+def protein_bench(spark: SparkSession, sf_dir: str, length: int | None = None) -> DataFrame:
+    """proteins(seq_id, protein) from the benchmark items; their first ``length`` residues if given."""
+    protein = protein_letters(F.col("text"))
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), (protein if length is None else F.left(protein, F.lit(length))).alias("protein")).where(F.length("protein") > 0)

@@ -90,3 +90,13 @@ def test_batch_statuses(spark):
 def test_hamming(spark):
     lib = spark.createDataFrame([(1, "AAAA"), (1, "AAAT"), (1, "TTTT")], "seq_id long, dna string")
     assert abs(S.mean_hamming(lib).first()["mean_hamming"] - (1 + 4 + 3) / 3 / 4) < 1e-12
+
+
+def test_benchmark_proteins_are_whole(spark):
+    from strandweave.sources import derive
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    whole = {i: "".join(c for c in t or "" if c.upper() in "ACDEFGHIKLMNPQRSTVWY").upper() for i, t in texts.items()}
+    got = {r["seq_id"]: r["protein"] for r in derive.protein_bench(spark, sf).collect()}
+    assert got == {i: p for i, p in whole.items() if p} and max(map(len, got.values())) > 24
