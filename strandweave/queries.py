@@ -611,7 +611,7 @@ def refine(spark, d):
 
     def run(p):
         best = solve.trellis(p, w, [rules.Homopolymer(5)])
-        return [solve.refine(best.dna, w, [rules.Homopolymer(5)], whole, 1, 300)] if best.dna else [best]
+        return [solve.refine(best.dna, w, [rules.Homopolymer(5)], whole, 1)] if best.dna else [best]
 
     return solve.solve_batch(derive.protein_bench(spark, d), run).drop("point")
 

@@ -100,3 +100,32 @@ def test_benchmark_proteins_are_whole(spark):
     whole = {i: "".join(c for c in t or "" if c.upper() in "ACDEFGHIKLMNPQRSTVWY").upper() for i, t in texts.items()}
     got = {r["seq_id"]: r["protein"] for r in derive.protein_bench(spark, sf).collect()}
     assert got == {i: p for i, p in whole.items() if p} and max(map(len, got.values())) > 24
+
+
+def test_refine_query_runs_all_steps(monkeypatch):
+    import inspect
+
+    from strandweave import queries
+    from strandweave.plans import solve
+
+    signature, seen = inspect.signature(solve.refine), []
+
+    class Frame:
+        def drop(self, *_):
+            return self
+
+    def batch(_, run):
+        run("MKTAYIAK")
+        return Frame()
+
+    def record(*a, **k):
+        bound = signature.bind(*a, **k)
+        bound.apply_defaults()
+        seen.append(bound.arguments["steps"])
+
+    monkeypatch.setattr(queries, "_log_w", lambda *_: dict.fromkeys(queries.G.CODE, 0.0))
+    monkeypatch.setattr(queries.derive, "protein_bench", lambda *_: None)
+    monkeypatch.setattr(solve, "solve_batch", batch)
+    monkeypatch.setattr(solve, "refine", record)
+    queries.refine(None, "")
+    assert seen == [2000]
