@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType()}
@@ -53,7 +54,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return have.get()
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + os.path.join(tempfile.gettempdir(), f"strandweave-checkpoints-{sc.applicationId}")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + os.path.join(tempfile.gettempdir(), f"strandweave-checkpoints-{sc.applicationId}")  # one machine: nothing to share
     sc.setCheckpointDir(path)
     return path
 
@@ -79,6 +82,11 @@ def checkpoint_by(df: DataFrame, parts: int, *keys: str) -> DataFrame:
         conf.set(name, before)
 
 
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows (one count decides); else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
