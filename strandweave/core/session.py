@@ -84,7 +84,7 @@ def checkpoint_by(df: DataFrame, parts: int, *keys: str) -> DataFrame:
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows (one count decides); else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -94,3 +94,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def extended(df: DataFrame, **types: str) -> T.StructType:
     """The frame's schema with more columns."""
     return T.StructType([*df.schema.fields, *(T.StructField(k, _TYPES[v]) for k, v in types.items())])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of the frame is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
