@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.core.session import checkpoint, extended, ship
+from strandweave.core.session import checkpoint, extended, free_name, ship
 from strandweave.llm import textscan
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -116,7 +116,9 @@ def kept_text(text: str | None, keep: bytes | None) -> tuple[str, int, int]:
 
 
 def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The documents with columns (doc_id, text, n_lines, n_dropped) after line removal, other columns kept.
+    """The documents after line removal with two more, last columns ``n_lines`` and ``n_dropped``; other columns are kept.
+
+    Input columns of those names keep their values; the new ones then end in an underscore.
 
     A null or empty text is one empty line. A row without doc_id counts for no
     line and loses none. Rows that repeat a doc_id are one document in counts;
@@ -124,9 +126,9 @@ def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs
     documents stay, as do all lines of it in the largest doc_id.
     """
     ship(docs.sparkSession)
-    n_lines, n_dropped = "n_lines", "n_dropped"
-    rest = [c for c in docs.columns if c.lower() not in (n_lines, n_dropped)]
-    schema = extended(docs.select(*rest), n_lines="long", n_dropped="long")
+    n_lines, n_dropped = free_name(docs, "n_lines"), free_name(docs, "n_dropped")
+    rest = docs.columns
+    schema = extended(docs, **{n_lines: "long", n_dropped: "long"})
 
     def run(batches):
         for batch in batches:
@@ -139,9 +141,8 @@ def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs
             yield pa.RecordBatch.from_arrays(cols, names=[*rest, n_lines, n_dropped])
 
     maps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("__doc"), F.col("tid").alias("__tid"), "keep")
-    left = docs.select(*rest)
-    on = (left["doc_id"].cast("long") == maps["__doc"]) & (F.xxhash64(left["text"]) == maps["__tid"])
-    return left.join(maps, on, "left").select(*[left[c] for c in rest], maps["keep"].alias("__keep")).mapInArrow(run, schema)
+    on = (docs["doc_id"].cast("long") == maps["__doc"]) & (F.xxhash64(docs["text"]) == maps["__tid"])
+    return docs.join(maps, on, "left").select(*[docs[c] for c in rest], maps["keep"].alias("__keep")).mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

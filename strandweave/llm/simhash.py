@@ -128,8 +128,8 @@ class _Counter:
         self.over = self.over[at]
 
 
-def close_pairs(fp: np.ndarray, group: np.ndarray, radius: int):
-    """Yields (i, j, distance-checked) index arrays of all pairs i < j in one group at most ``radius`` bits apart.
+def close_pairs(fp: np.ndarray, group: np.ndarray, radius: int, asks: np.ndarray | None = None):
+    """Yields (i, j) index arrays of all pairs i < j in one group at most ``radius`` bits apart; with ``asks`` only those whose i asks.
 
     ``group`` is non-decreasing from 0. A block is one query against a word of
     64 candidates; planes are added until every lane of a block is over the
@@ -141,6 +141,8 @@ def close_pairs(fp: np.ndarray, group: np.ndarray, radius: int):
     flip = np.where(np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool), _FULL, np.uint64(0)).T.copy()
     own_word = np.searchsorted(member.reshape(-1, 64).max(axis=1), np.arange(len(fp)))  # only words from a query's own on
     todo = base[group + 1] - own_word
+    if asks is not None:
+        todo = np.where(asks, todo, 0)
     ends = np.cumsum(todo)
     at = 0
     while at < len(fp):
@@ -224,15 +226,15 @@ def bucketed(nodes: DataFrame, tables: list[list[tuple[int, int]]]) -> DataFrame
     return keys.join(hot, ["t", "key"], "left").select("t", "key", "fp", "rep", F.explode(pairs).alias("tile"))
 
 
-def bucket_runs(batches, columns: int):
-    """Whole buckets (t, key, tile) from sorted batches, many small ones together; yields numpy columns and bucket numbers."""
+def bucket_runs(batches, columns: int, by: int = 3):
+    """Whole buckets, equal in the first ``by`` columns, from sorted batches, many small ones together; yields numpy columns and bucket numbers."""
     held: list[pa.RecordBatch] = []
     rows = 0
 
     def give(table, upto):
         cols = [table.column(c).to_numpy()[:upto] for c in range(columns)]
         new = np.zeros(upto, dtype=bool)
-        for c in cols[:3]:
+        for c in cols[:by]:
             new[1:] |= c[1:] != c[:-1]
         return cols, np.cumsum(new)
 
@@ -243,7 +245,7 @@ def bucket_runs(batches, columns: int):
             continue
         table = pa.Table.from_batches(held).combine_chunks()
         last = np.zeros(rows, dtype=bool)
-        for c in range(3):
+        for c in range(by):
             x = table.column(c).to_numpy()
             last |= x != x[-1]
         cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0

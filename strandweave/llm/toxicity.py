@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.core.session import extended, ship
+from strandweave.core.session import extended, free_name, ship
 from strandweave.llm import textscan
 
 BUCKETS = 1 << 18  #: hashed word features
@@ -180,17 +180,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents with a column ``score``, the chance of being toxic from the whole text alone; null texts count as empty."""
+    """The documents with one more, last column ``score``, the chance of being toxic from the whole text alone; null texts count as empty.
+
+    An input column of that name keeps its values; the new one is then called ``score_``.
+    """
     ship(docs.sparkSession)
-    docs = docs.drop("score")
-    names = [*docs.columns, "score"]
+    name = free_name(docs, "score")
+    names = [*docs.columns, name]
     at = docs.columns.index("text")
 
     def run(batches):
         for part in textscan.runs(batches):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.scores(part.column(at)))], names=names)
 
-    return docs.mapInArrow(run, extended(docs, score="double"))
+    return docs.mapInArrow(run, extended(docs, **{name: "double"}))
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The documents whose score is under ``threshold``, as they are."""
+    scored = score(docs, model)
+    return scored.where(F.col(scored.columns[-1]) < threshold).select(*docs.columns)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
