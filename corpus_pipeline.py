@@ -17,22 +17,24 @@ from strandweave.llm import decontaminate, linededup, neardup, packing, toxicity
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under 0.5, from a model of the labelled documents outside the held-out fold."""
-    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("score < 0.5").select(*docs.columns)
+    return toxicity.without_toxic(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that five or more share, but for one copy; n_chars follows the text where lines went."""
     out = linededup.without_repeated_lines(docs)
+    dropped = F.col(out.columns[-1])
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(dropped > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of copies and of near copies (five-word shingles, similarity 0.8 or more)."""
-    copies = neardup.groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of copies and of near copies (five-word shingles, similarity 0.8 or more): the least doc_id.
+
+    A doc_id that comes with several texts is several documents.
+    """
+    return neardup.without_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
