@@ -31,7 +31,7 @@ from strandweave.llm.graph import components
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 28
 SAMPLE, COMMON, LISTED = 32, 16, 100_000  #: texts sampled one in SAMPLE; shingles in COMMON of them or more come last in the order, LISTED at most
 TILE = 2048  #: expected documents of a common shingle's bucket that one comparison holds from either side
-SLAB = 1 << 20  #: bucket entries made at once
+SLAB = 1 << 17  #: bucket entries made at once
 HELD = 1_000_000  #: most rows of ids that are broadcast
 _SLACK = 1e-9  #: against rounding of similarity * size
 _CUT = np.uint64(16)  #: bits of a shingle's hash that its bucket leaves out

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-RUN_BYTES = 2 << 20
+RUN_BYTES = (1 << 20) - (1 << 12)  #: a little under a power of two, which the tables of powers are rounded up to
 
 _M = (1 << 64) - 1
 _rng = np.random.default_rng(20240229)
