@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandweave.core.session import read
-from strandweave.llm import ann, decontaminate, langid, linededup, packing, repeats, sharding, simhash, toxicity
+from strandweave.llm import ann, decontaminate, langid, linededup, packing, repeats, sharding, simhash, suffixes, toxicity
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +18,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repeated_passages(read(spark, sf_dir, "documents"), window=50)
+    return suffixes.repeated_passages(read(spark, sf_dir, "documents"), window=50)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,23 +1,28 @@
-"""Word sequences that repeat across documents: fixed-block anchors (operator 7) and sparse suffixes (operator 3).
+"""Removal of word sequences that repeat across documents, by fixed-block anchors (operator 7).
 
-Both find, for every window of so many words, whether an equal window starts
-in a document with a smaller doc_id. They differ in the anchors that select
-candidate windows; the extension of hits and everything around it is shared:
+For every window of so many words it is found whether an equal window starts
+in a document with a smaller doc_id:
 
 1. Texts are kept as compressed chunks in the shared checkpoint folder,
    partitioned by chunk, so that later steps join small results to them
    without shuffling text again.
-2. Every chunk sends the sorted, delta-coded hashes of its anchors, each
-   distinct one once however often the chunk holds it, to the partition of
-   their hash range. Neighbours with equal hashes from two chunks, or from two
-   documents of one chunk, are hits. A bit mask comes back.
-3. Windows that contain a hit are extended to full length: their 71-bit or
-   longer keys meet in partitions by hash, each chunk sending only its least
-   document for a window, and windows of later documents come back as marks.
+2. Non-overlapping reference blocks and the rolling windows that probe them
+   meet by hash range: every chunk sends its sorted, delta-coded hashes, each
+   distinct one once however often the chunk holds it. Neighbours with equal
+   hashes from two chunks, or from two documents of one chunk, are hits. A bit
+   mask comes back.
+3. A hit is extended by up to a block less one word to either side, to every
+   window that holds it. Keys of these windows (64 bits and those that the
+   range takes off) meet by range, each chunk sending only its least document
+   for a window, and windows of later documents come back as marks.
 4. Marked windows are merged into maximal repeats in their chunk.
 
-A passage that a third of all documents hold costs one entry a chunk, not one
-a document, and no pairs of documents are formed.
+Ranges are cells of about CELL_WORDS words. Tasks are as many as the session
+has shuffle partitions and take their cells one at a time, in sorted order.
+What a chunk sends a cell is one row; with more cells than a chunk has anchors
+a row is one anchor, so what is shuffled stays in proportion to the words. A
+passage that a third of all documents hold costs one entry a chunk, not one a
+document, and no pairs of documents are formed.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ from strandweave.core.session import checkpoint_by, ship
 from strandweave.llm import textscan
 
 CHUNK_BYTES = 4 << 20
-PART_WORDS = 1 << 20  #: words whose anchors meet in one partition
+CELL_WORDS = 1 << 20  #: words whose anchors meet in one cell
 _TYPES = ["u1", "<u4", "<u8", "<i8"]
 
 
@@ -128,38 +133,6 @@ class BlockAnchors:
         return window - self.size
 
 
-@dataclass(frozen=True)
-class SuffixAnchors:
-    """Suffixes kept where a k-word hash is the least of ``span`` consecutive ones, sorted by their first words.
-
-    The choice depends on content alone, so equal passages keep equal
-    suffixes. A passage of ``window`` words keeps one among its first ``span``
-    positions, which shares at least window - span + 1 words with its copy;
-    suffixes are compared by that many words.
-    """
-
-    k: int = 8
-    span: int = 20
-    window: int = 50
-
-    def find(self, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        size = self.window - self.span + 1
-        g = textscan.grams(c.h, self.k)
-        if len(g) < self.span:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-        low = np.lib.stride_tricks.sliding_window_view(g, self.span)
-        kept = np.zeros(len(g), dtype=bool)
-        for a in range(0, len(low), 1 << 15):  # the leftmost least of each run of k-grams
-            part = low[a : a + (1 << 15)]
-            kept[np.arange(a, a + len(part)) + part.argmin(axis=1)] = True
-        ok = c.within(size)
-        at = np.flatnonzero(kept[: len(ok)] & ok)
-        return at, textscan.grams(c.h, size)[at], np.ones(len(at), dtype=bool)
-
-    def slack(self, window: int) -> int:
-        return self.span - 1
-
-
 def _route(key: np.ndarray, parts: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
@@ -218,14 +191,15 @@ _SENT_NAMES, _SENT_TYPES = ["part", "kind", "chunk", "blob"], [pa.int32(), pa.in
 
 
 def _meet(sent: DataFrame, parts: int, work) -> DataFrame:
-    """``work`` on all blobs of each part; returns (chunk, blobs), the results of a chunk together."""
+    """``work`` on all blobs of each of ``parts`` cells; returns (chunk, blobs), the results of a chunk together."""
+    tasks = min(parts, int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches):
         for rows in _by_part(batches, work):
             if rows:
                 yield _rows(["chunk", "blob"], [pa.int64(), pa.binary()], rows)
 
-    got = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "chunk long, blob binary")
+    got = sent.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(run, "chunk long, blob binary")
     return got.groupBy("chunk").agg(F.collect_list("blob").alias("blobs"))
 
 
@@ -252,7 +226,7 @@ def _hits(rows):
 
 
 def _later(rows):
-    """Windows that start in a smaller document too: (positions, that document), a blob for each chunk."""
+    """Positions of windows that start in a smaller document too, a blob for each chunk."""
     passed = [(r[2], r[3]) for r in rows if r[1] == 1]
     if passed:
         yield passed
@@ -272,18 +246,13 @@ def _later(rows):
         at += len(o[0])
         late = doc[mine] > least[mine]
         if late.any():
-            out.append((r[2], pack(o[2][late], least[mine][late])))
+            out.append((r[2], pack(o[2][late])))
     yield out
 
 
-def marks(table: DataFrame, n_words: int, anchors, window: int, exact: bool = False) -> DataFrame:
-    """(chunk, blobs): the windows of each chunk that also start in a document with a smaller doc_id, as packed (word, smaller doc_id).
-
-    That is the least one for the first document of each chunk; other documents
-    of the chunk get their chunk's first and, if ``exact``, the word where it
-    holds the window, by which ``_marked`` finds the least one of all chunks.
-    """
-    parts = max(8, math.ceil(n_words / PART_WORDS))
+def marks(table: DataFrame, n_words: int, anchors: BlockAnchors, window: int) -> DataFrame:
+    """(chunk, blobs): the windows of each chunk that also start in a document with a smaller doc_id, as packed word positions."""
+    parts = max(8, math.ceil(n_words / CELL_WORDS))
 
     def probes(batches):
         for batch in batches:
@@ -316,12 +285,8 @@ def marks(table: DataFrame, n_words: int, anchors, window: int, exact: bool = Fa
                 order = np.lexsort((where, doc, key, part))
                 part, key, doc, where = part[order], key[order], doc[order], where[order]
                 new = _heads(part, key)
-                least = doc[new][np.cumsum(new) - 1]
-                late = doc > least
-                rows = []
-                if late.any():
-                    first = [where[new][np.cumsum(new) - 1][late].astype("<u4")] if exact else []
-                    rows.append((chunk % parts, 1, chunk, pack(where[late].astype("<u4"), least[late].astype("<i8"), *first)))
+                late = doc > doc[new][np.cumsum(new) - 1]
+                rows = [(chunk % parts, 1, chunk, pack(where[late].astype("<u4")))] if late.any() else []
                 part, key, doc, where = part[~late], key[~late], doc[~late], where[~late]
                 rows += [(p, 0, chunk, pack(np.diff(key[a:b], prepend=np.uint64(0)).astype("<u8"), doc[a:b].astype("<i8"), where[a:b].astype("<u4"))) for p, a, b in _spans(part)]
                 yield _rows(_SENT_NAMES, _SENT_TYPES, rows)
@@ -331,19 +296,8 @@ def marks(table: DataFrame, n_words: int, anchors, window: int, exact: bool = Fa
     return _meet(sent, parts, _later)
 
 
-def _marked(c: Chunk, blobs) -> tuple[np.ndarray, np.ndarray]:
-    found = [unpack(b) for b in blobs or ()]
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at, least = np.concatenate([f[0] for f in found]).astype(np.int64), np.concatenate([f[1] for f in found])
-    order = np.argsort(at, kind="stable")
-    at, least = at[order], least[order]
-    for late, _, first in (f for f in found if len(f) == 3):
-        place = np.minimum(np.searchsorted(at, first), len(at) - 1)
-        known = at[place] == first  # else the chunk's first document is the least of all
-        mine = np.searchsorted(at, late[known])
-        least[mine] = np.minimum(least[mine], least[place[known]])
-    return at, least
+def _marked(blobs) -> np.ndarray:
+    return np.concatenate([*(unpack(b)[0].astype(np.int64) for b in blobs or ()), np.zeros(0, np.int64)])
 
 
 def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
@@ -363,7 +317,7 @@ def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
         for batch in batches:
             for blob, blobs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 c = Chunk.of(blob)
-                at, _ = _marked(c, blobs)
+                at = _marked(blobs)
                 cover = np.zeros(len(c.h) + 1, dtype=np.int64)
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + window, -1)
@@ -388,32 +342,3 @@ def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     found = marks(table, n_words, BlockAnchors((window + 1) // 2), window)
     rows = table.join(found, "chunk", "left").select("blob", "blobs")
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
-
-
-def repeated_passages(docs: DataFrame, window: int = 50, k: int = 8, span: int = 20) -> DataFrame:
-    """(doc_id, start, length, earlier_doc_id): maximal passages made of ``window``-word repeats from documents with smaller ids.
-
-    ``start`` and ``length`` count words; ``earlier_doc_id`` is the least
-    document that holds a window of the passage. Documents that repeat nothing
-    have no row. Null texts and rows without doc_id take no part.
-    """
-    names = ["doc_id", "start", "length", "earlier_doc_id"]
-
-    def run(batches):
-        for batch in batches:
-            for blob, blobs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c = Chunk.of(blob)
-                at, least = _marked(c, blobs)
-                if not len(at):
-                    continue
-                text = np.searchsorted(c.words.first, at, side="right") - 1
-                new = _heads(text)
-                new[1:] |= at[1:] > at[:-1] + window  # no word between two windows joins them
-                head = np.flatnonzero(new)
-                last = np.r_[head[1:] - 1, len(at) - 1]
-                cols = [c.ids[text[head]], at[head] - c.words.first[text[head]], at[last] + window - at[head], np.minimum.reduceat(least, head)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=names)
-
-    table, n_words = chunked(docs)
-    found = marks(table, n_words, SuffixAnchors(k, span, window), window, exact=True)
-    return table.join(found, "chunk").select("blob", "blobs").mapInArrow(run, "doc_id long, start long, length long, earlier_doc_id long")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from strandweave.llm import ann, decontaminate, langid, linededup, packing, repeats, sharding, simhash, toxicity
+from strandweave.llm import ann, decontaminate, langid, linededup, packing, repeats, sharding, simhash, suffixes, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -98,11 +98,11 @@ def test_repeated_passages(docs, empty):
         for i in range(len(w) - 49):
             if first[tuple(w[i : i + 50])] < d:
                 want[d] |= set(range(i, i + 50))
-    for r in repeats.repeated_passages(docs).collect():
+    for r in suffixes.repeated_passages(docs).collect():
         got[r["doc_id"]] |= set(range(r["start"], r["start"] + r["length"]))
         assert r["earlier_doc_id"] < r["doc_id"]
     assert got == want and want
-    assert repeats.repeated_passages(empty).count() == 0
+    assert suffixes.repeated_passages(empty).count() == 0
 
 
 def _fingerprint(t):
@@ -424,7 +424,7 @@ def test_repeated_passages_name_the_least_document_over_chunks(spark):
     chunks = [[(9, say(passage)), (4, say(other)), (11, say(other))], [(5, say(passage)), (7, say(passage, other))], [(1, say(passage)), (12, say(passage)), (3, say(other))]]
     rdd = spark.sparkContext.parallelize([r for c in chunks for r in c], 8)
     for parts in (rdd, spark.sparkContext.union([spark.sparkContext.parallelize(c, 1) for c in chunks])):
-        got = {(r["doc_id"], r["length"], r["earlier_doc_id"]) for r in repeats.repeated_passages(spark.createDataFrame(parts, "doc_id long, text string")).collect()}
+        got = {(r["doc_id"], r["length"], r["earlier_doc_id"]) for r in suffixes.repeated_passages(spark.createDataFrame(parts, "doc_id long, text string")).collect()}
         assert got == {(5, 80, 1), (7, 150, 1), (9, 80, 1), (12, 80, 1), (4, 70, 3), (11, 70, 3)}
 
 
