@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandweave.functions.dna import gc_count
 from strandweave.operators import profiles, rules, usage
 from strandweave.plans import solve
 
@@ -80,4 +81,4 @@ def packaging(constructs: DataFrame, limit: str = "aav") -> DataFrame:
 def summary(seqs: DataFrame, table: DataFrame) -> DataFrame:
     """CAI, GC and the additive terms of each sequence, recomputed from the sequence itself."""
     terms = usage.additive_terms(seqs, table).join(usage.adaptation_index(seqs, table).withColumnRenamed("index", "cai"), "seq_id")
-    return terms.join(seqs.select("seq_id", profiles.gc_count(F.col("dna")).alias("gc_count"), F.length("dna").alias("length_nt")), "seq_id")
+    return terms.join(seqs.select("seq_id", gc_count(F.col("dna")).alias("gc_count"), F.length("dna").alias("length_nt")), "seq_id")

@@ -102,3 +102,9 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt anew if they come from fewer files than the session has cores; larger inputs have splits enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

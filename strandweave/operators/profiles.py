@@ -2,56 +2,87 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandweave.core.genetic import ACCEPTOR, ACCEPTOR_ANCHOR, DONOR, DONOR_ANCHOR, pwm_log_odds
-from strandweave.functions.dna import gc_count
-from strandweave.operators.positions import codons, kmers, windows
+from strandweave.operators.kernels import Run, kernel
+from strandweave.operators.usage import by_number
 
 
 def gc_profile(seqs: DataFrame, width: int = 50) -> DataFrame:
-    """(seq_id, pos, value): GC share of every full window; each window is one substring, so nothing is sorted."""
-    return kmers(seqs, width).select("seq_id", "pos", (gc_count(F.col("kmer")) / F.lit(float(width))).alias("value"))
+    """(seq_id, pos, value): GC share of every full window, from running sums within the row."""
+
+    def profile(run: Run):
+        row, place, at = run.starts(width)
+        strong = (run.codes == 1) | (run.codes == 2)
+        return row, [place.astype(np.int32), run.window_sums(strong, at, width) / width]
+
+    return kernel(seqs, profile, "pos int, value double")
 
 
 def dinucleotide_profile(seqs: DataFrame, pair: str = "CG", width: int = 50) -> DataFrame:
-    """(seq_id, pos, n, density): overlapping occurrences of a pair in every full window."""
-    k = F.col("kmer")
-    # a pair of two letters overlaps itself only if they are equal
-    if pair[0] == pair[1]:
-        n = F.length(k) - 1 - F.length(F.regexp_replace(F.regexp_replace(k, f"(?<={pair[0]}){pair[0]}", "#"), "[^#]", ""))
-        n = F.length(k) - 1 - n
-    else:
-        n = (F.length(k) - F.length(F.replace(k, F.lit(pair), F.lit("")))) / 2
-    rows = kmers(seqs, width).select("seq_id", "pos", n.cast("long").alias("n"))
-    return rows.withColumn("density", F.col("n") / F.lit(float(width - 1)) if width > 1 else F.lit(0.0))
+    """(seq_id, pos, n, density): overlapping occurrences of a pair in every full window; a window of one base has density 0."""
+    x, y = ("ACGT".index(c) for c in pair)
+
+    def profile(run: Run):
+        row, place, at = run.starts(width)
+        hit = np.zeros(len(run.codes), dtype=bool)
+        hit[:-1] = (run.codes[:-1] == x) & (run.codes[1:] == y)
+        n = run.window_sums(hit, at, width - 1)
+        return row, [place.astype(np.int32), n, n / (width - 1) if width > 1 else np.zeros(len(n))]
+
+    return kernel(seqs, profile, "pos int, n long, density double")
 
 
 def minmax_profile(seqs: DataFrame, table: DataFrame, width: int = 18) -> DataFrame:
-    """(seq_id, cpos, value): the %MinMax value of every full window of codons."""
+    """(seq_id, cpos, value): the %MinMax value of every full window of codons, all of them in A, C, G and T."""
     family = W.partitionBy("aa")
     t = table.select("codon", F.col("frequency").alias("actual"), F.avg("frequency").over(family).alias("mean"), F.max("frequency").over(family).alias("most"), F.min("frequency").over(family).alias("least"))
-    rows = codons(seqs).join(F.broadcast(t), "codon")
-    s = windows(rows, width, {"a": "actual", "v": "mean", "x": "most", "m": "least"}, "cpos")
-    up = F.when(F.col("x") - F.col("v") != 0, 100 * (F.col("a") - F.col("v")) / (F.col("x") - F.col("v"))).otherwise(0.0)
-    down = F.when(F.col("v") - F.col("m") != 0, -100 * (F.col("v") - F.col("a")) / (F.col("v") - F.col("m"))).otherwise(0.0)
-    return s.select("seq_id", "cpos", F.when(F.col("a") > F.col("v"), up).otherwise(down).alias("value"))
+    parts = [by_number(t, c) for c in ("actual", "mean", "most", "least")]
+
+    def profile(run: Run):
+        row, place, number = run.codons()
+        if len(row) < width:
+            return np.zeros(0, np.int64), [np.zeros(0, np.int32), np.zeros(0)]
+        view = lambda x: np.lib.stride_tricks.sliding_window_view(x, width)
+        at = np.flatnonzero((row[width - 1 :] == row[: len(row) - width + 1]) & (view(number).min(axis=1) >= 0))
+        a, v, x, m = (view(p[number])[at].sum(axis=1) for p in parts)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up, down = np.where(x != v, 100 * (a - v) / (x - v), 0.0), np.where(v != m, -100 * (v - a) / (v - m), 0.0)
+        return row[at], [place[at].astype(np.int32), np.where(a > v, up, down)]
+
+    return kernel(seqs, profile, "cpos int, value double")
 
 
-def _pwm(kmer: str, table):
-    total = F.lit(0.0)
-    for i, odds in enumerate(pwm_log_odds(table)):
-        base = F.expr(f"substring({kmer}, {i + 1}, 1)")
-        total = total + F.when(base == "A", odds["A"]).when(base == "C", odds["C"]).when(base == "G", odds["G"]).otherwise(odds["T"])
-    return 1 / (1 + F.exp(-total))
+def _site_track(run: Run, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, place, score) of every window of a matrix of log odds; other letters count as T."""
+    row, place, at = run.starts(len(odds))
+    codes = np.minimum(run.codes, 3)
+    total = np.zeros(len(at))
+    for i, column in enumerate(odds):
+        total += column[codes[at + i]]
+    return row, place, 1 / (1 + np.exp(-total))
+
+
+def _odds(kind: str) -> tuple[np.ndarray, int]:
+    table, anchor = (DONOR, DONOR_ANCHOR) if kind == "donor" else (ACCEPTOR, ACCEPTOR_ANCHOR)
+    return np.array([[c[b] for b in "ACGT"] for c in pwm_log_odds(table)]), anchor
 
 
 def site_scores(seqs: DataFrame, kind: str) -> DataFrame:
     """(seq_id, pos, score) of donors or acceptors, by the position of their anchor; positions without full context have no row (score 0)."""
-    table, anchor = (DONOR, DONOR_ANCHOR) if kind == "donor" else (ACCEPTOR, ACCEPTOR_ANCHOR)
-    return kmers(seqs, len(table)).select("seq_id", (F.col("pos") + anchor).alias("pos"), _pwm("kmer", table).alias("score"))
+    odds, anchor = _odds(kind)
+
+    def track(run: Run):
+        row, place, score = _site_track(run, odds)
+        return row, [(place + anchor).astype(np.int32), score]
+
+    return kernel(seqs, track, "pos int, score double")
 
 
 def both_sites(seqs: DataFrame) -> DataFrame:
@@ -68,12 +99,58 @@ def peaks(scores: DataFrame, threshold: float) -> DataFrame:
 
 
 def pooled_risk(scores: DataFrame, background: float = 0.01, top_k: int = 3, floor: float = 1e-6) -> DataFrame:
-    """(seq_id, risk, response, n_above, top): log odds over the background, summed over the k highest sites."""
+    """(seq_id, risk, response, n_above, top, n_scored, below_background): log odds over the background, summed over the k highest sites.
+
+    ``below_background`` says that nothing scored over the background, so that
+    the risk is 0 by construction. Tops of blocks of positions are taken
+    first, so a long sequence is not sorted in one place.
+    """
     clamp = lambda p: F.greatest(F.lit(floor), F.least(F.lit(1 - floor), p))
-    logit = lambda p: F.log(p / (1 - p))
-    base = float(__import__("math").log(background / (1 - background)))
-    rows = scores.withColumn("l", logit(clamp(F.col("score"))))
-    order = W.partitionBy("seq_id").orderBy(F.col("l").desc(), "pos", "kind")
-    top = rows.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= top_k)
-    above = rows.groupBy("seq_id").agg(F.count_if(F.col("l") > base).alias("n_above"), F.max("score").alias("top"))
-    return top.groupBy("seq_id").agg(F.sum(F.greatest(F.lit(0.0), F.col("l") - base)).alias("risk"), F.sum("l").alias("response")).join(above, "seq_id")
+    base = math.log(background / (1 - background))
+    rows = scores.withColumn("l", F.log(clamp(F.col("score")) / (1 - clamp(F.col("score")))))
+    best = [F.col("l").desc(), "pos", "kind"]
+    part = W.partitionBy("seq_id", "block").orderBy(*best)
+    some = rows.withColumn("block", F.floor(F.col("pos") / 65536)).withColumn("__r", F.row_number().over(part)).where(F.col("__r") <= top_k)
+    top = some.withColumn("__r", F.row_number().over(W.partitionBy("seq_id").orderBy(*best))).where(F.col("__r") <= top_k)
+    above = rows.groupBy("seq_id").agg(F.count_if(F.col("l") > base).alias("n_above"), F.max("score").alias("top"), F.count(F.lit(1)).alias("n_scored"))
+    out = top.groupBy("seq_id").agg(F.sum(F.greatest(F.lit(0.0), F.col("l") - base)).alias("risk"), F.sum("l").alias("response")).join(above, "seq_id")
+    return out.withColumn("below_background", F.col("n_above") == 0)
+
+
+def sequence_risk(seqs: DataFrame, background: float = 0.01, top_k: int = 3, floor: float = 1e-6) -> DataFrame:
+    """``pooled_risk`` of both consensus tracks, within the row: no position leaves the kernel. Sequences too short for a site have no row."""
+    tracks = [_odds(k)[0] for k in ("donor", "acceptor")]
+    base = math.log(background / (1 - background))
+
+    def pool(run: Run):
+        found = [_site_track(run, odds) for odds in tracks]
+        row, score = (np.concatenate([f[i] for f in found]) for i in (0, 2))
+        p = np.clip(score, floor, 1 - floor)
+        logit = np.log(p / (1 - p))
+        order = np.lexsort((-logit, row))
+        row, score, logit = row[order], score[order], logit[order]
+        some, head, n = np.unique(row, return_index=True, return_counts=True)
+        place = np.arange(len(row)) - np.repeat(head, n)
+        kept, at = place < top_k, np.repeat(np.arange(len(some)), n)
+        add = lambda x, m: np.bincount(at[m], weights=x[m], minlength=len(some))
+        above = np.bincount(at[logit > base], minlength=len(some))
+        return some, [add(np.maximum(0.0, logit - base), kept), add(logit, kept), above, np.maximum.reduceat(score, head) if len(head) else score, n, above == 0]
+
+    return kernel(seqs, pool, "risk double, response double, n_above long, top double, n_scored long, below_background boolean")
+
+
+def risk_in_context(seqs: DataFrame, **options) -> DataFrame:
+    """``pooled_risk`` of the sites within ``dna``, scored with what stands before and after it: seqs(seq_id, dna, upstream, downstream).
+
+    The real flanks take the place of missing context; positions stay those of ``dna``.
+    """
+    return pooled_risk(scores_in_context(seqs), **options)
+
+
+def scores_in_context(seqs: DataFrame) -> DataFrame:
+    """(seq_id, pos, score, kind) within ``dna``, scored in its flanks; never calibrated, whatever the backend is without flanks."""
+    flank = lambda c: F.coalesce(F.upper(F.col(c)), F.lit(""))
+    rows = seqs.select(F.struct("seq_id", F.length(flank("upstream")).alias("lead"), F.length("dna").alias("size")).alias("seq_id"), F.concat(flank("upstream"), "dna", flank("downstream")).alias("dna"))
+    found = both_sites(rows).select("seq_id.*", "pos", "score", "kind")
+    inside = (F.col("pos") >= F.col("lead")) & (F.col("pos") < F.col("lead") + F.col("size"))
+    return found.where(inside).select("seq_id", (F.col("pos") - F.col("lead")).alias("pos"), "score", "kind")

@@ -4,46 +4,75 @@ Every rule maps sequences(seq_id, dna) to
 violations(seq_id, constraint, severity, start, end, detail) with 0-based
 half-open spans, and ``ok_suffix(prefix, codon)`` says whether appending a
 codon to a clean prefix keeps it clean. The two agree: a sequence built under
-``ok_suffix`` has no violations.
+``ok_suffix`` has no violations. ``spans`` states a rule plainly; ``found`` gives
+the same spans with their details, fast over long sequences.
+
+``validate`` runs any number of rules in one pass over the sequences, without
+a shuffle.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandweave.core.genetic import STOPS, iupac_regex, reverse_complement, with_reverse
-from strandweave.functions import dna as D
-from strandweave.operators.positions import kmers, runs
+from strandweave.operators.kernels import Run, kernel
 
 COLUMNS = ("seq_id", "constraint", "severity", "start", "end", "detail")
 UNBOUNDED = 1 << 30
-
-
-def _violations(rows: DataFrame, name: str, start: Column, end: Column, detail: Column) -> DataFrame:
-    return rows.select("seq_id", F.lit(name).alias("constraint"), F.lit("HARD").alias("severity"), start.cast("int").alias("start"), end.cast("int").alias("end"), detail.alias("detail"))
+_WIDEST = 27  #: letters of a word that one number holds
 
 
 @dataclass(frozen=True)
 class Rule:
     """``name`` and ``context``, the bases before a codon that the veto reads."""
 
+    @property
+    def settled(self) -> int:
+        """The length of a prefix from which on the veto depends on the context alone."""
+        return self.context
+
     def violations(self, seqs: DataFrame) -> DataFrame:
-        raise NotImplementedError
+        return validate(seqs, [self])
 
     def spans(self, dna: str) -> list[tuple[int, int]]:
-        """The violating spans of one sequence, for the veto."""
+        """The violating spans of one sequence."""
         raise NotImplementedError
 
+    def found(self, dna: str) -> list[tuple[int, int, str]]:
+        """The same with what each one is."""
+        return [(a, b, dna[a:b]) for a, b in self.spans(dna)]
+
     def ok_suffix(self, prefix: str, codon: str) -> bool:
         tail = prefix if self.context >= UNBOUNDED else prefix[max(0, len(prefix) - self.context) :]
         return all(end <= len(tail) for _, end in self.spans(tail + codon))
 
 
+def _tail(prefix: str, n: int) -> str:
+    return prefix[max(0, len(prefix) - n) :]
+
+
+def _words(dna: str, k: int) -> np.ndarray | None:
+    """Every k-letter word as a number; None where one number cannot hold it or a letter is not a base."""
+    run = Run(pa.array([dna]))
+    return run.words(k)[2] if k <= _WIDEST and not (run.codes > 3).any() else None
+
+
+@lru_cache
+def _pattern(text: str) -> re.Pattern:
+    return re.compile(text)
+
+
 def _runs_in(dna: str, letter, most: int) -> list[tuple[int, int]]:
     out, at = [], 0
     while at < len(dna):
@@ -67,9 +96,11 @@ class Homopolymer(Rule):
     def context(self) -> int:
         return self.most
 
-    def violations(self, seqs):
-        found = runs(kmers(seqs, 1).withColumnRenamed("kmer", "key")).where(F.col("end") - F.col("start") > self.most)
-        return _violations(found, self.name, F.col("start"), F.col("end"), F.concat(F.lit("run of "), "key", F.lit(" x "), (F.col("end") - F.col("start")).cast("string")))
+    def found(self, dna):
+        return [(m.start(), m.end(), f"run of {m.group(1)} x {m.end() - m.start()}") for m in _pattern(rf"(.)\1{{{self.most},}}").finditer(dna)]
+
+    def ok_suffix(self, prefix, codon):
+        return not _pattern(rf"(.)\1{{{self.most},}}").search(_tail(prefix, self.most) + codon)
 
     def spans(self, dna):
         return _runs_in(dna, lambda c: c, self.most)
@@ -86,10 +117,11 @@ class GcRun(Rule):
     def context(self) -> int:
         return self.most
 
-    def violations(self, seqs):
-        strong = kmers(seqs, 1).where(F.col("kmer").isin("G", "C")).withColumn("key", F.lit("S"))
-        found = runs(strong).where(F.col("end") - F.col("start") > self.most)
-        return _violations(found, self.name, F.col("start"), F.col("end"), F.concat(F.lit("G/C run of "), (F.col("end") - F.col("start")).cast("string")))
+    def found(self, dna):
+        return [(m.start(), m.end(), f"G/C run of {m.end() - m.start()}") for m in _pattern(f"[GC]{{{self.most + 1},}}").finditer(dna)]
+
+    def ok_suffix(self, prefix, codon):
+        return not _pattern(f"[GC]{{{self.most + 1},}}").search(_tail(prefix, self.most) + codon)
 
     def spans(self, dna):
         return _runs_in(dna, lambda c: c in "GC", self.most)
@@ -109,20 +141,36 @@ class GcWindow(Rule):
         return self.width - 1
 
     def bounds(self) -> tuple[int, int]:
-        import math
-
         return math.ceil(self.low * self.width - 1e-9), math.floor(self.high * self.width + 1e-9)
 
-    def violations(self, seqs):
+    def found(self, dna):
+        lo, hi = self.bounds()
+        run = Run(pa.array([dna]))
+        _, place, at = run.starts(self.width)
+        n = run.window_sums((run.codes == 1) | (run.codes == 2), at, self.width)
+        bad = np.flatnonzero((n < lo) | (n > hi))
+        return [(a, a + self.width, f"GC count {c}") for a, c in zip(place[bad].tolist(), n[bad].tolist(), strict=True)]
+
+    def ok_suffix(self, prefix, codon):
         lo, hi = self.bounds()
-        rows = kmers(seqs, self.width).withColumn("gc", D.gc_count(F.col("kmer"))).where(~F.col("gc").between(lo, hi))
-        return _violations(rows, self.name, F.col("pos"), F.col("pos") + self.width, F.concat(F.lit("GC count "), F.col("gc").cast("string")))
+        text = _tail(prefix, self.width - 1) + codon
+        for end in range(max(self.width, len(text) - len(codon) + 1), len(text) + 1):
+            part = text[end - self.width : end]
+            if not lo <= part.count("G") + part.count("C") <= hi:
+                return False
+        return True
 
     def spans(self, dna):
         lo, hi = self.bounds()
         return [(i, i + self.width) for i in range(len(dna) - self.width + 1) if not lo <= sum(c in "GC" for c in dna[i : i + self.width]) <= hi]
 
 
+@lru_cache
+def _by_length(patterns: tuple[str, ...]) -> list[tuple[int, re.Pattern]]:
+    """One pattern for all motifs of a length."""
+    return [(n, re.compile("|".join(iupac_regex(p) for p in patterns if len(p) == n))) for n in sorted({len(p) for p in patterns})]
+
+
 @dataclass(frozen=True)
 class Motifs(Rule):
     """Occurrences, overlapping ones too, of IUPAC motifs and (if asked) of their reverse complements."""
@@ -138,15 +186,13 @@ class Motifs(Rule):
     def context(self) -> int:
         return max(map(len, self.patterns())) - 1
 
-    def violations(self, seqs):
-        out = None
-        for size in sorted({len(m) for m in self.patterns()}):
-            here = [m for m in self.patterns() if len(m) == size]
-            hits = F.filter(F.array(*[F.when(F.col("kmer").rlike(f"^{iupac_regex(m)}$"), F.lit(m)) for m in here]), lambda m: m.isNotNull())
-            rows = kmers(seqs, size).select("seq_id", "pos", F.explode(hits).alias("motif"))
-            found = _violations(rows, self.name, F.col("pos"), F.col("pos") + size, F.concat(F.lit("motif "), "motif"))
-            out = found if out is None else out.unionAll(found)
-        return out
+    def found(self, dna):
+        return [(m.start(), m.start() + len(p), f"motif {p}") for p in self.patterns() for m in _pattern(f"(?={iupac_regex(p)})").finditer(dna)]
+
+    def ok_suffix(self, prefix, codon):
+        tail = _tail(prefix, self.context)
+        text = tail + codon
+        return not any(p.search(text, max(0, len(tail) - n + 1)) for n, p in _by_length(tuple(self.patterns())))
 
     def spans(self, dna):
         return sorted((m.start(), m.start() + len(p)) for p in self.patterns() for m in re.finditer(f"(?={iupac_regex(p)})", dna))
@@ -174,9 +220,14 @@ class TandemRepeat(Rule):
     def context(self) -> int:
         return self.unit * self.copies - 1
 
-    def violations(self, seqs):
-        rows = kmers(seqs, self.unit * self.copies).where(F.col("kmer") == F.repeat(F.left("kmer", F.lit(self.unit)), F.lit(self.copies)))
-        return _violations(rows, self.name, F.col("pos"), F.col("pos") + self.unit * self.copies, F.concat(F.lit("tandem repeat "), "kmer"))
+    def found(self, dna):
+        u, n = self.unit, self.unit * self.copies
+        raw = np.frombuffer(dna.encode("utf-32-le"), np.uint32)
+        if len(raw) < n:
+            return []
+        same = np.concatenate([[0], np.cumsum(raw[u:] == raw[:-u])])
+        at = np.flatnonzero(same[n - u :] - same[: len(same) - (n - u)] == n - u)
+        return [(a, a + n, f"tandem repeat {dna[a : a + n]}") for a in at.tolist()]
 
     def spans(self, dna):
         n = self.unit * self.copies
@@ -195,13 +246,17 @@ class InvertedRepeat(Rule):
     def context(self) -> int:
         return 2 * self.stem + self.loop - 1
 
-    def violations(self, seqs):
-        # the longest window that the sequence has from each start; shorter ones at its end are kept by padding with a letter that pairs with none
-        pad = seqs.select("seq_id", F.concat("dna", F.lit("." * self.loop)).alias("dna"))
-        rows = kmers(pad, 2 * self.stem + self.loop).withColumn("want", D.reverse_complement(F.left("kmer", F.lit(self.stem))))
-        gaps = F.filter(F.sequence(F.lit(0), F.lit(self.loop)), lambda g: F.substring("kmer", g + (self.stem + 1), F.lit(self.stem)) == F.col("want"))
-        rows = rows.select("seq_id", "pos", F.explode(gaps).alias("gap"))
-        return _violations(rows, self.name, F.col("pos"), F.col("pos") + 2 * self.stem + F.col("gap"), F.concat(F.lit("stem "), F.lit(self.stem).cast("string"), F.lit(" loop "), F.col("gap").cast("string")))
+    def found(self, dna):
+        s, own = self.stem, _words(dna, self.stem)
+        if own is None:
+            return [(a, b, f"stem {s} loop {b - a - 2 * s}") for a, b in self.spans(dna)]
+        other = _words(reverse_complement(dna), s)[::-1]  # the reverse complement of the word at each place
+        out = []
+        for g in range(self.loop + 1):
+            n = len(own) - s - g
+            if n > 0:
+                out += [(a, a + 2 * s + g, f"stem {s} loop {g}") for a in np.flatnonzero(other[:n] == own[s + g :]).tolist()]
+        return out
 
     def spans(self, dna):
         s = self.stem
@@ -219,21 +274,16 @@ class InternalStart(Rule):
     relaxable = True
     context = 6
 
-    def violations(self, seqs):
-        # two letters of padding give every ATG its neighbours; '.' is neither a purine nor G
-        pad = seqs.select("seq_id", F.concat(F.lit("..."), "dna", F.lit(".")).alias("dna"))
-        rows = kmers(pad, 7).where((F.substring("kmer", 4, 3) == "ATG") & (F.col("pos") >= self.least))
-        if self.purine:
-            rows = rows.where(F.substring("kmer", 1, 1).isin("A", "G"))
-        if self.g_after:
-            rows = rows.where(F.substring("kmer", 7, 1) == "G")
-        return _violations(rows, self.name, F.col("pos"), F.col("pos") + 3, F.concat(F.lit("internal ATG in "), "kmer"))
+    @property
+    def settled(self) -> int:
+        return max(self.context, self.least + 3)
 
     def hits(self, dna: str, before: int = 0) -> list[int]:
-        return [
-            i for i in range(len(dna) - 2)
-            if dna[i : i + 3] == "ATG" and i + before >= self.least and (not self.purine or (i >= 3 and dna[i - 3] in "AG")) and (not self.g_after or dna[i + 3 : i + 4] == "G")
-        ]
+        at = (m.start() for m in _pattern("(?=ATG)").finditer(dna))
+        return [i for i in at if i + before >= self.least and (not self.purine or (i >= 3 and dna[i - 3] in "AG")) and (not self.g_after or dna[i + 3 : i + 4] == "G")]
+
+    def found(self, dna):
+        return [(i, i + 3, f"internal ATG in {('...' + dna + '.')[i : i + 7]}") for i in self.hits(dna)]
 
     def spans(self, dna):
         return [(i, i + 3) for i in self.hits(dna)]
@@ -261,33 +311,23 @@ class PolyaSignal(Rule):
     def context(self) -> int:
         return max(map(len, self.hexamers)) + self.last - 1
 
-    def violations(self, seqs):
-        out = None
-        for hexamer in self.hexamers:
-            size = len(hexamer)
-            pad = seqs.select("seq_id", F.concat("dna", F.lit("." * self.last)).alias("dna"))
-            rows = kmers(pad, size + self.last).where(F.left("kmer", F.lit(size)) == hexamer)
-            part = lambda i: F.substring("kmer", i + (size + self.first + 1), F.lit(self.slice))  # noqa: E731, B023
-            rich = lambda s: (D.count_of(s, "T") >= self.t) | ((D.count_of(s, "T") >= self.gt_t) & (D.count_of(s, "GT") >= self.gt))
-            offsets = F.sequence(F.lit(0), F.lit(self.last - self.first - self.slice))
-            hit = F.filter(offsets, lambda i: ~part(i).contains(".") & rich(part(i)))  # noqa: B023
-            rows = rows.withColumn("at", F.get(hit, 0)).where("at is not null")
-            found = _violations(rows, self.name, F.col("pos"), F.col("pos") + size + self.first + self.slice + F.col("at"), F.concat(F.lit("functional "), F.lit(hexamer)))
-            out = found if out is None else out.unionAll(found)
-        return out
+    def found(self, dna):
+        return [(a, b, f"functional {h}") for h in self.hexamers for a, b in self._spans(dna, h)]
 
     def spans(self, dna):
+        return [x for h in self.hexamers for x in self._spans(dna, h)]
+
+    def _spans(self, dna: str, hexamer: str) -> list[tuple[int, int]]:
         out = []
-        for h in self.hexamers:
-            for m in re.finditer(f"(?={h})", dna):
-                lo = m.start() + len(h) + self.first
-                hi = min(m.start() + len(h) + self.last, len(dna))
-                for s in range(lo, hi - self.slice + 1):
-                    w = dna[s : s + self.slice]
-                    t, gt = w.count("T"), w.count("T") + w.count("G")
-                    if t >= self.t or (t >= self.gt_t and gt >= self.gt):
-                        out.append((m.start(), s + self.slice))
-                        break
+        for m in _pattern(f"(?={hexamer})").finditer(dna):
+            lo = m.start() + len(hexamer) + self.first
+            hi = min(m.start() + len(hexamer) + self.last, len(dna))
+            for s in range(lo, hi - self.slice + 1):
+                w = dna[s : s + self.slice]
+                t, gt = w.count("T"), w.count("T") + w.count("G")
+                if t >= self.t or (t >= self.gt_t and gt >= self.gt):
+                    out.append((m.start(), s + self.slice))
+                    break
         return out
 
 
@@ -301,15 +341,24 @@ class Uorf(Rule):
     name = "uorf"
     context = UNBOUNDED
 
-    def violations(self, seqs):
-        """Only triplets that are ATG or a stop are kept, and the next stop of a frame comes from one window over those."""
-        rows = kmers(seqs, 3).where(F.col("kmer").isin("ATG", *STOPS))
-        next_stop = F.min(F.when(F.col("kmer") != "ATG", F.col("pos"))).over(W.partitionBy("seq_id", F.col("pos") % 3).orderBy("pos").rowsBetween(1, W.unboundedFollowing))
-        rows = rows.withColumn("stop", next_stop).where((F.col("kmer") == "ATG") & F.col("stop").isNotNull())
-        rows = rows.where(~F.col("pos").between(self.offset, self.offset + self.least - 1) & ((F.col("pos") - self.offset) % 3 != 0))
-        if self.region is not None:
-            rows = rows.where(F.col("pos") < self.offset + self.region)
-        return _violations(rows, self.name, F.col("pos"), F.col("stop") + 3, F.concat(F.lit("uORF in frame "), (F.col("pos") % 3).cast("string")))
+    def starts(self, dna: str, before: int = 0) -> list[int]:
+        """The places of the ATGs that count, in a sequence that ``before`` bases precede."""
+        upto = len(dna) if self.region is None else max(0, self.offset + self.region - before + 2)
+        at = (m.start() + before for m in _pattern("(?=ATG)").finditer(dna, 0, min(len(dna), upto)))
+        return [a for a in at if (a - self.offset) % 3 and not self.offset <= a < self.offset + self.least]
+
+    def found(self, dna):
+        """The first stop of each frame after an ATG, by search among the stops of the frame."""
+        stops: list[list[int]] = [[], [], []]
+        for m in _pattern("(?=" + "|".join(STOPS) + ")").finditer(dna):
+            stops[m.start() % 3].append(m.start())
+        out = []
+        for a in self.starts(dna):
+            s = stops[a % 3]
+            i = bisect_left(s, a + 3)
+            if i < len(s):
+                out.append((a, s[i] + 3, f"uORF in frame {a % 3}"))
+        return out
 
     def spans(self, dna):
         out = []
@@ -332,14 +381,22 @@ class MaxRepeat(Rule):
     name = "max_repeat"
     context = UNBOUNDED
 
-    def violations(self, seqs):
-        """Words of both strands meet under their lesser form, so one aggregate finds all three kinds of repeat."""
-        words = kmers(seqs, self.most + 1).withColumn("rc", D.reverse_complement(F.col("kmer"))).withColumn("either", F.least("kmer", "rc"))
-        own = W.partitionBy("seq_id", "either")
-        rows = words.withColumn("all", F.count(F.lit(1)).over(own)).withColumn("same", F.count(F.lit(1)).over(W.partitionBy("seq_id", "either", "kmer")))
-        kind = F.when(F.col("same") > 1, "direct repeat ").when(F.col("kmer") == F.col("rc"), "palindrome ").when(F.col("all") > F.col("same"), "inverted repeat ")
-        rows = rows.withColumn("kind", kind).where("kind is not null")
-        return _violations(rows, self.name, F.col("pos"), F.col("pos") + self.most + 1, F.concat("kind", "kmer"))
+    def found(self, dna):
+        k = self.most + 1
+        own = _words(dna, k)
+        if own is None:
+            at: dict[str, int] = {}
+            for i in range(len(dna) - k + 1):
+                at[dna[i : i + k]] = at.get(dna[i : i + k], 0) + 1
+            kind = lambda w: "direct" if at[w] > 1 else "palindrome" if w == reverse_complement(w) else "inverted"
+            return [(a, b, f"{kind(dna[a:b])}{' repeat' * (kind(dna[a:b]) != 'palindrome')} {dna[a:b]}") for a, b in self.spans(dna)]
+        other = _words(reverse_complement(dna), k)[::-1]
+        values, back, n = np.unique(own, return_inverse=True, return_counts=True)
+        direct, self_ = n[back] > 1, own == other
+        inverted = np.isin(other, values)
+        hit = np.flatnonzero(direct | inverted)
+        name = lambda i: "direct repeat" if direct[i] else "palindrome" if self_[i] else "inverted repeat"
+        return [(i, i + k, f"{name(i)} {dna[i : i + k]}") for i in hit.tolist()]
 
     def spans(self, dna):
         k = self.most + 1
@@ -352,11 +409,59 @@ class MaxRepeat(Rule):
         return len(self.spans(prefix + codon)) == len(self.spans(prefix))
 
 
+def longest_repeat(seqs: DataFrame) -> DataFrame:
+    """(seq_id, longest): the longest word that occurs twice, also if once as its reverse complement, which may be itself.
+
+    Words of half the length of a repeated one repeat too, so lengths are
+    halved in on.
+    """
+
+    def run(batch):
+        out = []
+        for dna in batch.column(1).to_pylist():
+            lo, hi, dna = 0, len(dna or ""), dna or ""
+            while lo < hi:
+                k = (lo + hi + 1) // 2
+                own = [dna[i : i + k] for i in range(len(dna) - k + 1)] if k > _WIDEST else _words(dna, k)
+                if own is None:
+                    own = [dna[i : i + k] for i in range(len(dna) - k + 1)]
+                other = reverse_complement(dna)
+                back = _words(other, k) if isinstance(own, np.ndarray) else [other[i : i + k] for i in range(len(other) - k + 1)]
+                again = len(np.unique(own)) < len(own) or np.isin(own, back).any() if isinstance(own, np.ndarray) else len(set(own)) < len(own) or not set(own).isdisjoint(back)
+                lo, hi = (k, hi) if again else (lo, k - 1)
+            out.append(lo)
+        return None, [pa.array(out, pa.int64())]
+
+    return kernel(seqs, run, "longest long", whole=True)
+
+
+def tandem_span(seqs: DataFrame, periods: range = range(1, 7)) -> DataFrame:
+    """(seq_id, span): the longest stretch that repeats itself at one of the periods, twice the period at least; none has no row."""
+
+    def run(r: Run):
+        row = np.repeat(np.arange(len(r.size)), r.size)
+        best = np.zeros(len(r.size), dtype=np.int64)
+        for p in periods:
+            same = np.zeros(len(row) + 1, dtype=bool)
+            if len(row) > p:
+                same[1 : len(row) - p + 1] = (r.raw[p:] == r.raw[:-p]) & (row[p:] == row[:-p])
+            edge = np.flatnonzero(np.diff(np.append(same, False)))  # runs of places that equal the one a period on
+            begin, end = edge[::2], edge[1::2]
+            long = end - begin >= p
+            np.maximum.at(best, row[begin[long]], end[long] - begin[long] + p)
+        some = np.flatnonzero(best)
+        return some, [best[some]]
+
+    return kernel(seqs, run, "span long")
+
+
 def seeded(rule: Rule, seqs: DataFrame) -> DataFrame:
-    """Violations of a rule on ``dna`` after the tail of ``upstream``; spans are of the insert, wholly upstream ones go."""
-    tail = F.right("upstream", F.lit(min(rule.context, 10_000)))
-    rows = seqs.select("seq_id", F.concat(tail, "dna").alias("dna"), F.length(tail).alias("lead"))
-    found = rule.violations(rows.select("seq_id", "dna")).join(rows.select("seq_id", "lead"), "seq_id").where(F.col("end") > F.col("lead"))
+    """Violations of a rule on ``dna`` after ``upstream``, as much of it as the rule reads; spans are of the insert, wholly upstream ones go."""
+    tail = F.coalesce("upstream", F.lit(""))
+    if rule.context < UNBOUNDED:
+        tail = F.right(tail, F.lit(rule.context))
+    rows = seqs.select(F.struct("seq_id", F.length(tail).alias("lead")).alias("seq_id"), F.concat(tail, "dna").alias("dna"))
+    found = rule.violations(rows).select("seq_id.*", "constraint", "severity", "start", "end", "detail").where(F.col("end") > F.col("lead"))
     shifted = F.when(F.col("start") < F.col("lead"), F.concat("detail", F.lit(" (across the junction)"))).otherwise(F.col("detail"))
     return found.select("seq_id", "constraint", "severity", F.greatest(F.lit(0), F.col("start") - F.col("lead")).alias("start"), (F.col("end") - F.col("lead")).alias("end"), shifted.alias("detail"))
 
@@ -366,11 +471,32 @@ def soften(violations: DataFrame, names: list[str]) -> DataFrame:
 
 
 def validate(seqs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The violations of all rules."""
-    out = rules[0].violations(seqs)
-    for rule in rules[1:]:
-        out = out.unionAll(rule.violations(seqs))
-    return out
+    """The violations of all rules, from one pass over the sequences."""
+    rules = list(rules)
+    names = [r.name for r in rules]
+
+    def run(batch):
+        row, which, start, end, detail = [], [], [], [], []
+        for i, dna in enumerate(batch.column(1).to_pylist()):
+            for j, rule in enumerate(rules if dna else ()):
+                for a, b, d in rule.found(dna):
+                    row.append(i)
+                    which.append(j)
+                    start.append(a)
+                    end.append(b)
+                    detail.append(d)
+        name = pa.array(names, pa.string()).take(pa.array(which, pa.int64()))
+        return np.array(row, dtype=np.int64), [name, pa.array(["HARD"] * len(row), pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(detail, pa.string())]
+
+    return kernel(seqs, run, "constraint string, severity string, start int, end int, detail string", whole=True)
+
+
+def residual_audit(seqs: DataFrame, violations: DataFrame, names: list[str]) -> DataFrame:
+    """(seq_id, constraint, n, status) for every sequence and each constraint named: clean, or partial where violations are left."""
+    n = violations.groupBy("seq_id", "constraint").agg(F.count(F.lit(1)).alias("n"))
+    every = seqs.select("seq_id", F.explode(F.array(*[F.lit(x) for x in names])).alias("constraint"))
+    out = every.join(n, ["seq_id", "constraint"], "left").select("seq_id", "constraint", F.coalesce("n", F.lit(0)).alias("n"))
+    return out.withColumn("status", F.when(F.col("n") == 0, "clean").otherwise("partial"))
 
 
 def counts(seqs: DataFrame, violations: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Constrained back-translation: per-protein kernels run as partitioned batches.
 
-A kernel solves one protein in plain Python; ``mapInPandas`` runs it over
-proteins(seq_id, protein) in small Arrow batches, so memory follows one
+A kernel solves one protein in plain Python and NumPy; ``mapInPandas`` runs it
+over proteins(seq_id, protein) in small Arrow batches, so memory follows one
 protein, proteins spread over tasks, and an infeasible one gives a status, not
 an error. Reported figures are recomputed from the delivered sequence.
 """
@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,32 +21,11 @@ from pyspark.sql import functions as F
 from strandweave.core.genetic import CODE, SYNONYMS
 from strandweave.core.session import ship
 from strandweave.operators.rules import UNBOUNDED, Rule
+from strandweave.plans.objectives import Objective, weights as Weights
 
 MOST_POINTS = 60
-
-
-@dataclass(frozen=True)
-class Weights:
-    """Additive objective in integer micro-units, so that ties are the same everywhere."""
-
-    log_w: dict[str, float]
-    cai: float = 1.0
-    gc: float = 0.0
-    gc_target: float = 0.5
-    cpg: float = 0.0
-
-    def micro(self, codon: str, before: str = "") -> int:
-        free = CODE[codon] not in "MW*"
-        out = self.cai * (self.log_w[codon] if free else 0.0)
-        if self.gc:
-            out -= self.gc * (sum(c in "GC" for c in codon) / 3 - self.gc_target) ** 2
-        if self.cpg:
-            out -= self.cpg * (before[-1:] + codon).count("CG")
-        return round(out * 1_000_000)
-
-    @property
-    def context(self) -> int:
-        return 1 if self.cpg else 0
+MOST_CONTEXTS = 100_000  #: contexts of a layer beyond which the graph is not held
+_NONE = -(1 << 62)
 
 
 @dataclass
@@ -55,25 +35,120 @@ class Solution:
     status: str = "infeasible"
     culprits: list[str] = field(default_factory=list)
     relaxed: list[str] = field(default_factory=list)
+    refined: list[str] = field(default_factory=list)  #: rules left to annealing
 
 
 def _better(score: int, dna: str, old: tuple[int, str] | None) -> bool:
     return old is None or score > old[0] or (score == old[0] and dna < old[1])
 
 
-def trellis(protein: str, weights: Weights, rules: Iterable[Rule] = (), beam: int | None = None) -> Solution:
+class TooWide(Exception):
+    """A layer has more contexts than the graph may hold."""
+
+
+class Structure:
+    """What a protein's codons can follow under rules: a graph of contexts, layer by layer, that any objective is solved on.
+
+    A context is the last bases that a rule or the objective reads. Vetoes are
+    asked once for each context and codon, however many objectives follow.
+    """
+
+    def __init__(self, protein: str, rules: Iterable[Rule] = (), context: int = 0, most: int = MOST_CONTEXTS):
+        rules = list(rules)
+        self.context = k = max([context, *(r.context for r in rules)])
+        if k >= UNBOUNDED:
+            raise ValueError("a rule without bounded context cannot be solved exactly")
+        settled = max([k, *(r.settled for r in rules)])
+        self.culprits: list[str] = []
+        self.layers: list[tuple[list[str], np.ndarray, np.ndarray, list[str]]] = []  # contexts, edges' sources and targets, their codons
+        known: dict[tuple[str, str], bool] = {}
+        contexts = [""]
+        for place, aa in enumerate(protein + "*"):
+            codons, sure = SYNONYMS.get(aa, []), 3 * place >= settled
+            pad = "N" * (3 * place - len(contexts[0])) if contexts and not sure else "N" * settled
+            source, target, used, index = [], [], [], {}
+            for i, ctx in enumerate(contexts):
+                for codon in codons:
+                    ok = known.get((ctx, codon)) if sure else None
+                    if ok is None:
+                        prefix = pad + ctx if sure or len(ctx) < 3 * place else ctx
+                        ok = all(r.ok_suffix(prefix, codon) for r in rules)
+                        if sure:
+                            known[ctx, codon] = ok
+                    if ok:
+                        new = (ctx + codon)[-k:] if k else ""
+                        source.append(i)
+                        target.append(index.setdefault(new, len(index)))
+                        used.append(codon)
+            if not index:
+                prefixes = [pad + ctx if sure or len(ctx) < 3 * place else ctx for ctx in contexts]
+                self.culprits = sorted({r.name for p in prefixes for c in codons for r in rules if not r.ok_suffix(p, c)})
+                self.layers = []
+                return
+            if len(index) > most:
+                raise TooWide
+            self.layers.append((contexts, np.array(source), np.array(target), used))
+            contexts = list(index)
+
+    def solve(self, objective: Objective) -> Solution:
+        """The best sequence for an objective that reads no more context than the graph has; ties go to the smaller DNA."""
+        if not self.layers:
+            return Solution(culprits=self.culprits)
+        values: dict[tuple, int] = {}
+        reads, place_matters = objective.context, objective.positional
+        ahead, chosen = None, []
+        for place in reversed(range(len(self.layers))):
+            contexts, source, target, codons = self.layers[place]
+            value = np.empty(len(codons), dtype=np.int64)
+            for e, (i, codon) in enumerate(zip(source.tolist(), codons, strict=True)):
+                before = contexts[i][-reads:] if reads else ""
+                key = (before, codon, place) if place_matters else (before, codon)
+                if key not in values:
+                    values[key] = objective.micro(codon, before, place)
+                value[e] = values[key]
+            if ahead is not None:
+                value = np.where(ahead[target] > _NONE, value + ahead[target], _NONE)
+            best = np.full(len(contexts), _NONE, dtype=np.int64)
+            np.maximum.at(best, source, value)
+            first = np.full(len(contexts), -1, dtype=np.int64)
+            hits = np.flatnonzero((value == best[source]) & (value > _NONE))[::-1]
+            first[source[hits]] = hits  # the least codon of each context comes last here
+            ahead = best
+            chosen.append(first)
+        if ahead[0] <= _NONE:
+            return Solution(culprits=self.culprits)
+        at, dna = 0, []
+        for (_, _, target, codons), first in zip(self.layers, reversed(chosen), strict=True):
+            e = int(first[at])
+            dna.append(codons[e])
+            at = int(target[e])
+        return Solution("".join(dna), int(ahead[0]), "proven_optimal")
+
+
+def trellis(protein: str, weights: Objective, rules: Iterable[Rule] = (), beam: int | None = None) -> Solution:
     """The best sequence by dynamic programming over the last bases that any rule reads; ties go to the smaller DNA.
 
     Proven optimal unless a beam cut a layer. Rules without bounded context
     do not belong here; ``optimize`` sends those to ``refine``.
     """
     rules = list(rules)
+    if beam is None:
+        try:
+            return Structure(protein, rules, weights.context).solve(weights)
+        except TooWide:
+            pass  # layer by layer, without holding the graph
+    return layered(protein, weights, rules, beam)
+
+
+def layered(protein: str, weights: Objective, rules: Iterable[Rule] = (), beam: int | None = None) -> Solution:
+    """``trellis`` with one layer in memory, cut to the ``beam`` best states if asked."""
+    rules = list(rules)
     k = max([weights.context, *(r.context for r in rules)])
     if k >= UNBOUNDED:
         raise ValueError("a rule without bounded context cannot be solved exactly")
     states: dict[str, tuple[int, str]] = {"": (0, "")}
     cut = False
-    for aa in protein + "*":
+    for place, aa in enumerate(protein + "*"):
         layer: dict[str, tuple[int, str]] = {}
         vetoes: set[str] = set()
         for score, dna in states.values():
@@ -82,7 +157,7 @@ def trellis(protein: str, weights: Weights, rules: Iterable[Rule] = (), beam: in
                 if broken:
                     vetoes.update(broken)
                     continue
-                new = (score + weights.micro(codon, dna), dna + codon)
+                new = (score + weights.micro(codon, dna, place), dna + codon)
                 key = new[1][-k:] if k else ""
                 if _better(*new, layer.get(key)):
                     layer[key] = new
@@ -96,7 +171,7 @@ def trellis(protein: str, weights: Weights, rules: Iterable[Rule] = (), beam: in
     return Solution(dna, score, "beam_truncated" if cut else "proven_optimal")
 
 
-def budgeted(protein: str, weights: Weights, low: int, high: int, amount: Callable[[str, str], int], context: int, rules: Iterable[Rule] = (), beam: int | None = None) -> Solution:
+def budgeted(protein: str, weights: Objective, low: int, high: int, amount: Callable[[str, str], int], context: int, rules: Iterable[Rule] = (), beam: int | None = None) -> Solution:
     """As ``trellis`` with a global amount (GC bases, dinucleotides) held within [low, high]; states that cannot reach the range are cut."""
     rules = list(rules)
     k = max([weights.context, context, *(r.context for r in rules)])
@@ -115,7 +190,7 @@ def budgeted(protein: str, weights: Weights, low: int, high: int, amount: Callab
                 now = used + amount(dna[-context:] if context else "", codon)
                 if now + least[i + 1] > high or now + most[i + 1] < low or not all(r.ok_suffix(dna, codon) for r in rules):
                     continue
-                new = (score + weights.micro(codon, dna), dna + codon)
+                new = (score + weights.micro(codon, dna, i), dna + codon)
                 key = (new[1][-k:] if k else "", now)
                 if _better(*new, layer.get(key)):
                     layer[key] = new
@@ -137,7 +212,7 @@ def pair_amount(pair: str) -> Callable[[str, str], int]:
     return lambda before, codon: sum((before[-1:] + codon)[i : i + 2] == pair for i in range(len(before[-1:] + codon) - 1))
 
 
-def relaxing(protein: str, weights: Weights, rules: Iterable[Rule], beam: int | None = None) -> Solution:
+def relaxing(protein: str, weights: Objective, rules: Iterable[Rule], beam: int | None = None) -> Solution:
     """``trellis``; if no sequence exists, once more without the culprits that may be relaxed, saying so."""
     rules = list(rules)
     first = trellis(protein, weights, rules, beam)
@@ -170,41 +245,117 @@ def sample(protein: str, usage: dict[str, float], rules: Iterable[Rule], n: int,
     return out
 
 
-def refine(dna: str, weights: Weights, local: Iterable[Rule], whole: Iterable[Rule], seed: int = 0, steps: int = 2000, start: float = 1.0, cooling: float = 0.995) -> Solution:
-    """Seeded annealing by synonymous swaps: the number of violations never rises, local rules stay clean, status heuristic."""
+def _codons(dna: str) -> list[str]:
+    return [dna[i : i + 3] for i in range(0, len(dna), 3)]
+
+
+class _Chain:
+    """One annealing chain: codons, their score, and the violations of rules that read the whole sequence."""
+
+    def __init__(self, dna: str, weights: Objective, local: list[Rule], whole: list[Rule], extra):
+        self.codons, self.weights, self.local, self.whole, self.extra = _codons(dna), weights, local, whole, extra
+        self.reach = math.ceil(max([0, *(r.context for r in local)]) / 3)
+        self.echo = math.ceil(weights.context / 3)
+        self.own, self.count = weights.total(dna), self.violations(dna)
+        self.score = self.own + (extra(dna) if extra else 0)
+
+    def violations(self, dna: str) -> int:
+        return sum(len(r.found(dna)) for r in self.whole)
+
+    def allowed(self, codons: list[str], places: list[int]) -> bool:
+        """Whether the codons whose context reaches a changed place break no local rule."""
+        if not self.local:
+            return True
+        near = sorted({q for p in places for q in range(p, min(len(codons), p + self.reach + 1))})
+        for q in near:
+            before = "".join(codons[max(0, q - self.reach) : q])
+            before = "N" * (3 * max(0, q - self.reach)) + before if q > self.reach else before
+            if not all(r.ok_suffix(before, codons[q]) for r in self.local):
+                return False
+        return True
+
+    def worth(self, codons: list[str], places: Iterable[int]) -> int:
+        w, e = self.weights, self.echo
+        near = sorted({q for p in places for q in range(p, min(len(codons), p + e + 1))})
+        return sum(w.micro(codons[q], "".join(codons[max(0, q - e) : q]), q) for q in near)
+
+    def step(self, free: list[int], heat: float, rng: random.Random, block: int, block_share: float) -> bool:
+        """One proposal of a swap, or of several at once; whether it was taken."""
+        many = 1
+        if block > 1 and len(free) > 1 and block_share > 0 and rng.random() < block_share:
+            many = rng.randint(2, min(block, len(free)))
+        places = sorted(rng.sample(free, many))
+        trial = list(self.codons)
+        for p in places:
+            trial[p] = rng.choice([c for c in SYNONYMS[CODE[trial[p]]] if c != trial[p]])
+        if not self.allowed(trial, places):
+            return False
+        dna = "".join(trial) if self.whole or self.extra else ""
+        count = self.violations(dna) if self.whole else 0
+        if count > self.count:
+            return False
+        own = self.own + self.worth(trial, places) - self.worth(self.codons, places)
+        score = own + (self.extra(dna) if self.extra else 0)
+        gain = score - self.score
+        if count == self.count and gain < 0 and (heat <= 0 or rng.random() >= math.exp(max(-700.0, gain / 1e6 / heat))):
+            return False
+        self.codons, self.own, self.score, self.count = trial, own, score, count
+        return True
+
+    def swap(self, other: _Chain) -> None:
+        for name in ("codons", "own", "score", "count"):
+            mine = getattr(self, name)
+            setattr(self, name, getattr(other, name))
+            setattr(other, name, mine)
+
+
+def refine(dna: str, weights: Objective, local: Iterable[Rule], whole: Iterable[Rule], seed: int = 0, steps: int = 2000, start: float = 1.0, cooling: float = 0.995, block: int = 1, block_share: float = 0.0, heats: Sequence[float] | None = None, swap_every: int = 0, extra: Callable[[str], int] | None = None) -> Solution:
+    """Seeded annealing by synonymous swaps: the number of violations of ``whole`` never rises and ``local`` rules stay clean; status heuristic.
+
+    Only codons whose context reaches a swap are judged again. A share
+    ``block_share`` of the steps swaps 2 to ``block`` codons at once. With
+    ``heats`` there are as many chains, each from its own heat, and every
+    ``swap_every`` steps neighbours may trade places (parallel tempering).
+    ``extra`` adds a term of the whole sequence, in micro-units. A start that
+    breaks a local rule is refused with a ValueError.
+    """
     local, whole, rng = list(local), list(whole), random.Random(seed)
-    codons = [dna[i : i + 3] for i in range(0, len(dna), 3)]
-    score = lambda cs: sum(weights.micro(c, cs[i - 1] if i else "") for i, c in enumerate(cs))
-    bad = lambda s: sum(len(r.spans(s)) for r in whole)
-    clean = lambda s: sum(len(r.spans(s)) for r in local)
-    here, count, own = score(codons), bad(dna), clean(dna)
-    best = (count, -here, dna)
-    heat = start
-    free = [i for i, c in enumerate(codons) if len(SYNONYMS[CODE[c]]) > 1]
-    for _ in range(steps if free else 0):
-        i = rng.choice(free)
-        swap = rng.choice([c for c in SYNONYMS[CODE[codons[i]]] if c != codons[i]])
-        trial = [*codons[:i], swap, *codons[i + 1 :]]
-        text = "".join(trial)
-        n, s = bad(text), score(trial)
-        if n <= count and clean(text) <= own and (n < count or s >= here or rng.random() < math.exp((s - here) / 1e6 / max(heat, 1e-9))):
-            codons, here, count = trial, s, n
-            best = min(best, (n, -s, text))
-        heat *= cooling
+    if any(r.found(dna) for r in local):
+        raise ValueError("the start breaks a local rule")
+    heats = [start] if heats is None else list(heats)
+    chains = [_Chain(dna, weights, local, whole, extra) for _ in heats]
+    best = (chains[0].count, -chains[0].score, dna)
+    free = [i for i, c in enumerate(chains[0].codons) if len(SYNONYMS[CODE[c]]) > 1]
+    for turn in range(steps if free else 0):
+        for i, chain in enumerate(chains):
+            if chain.step(free, heats[i], rng, block, block_share) and (chain.count, -chain.score) < best[:2]:
+                best = (chain.count, -chain.score, "".join(chain.codons))
+            heats[i] *= cooling
+        if swap_every and (turn + 1) % swap_every == 0:
+            for a, b, x, y in zip(chains, chains[1:], heats, heats[1:], strict=False):
+                if x > 0 and y > 0:
+                    edge = (1 / x - 1 / y) * (b.score - a.score) / 1e6
+                    if edge >= 0 or rng.random() < math.exp(max(-700.0, edge)):
+                        a.swap(b)
     return Solution(best[2], -best[1], "heuristic")
 
 
-def optimize(protein: str, weights: Weights, rules: Iterable[Rule], beam: int | None = None, widest: int = 12, seed: int = 0) -> Solution:
-    """Bounded rules exactly; the rest, and windows wider than ``widest``, by refinement where the exact answer breaks them."""
+def optimize(protein: str, weights: Objective, rules: Iterable[Rule], beam: int | None = None, widest_window: int = 12, widest: int = 40, seed: int = 0) -> Solution:
+    """Rules of bounded context exactly; the others by refinement where the exact answer breaks them.
+
+    Rules that read ``widest`` bases or more, and GC windows that read
+    ``widest_window`` or more, count as unbounded, as their graphs grow with
+    the number of contexts. ``refined`` of the result names the rules that
+    were left to annealing; without any the answer is proven.
+    """
     rules = list(rules)
-    exact = [r for r in rules if r.context < (widest if r.name == "gc_window" else 40)]
+    exact = [r for r in rules if r.context < (widest_window if r.name == "gc_window" else widest)]
     other = [r for r in rules if r not in exact]
     out = relaxing(protein, weights, exact, beam)
-    if out.status == "infeasible" or not any(r.spans(out.dna) for r in other):
+    if out.status == "infeasible" or not any(r.found(out.dna) for r in other):
         return out
-    kept = [r for r in exact if r.name not in out.relaxed]
-    better = refine(out.dna, weights, kept, other, seed)
-    better.relaxed = out.relaxed
+    better = refine(out.dna, weights, [r for r in exact if r.name not in out.relaxed], other, seed)
+    better.relaxed, better.refined = out.relaxed, sorted(r.name for r in other)
     return better
 
 
@@ -247,7 +398,7 @@ def fold_proxy(dna: str, window: int | None = 48, loop: int = 3) -> float:
     return -best[0][n - 1] if n and best[0][n - 1] else 0.0
 
 
-_RESULT = "seq_id long, point int, dna string, score long, status string, culprits array<string>, relaxed array<string>"
+_RESULT = "seq_id long, point int, dna string, score long, status string, culprits array<string>, relaxed array<string>, refined array<string>"
 
 
 def solve_batch(proteins: DataFrame, solve: Callable[[str], list[Solution]]) -> DataFrame:
@@ -261,8 +412,8 @@ def solve_batch(proteins: DataFrame, solve: Callable[[str], list[Solution]]) ->
             for seq_id, protein in zip(pdf["seq_id"], pdf["protein"], strict=True):
                 good = isinstance(protein, str) and protein and set(protein) <= valid
                 for i, s in enumerate(solve(protein) if good else [Solution(status="invalid")]):
-                    rows.append((seq_id, i, s.dna or None, s.score, s.status, s.culprits, s.relaxed))
-            yield pd.DataFrame(rows, columns=["seq_id", "point", "dna", "score", "status", "culprits", "relaxed"])
+                    rows.append((seq_id, i, s.dna or None, s.score, s.status, s.culprits, s.relaxed, s.refined))
+            yield pd.DataFrame(rows, columns=["seq_id", "point", "dna", "score", "status", "culprits", "relaxed", "refined"])
 
     parts = int(proteins.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return proteins.select("seq_id", "protein").repartition(parts, "seq_id").mapInPandas(run, _RESULT)
@@ -277,12 +428,16 @@ def optimize_local(proteins: DataFrame, log_w: dict[str, float]) -> DataFrame:
 
 
 def frontier(proteins: DataFrame, log_w: dict[str, float], rules: Iterable[Rule] = (), steps: int = 5, gc_target: float = 0.5) -> DataFrame:
-    """Every weighting of CAI and GC of a protein in one kernel call; equal designs once, then the non-dominated ones and the chosen one."""
+    """Every weighting of CAI and GC of a protein on one graph of contexts; equal designs once, then the non-dominated ones and the chosen one."""
     rules = list(rules)
     grid = simplex(2, steps)
 
     def solve(protein):
-        return [trellis(protein, Weights(log_w, a, b, gc_target), rules) for a, b in grid]
+        try:
+            graph = Structure(protein, rules)
+        except TooWide:
+            return [layered(protein, Weights(log_w, a, b, gc_target), rules) for a, b in grid]
+        return [graph.solve(Weights(log_w, a, b, gc_target)) for a, b in grid]
 
     pure = {c: (log_w[c] if CODE[c] not in "MW*" else 0.0) for c in CODE}
     points = solve_batch(proteins, solve).where("dna is not null").groupBy("seq_id", "dna").agg(F.min("point").alias("point"))

@@ -66,7 +66,7 @@ def rc(x: str) -> str:
 
 @query("codon_usage", f"WITH {TAB} SELECT codon, aa, round(frequency, 6) AS frequency, round(w, 6) AS w FROM wtab")
 def codon_usage(spark, d):
-    return usage.build_table(derive.cds_doc(spark, d))
+    return usage.build_table(derive.cds_doc_spread(spark, d))
 
 
 @query("gc_content", f"WITH {SEQ} SELECT seq_id, length(dna) AS length_nt, {gc('dna')} AS gc_count, round({gc('dna')} / length(dna), 6) AS gc FROM seqs")
@@ -82,9 +82,7 @@ def revcomp(spark, d):
 
 @query("translate_seq", f"WITH {COD} SELECT seq_id, string_agg(aa, '' ORDER BY cpos) AS protein FROM cod GROUP BY seq_id")
 def translate_seq(spark, d):
-    table = F.create_map(*[F.lit(x) for pair in sorted(G.CODE.items()) for x in pair])
-    parts = F.split(F.regexp_replace("dna", "(...)(?=.)", "$1 "), " ")
-    return derive.cds_doc(spark, d).select("seq_id", F.array_join(F.transform(parts, lambda c: F.try_element_at(table, c)), "").alias("protein"))
+    return usage.translated(derive.cds_doc(spark, d))
 
 
 @query("gc3", f"WITH {COD} SELECT seq_id, round(avg(CASE WHEN substr(codon, 3, 1) IN ('G', 'C') THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS gc3 FROM cod GROUP BY seq_id")
@@ -95,7 +93,7 @@ def gc3(spark, d):
 
 @query("scored_codons", f"WITH {COD} SELECT seq_id, count(*) AS n_codons, count(*) FILTER (aa NOT IN ('M', 'W', '*')) AS n_scored FROM cod GROUP BY seq_id")
 def scored_codons(spark, d):
-    return codons(derive.cds_doc(spark, d)).groupBy("seq_id").agg(F.count(F.lit(1)).alias("n_codons"), F.count_if(~F.col("aa").isin("M", "W", "*")).alias("n_scored"))
+    return usage.codon_numbers(derive.cds_doc(spark, d))
 
 
 @query("synonymous_codons", f"WITH {CODE} SELECT aa, string_agg(codon, ',' ORDER BY codon) AS codons, count(*) AS n FROM code GROUP BY aa")
@@ -117,18 +115,18 @@ def valid_cds_reasons(spark, d):
     return etl.reason_tally(derive.dna_doc(spark, d))
 
 
-PROT = "prot AS (SELECT item_id AS seq_id, left(upper(regexp_replace(text, '[^ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy]', '', 'g')), 24) AS protein FROM benchmark)"
+PROT = "prot AS (SELECT item_id AS seq_id, upper(regexp_replace(text, '[^ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy]', '', 'g')) AS protein FROM benchmark)"
 RES = PROT + ", res AS (SELECT seq_id, i AS pos, substr(protein || '*', i + 1, 1) AS aa FROM (SELECT seq_id, protein, unnest(range(0, length(protein) + 1)) AS i FROM prot))"
 
 
 @query("naive_backtranslate", f"WITH {RES}, {CODE}, f AS (SELECT aa, min(codon) AS codon FROM code GROUP BY aa) SELECT seq_id, string_agg(codon, '' ORDER BY pos) AS dna FROM res JOIN f USING (aa) GROUP BY seq_id")
 def naive_backtranslate(spark, d):
-    return solve.optimize_local(derive.protein_bench(spark, d, 24), dict.fromkeys(G.CODE, 0.0))
+    return solve.optimize_local(derive.protein_bench(spark, d), dict.fromkeys(G.CODE, 0.0))
 
 
 @query("dinuc_counts", f"WITH {SEQ}, {km(2)} SELECT kmer, count(*) AS n FROM k2 GROUP BY kmer")
 def dinuc_counts(spark, d):
-    return kmers(derive.dna_doc(spark, d), 2).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    return usage.count_words(derive.dna_doc(spark, d), 2)
 
 
 @query("base_composition", f"WITH {SEQ}, {km(1)} SELECT seq_id, kmer AS base, count(*) AS n FROM k1 GROUP BY ALL")
@@ -154,16 +152,16 @@ def context_windows(spark, d):
 
 @query("cai", f"WITH {TAB}, s AS (SELECT seq_id, exp(avg(ln(w))) AS cai, count(*) AS n FROM cod JOIN wtab USING (codon) WHERE cod.aa NOT IN ('M', 'W', '*') GROUP BY seq_id) SELECT cds.seq_id, round(coalesce(cai, 1.0), 6) AS \"index\", coalesce(n, 0) AS n_scored FROM cds LEFT JOIN s USING (seq_id)")
 def cai(spark, d):
-    seqs = derive.cds_doc(spark, d)
+    seqs = derive.cds_doc_spread(spark, d)
     return usage.adaptation_index(seqs, usage.build_table(seqs))
 
 
-TRNA = "trna AS (SELECT left(translate(md5(CAST(event_id AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 3) AS anticodon, count(*) AS n FROM events WHERE event_id % 3 <> 0 GROUP BY 1)"
+TRNA = "trna AS (SELECT left(translate(md5(CAST(event_id AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 3) AS anticodon, count(*) AS n FROM events GROUP BY 1)"
 
 
 def _trna(spark, d) -> DataFrame:
-    """Anticodon copies from the first three bases of the event sequences (two thirds of them: some anticodons differ)."""
-    return derive.dna_event(spark, d).where("seq_id % 3 <> 0").groupBy(F.left("dna", F.lit(3)).alias("anticodon")).agg(F.count(F.lit(1)).alias("count"))
+    """Anticodon copies from the first three bases of the event sequences."""
+    return derive.dna_event(spark, d).groupBy(F.left("dna", F.lit(3)).alias("anticodon")).agg(F.count(F.lit(1)).alias("count"))
 
 
 TAI = f"""{TRNA}, t AS (SELECT codon, aa, coalesce(n, 0)::DOUBLE AS t FROM code LEFT JOIN trna ON anticodon = {rc('codon')}),
@@ -179,7 +177,7 @@ def tai_weights(spark, d):
 
 @query("tai", f"WITH {COD}, {TAI}, x AS (SELECT seq_id, exp(avg(ln(w))) AS i, count(*) AS n FROM cod JOIN taiw USING (codon) GROUP BY seq_id) SELECT cds.seq_id, round(coalesce(i, 1.0), 6) AS \"index\", coalesce(n, 0) AS n_scored FROM cds LEFT JOIN x USING (seq_id)")
 def tai(spark, d):
-    return usage.adaptation_index(derive.cds_doc(spark, d), usage.tai_weights(_trna(spark, d)), ("M", "*"))
+    return usage.adaptation_index(derive.cds_doc_spread(spark, d), usage.tai_weights(_trna(spark, d)), ("M", "*"))
 
 
 CPS = COD + """, pr AS (SELECT codon AS ca, aa AS x, lead(codon) OVER w AS cb, lead(aa) OVER w AS y FROM cod WINDOW w AS (PARTITION BY seq_id ORDER BY cpos)),
@@ -196,7 +194,7 @@ def codon_pair_scores(spark, d):
 
 @query("codon_pair_total", f"WITH {CPS}, q AS (SELECT seq_id, codon AS ca, lead(codon) OVER (PARTITION BY seq_id ORDER BY cpos) AS cb FROM cod) SELECT seq_id, round(coalesce(sum(cps), 0), 6) AS total FROM q LEFT JOIN cps ON codon_a = ca AND codon_b = cb GROUP BY seq_id")
 def codon_pair_total(spark, d):
-    seqs = derive.cds_doc(spark, d)
+    seqs = derive.cds_doc_spread(spark, d)
     return usage.codon_pair_total(seqs, usage.codon_pair_scores(seqs))
 
 
@@ -207,7 +205,7 @@ def codon_pair_total(spark, d):
     "round(sum(CASE WHEN cod.aa IN ('M', 'W', '*') THEN 0 ELSE -w * greatest(0.0, 1 - cpos / 35.0::DOUBLE) END), 6) AS ramp FROM cod JOIN o USING (codon) GROUP BY seq_id",
 )
 def additive_terms(spark, d):
-    seqs = derive.cds_doc(spark, d)
+    seqs = derive.cds_doc_spread(spark, d)
     return usage.additive_terms(seqs, usage.build_table(seqs))
 
 
@@ -216,17 +214,17 @@ def additive_terms(spark, d):
 
 @query("gc_profile", f"WITH {SEQ}, {km(50)} SELECT seq_id, pos, round({gc('kmer')} / 50.0::DOUBLE, 6) AS value FROM k50")
 def gc_profile(spark, d):
-    return profiles.gc_profile(derive.dna_doc(spark, d), 50)
+    return profiles.gc_profile(derive.dna_doc_spread(spark, d), 50)
 
 
 @query("cpg_profile", f"WITH {SEQ}, {km(50)} SELECT seq_id, pos, CAST((50 - length(replace(kmer, 'CG', ''))) // 2 AS BIGINT) AS n, round((50 - length(replace(kmer, 'CG', ''))) / 2 / 49.0::DOUBLE, 6) AS density FROM k50")
 def cpg_profile(spark, d):
-    return profiles.dinucleotide_profile(derive.dna_doc(spark, d), "CG", 50)
+    return profiles.dinucleotide_profile(derive.dna_doc_spread(spark, d), "CG", 50)
 
 
 @query("upa_density", f"WITH {SEQ}, {km(30)} SELECT seq_id, pos, CAST((30 - length(replace(kmer, 'TA', ''))) // 2 AS BIGINT) AS n, round((30 - length(replace(kmer, 'TA', ''))) / 2 / 29.0::DOUBLE, 6) AS density FROM k30")
 def upa_density(spark, d):
-    return profiles.dinucleotide_profile(derive.dna_doc(spark, d), "TA", 30)
+    return profiles.dinucleotide_profile(derive.dna_doc_spread(spark, d), "TA", 30)
 
 
 @query(
@@ -236,7 +234,7 @@ def upa_density(spark, d):
     "SELECT seq_id, cpos, round(CASE WHEN a > v THEN CASE WHEN x <> v THEN 100 * (a - v) / (x - v) ELSE 0 END ELSE CASE WHEN v <> m THEN -100 * (v - a) / (v - m) ELSE 0 END END, 4) AS value FROM s WHERE n = 18",
 )
 def minmax_profile(spark, d):
-    seqs = derive.cds_doc(spark, d)
+    seqs = derive.cds_doc_spread(spark, d)
     return profiles.minmax_profile(seqs, usage.build_table(seqs)).withColumn("value", F.round("value", 4))
 
 
@@ -250,12 +248,12 @@ SITES = f"{SEQ}, {km(9)}, {km(15)}, site AS (SELECT seq_id, pos + 3 AS pos, 'don
 
 @query("pwm_donor", f"WITH {SITES} SELECT seq_id, pos, round(score, 6) AS score FROM site WHERE kind = 'donor'")
 def pwm_donor(spark, d):
-    return profiles.site_scores(derive.dna_doc(spark, d), "donor")
+    return profiles.site_scores(derive.dna_doc_spread(spark, d), "donor")
 
 
 @query("pwm_acceptor", f"WITH {SITES} SELECT seq_id, pos, round(score, 6) AS score FROM site WHERE kind = 'acceptor'")
 def pwm_acceptor(spark, d):
-    return profiles.site_scores(derive.dna_doc(spark, d), "acceptor")
+    return profiles.site_scores(derive.dna_doc_spread(spark, d), "acceptor")
 
 
 @query(
@@ -264,7 +262,7 @@ def pwm_acceptor(spark, d):
     "SELECT seq_id, track, count(*) AS n, round(min(value), 6) AS low, round(max(value), 6) AS high, round(avg(value), 6) AS mean FROM t GROUP BY ALL",
 )
 def track_summary(spark, d):
-    seqs = derive.dna_doc(spark, d)
+    seqs = derive.dna_doc_spread(spark, d)
     g = profiles.gc_profile(seqs).select("seq_id", F.lit("gc").alias("track"), "value")
     c = profiles.dinucleotide_profile(seqs).select("seq_id", F.lit("cpg").alias("track"), F.col("density").alias("value"))
     return g.union(c).groupBy("seq_id", "track").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"))
@@ -276,7 +274,7 @@ _V = ("seq_id", "start", "end")
 
 
 def _rule_query(name: str, rule, sql: str):
-    QUERIES[name] = lambda spark, d: tidy(rule.violations(derive.dna_doc(spark, d)).select(*_V))
+    QUERIES[name] = lambda spark, d: tidy(rule.violations(derive.dna_doc_spread(spark, d)).select(*_V))
     ORACLES[name] = sql
 
 
@@ -324,18 +322,18 @@ _VIOL = (
 
 @query("violation_summary", f"WITH {_VIOL} SELECT s.seq_id, count(*) FILTER (\"constraint\" <> 'internal_start') AS hard, count(*) FILTER (\"constraint\" = 'internal_start') AS soft FROM seqs s LEFT JOIN viol v ON v.seq_id = s.seq_id GROUP BY s.seq_id")
 def violation_summary(spark, d):
-    seqs = derive.dna_doc(spark, d)
+    seqs = derive.dna_doc_spread(spark, d)
     return rules.counts(seqs, rules.soften(rules.validate(seqs, _RULES), ["internal_start"]))
 
 
 @query("violation_totals", f"WITH {_VIOL} SELECT \"constraint\", count(*) AS n, count(DISTINCT seq_id) AS sequences FROM viol GROUP BY 1")
 def violation_totals(spark, d):
-    return rules.validate(derive.dna_doc(spark, d), _RULES).groupBy("constraint").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("seq_id").alias("sequences"))
+    return rules.validate(derive.dna_doc_spread(spark, d), _RULES).groupBy("constraint").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("seq_id").alias("sequences"))
 
 
 @query("masked_audit", f"WITH {_VIOL} SELECT seq_id, \"constraint\", start, \"end\" FROM viol WHERE NOT (start >= 0 AND \"end\" <= 60) AND NOT (start >= 90 AND \"end\" <= 150)")
 def masked_audit(spark, d):
-    seqs = derive.dna_doc(spark, d)
+    seqs = derive.dna_doc_spread(spark, d)
     masks = seqs.select("seq_id", F.explode(F.expr("array(struct(0 as s, 60 as e), struct(90 as s, 150 as e))")).alias("m")).select("seq_id", F.col("m.s").alias("mask_start"), F.col("m.e").alias("mask_end"))
     return rules.unmasked(rules.validate(seqs, _RULES), masks).select("seq_id", "constraint", "start", "end")
 
@@ -346,27 +344,20 @@ def masked_audit(spark, d):
     "i AS (SELECT *, sum(CASE WHEN pe IS NULL OR start > pe THEN 1 ELSE 0 END) OVER (PARTITION BY seq_id, \"constraint\" ORDER BY rn) AS isl FROM b) SELECT seq_id, \"constraint\", min(start) AS start, max(\"end\") AS \"end\", count(*) AS n FROM i GROUP BY seq_id, \"constraint\", isl",
 )
 def merged_spans(spark, d):
-    return rules.merged(rules.validate(derive.dna_doc(spark, d), _RULES)).select("seq_id", "constraint", "start", "end", "n")
+    return rules.merged(rules.validate(derive.dna_doc_spread(spark, d), _RULES)).select("seq_id", "constraint", "start", "end", "n")
 
 
 @query("construct_audit", f"WITH {SEQ}, a AS (SELECT seq_id, 'CCGGAAAT' || dna AS dna FROM seqs), {km(6, 'k6', 'a')} SELECT seq_id, greatest(0, pos - 8) AS start, pos - 2 AS \"end\" FROM k6 WHERE kmer IN ({', '.join(repr(m) for m in G.with_reverse(_MOTIFS))}) AND pos + 6 > 8")
 def construct_audit(spark, d):
-    seqs = derive.dna_doc(spark, d).withColumn("upstream", F.lit("CCGGAAAT"))
+    seqs = derive.dna_doc_spread(spark, d).withColumn("upstream", F.lit("CCGGAAAT"))
     return rules.seeded(rules.Motifs(_MOTIFS), seqs).select("seq_id", "start", "end")
 
 
 @query("enzyme_uniqueness", f"WITH {SEQ}, {km(5)}, {km(6)}, h AS (" + " UNION ALL ".join(f"SELECT seq_id, pos, '{n}' AS enzyme FROM k{len(s)} WHERE " + " OR ".join(f"regexp_full_match(kmer, '{G.iupac_regex(m)}')" for m in G.with_reverse([s])) for n, s in _ENZYMES.items()) + ") SELECT enzyme, seq_id, count(*) AS sites, count(*) = 1 AS is_unique FROM h GROUP BY ALL")
 def enzyme_uniqueness(spark, d):
-    seqs, out = derive.dna_doc(spark, d), None
-    for size in sorted({len(s) for s in _ENZYMES.values()}):
-        tests = [F.when(_any_match(F.col("kmer"), s), F.lit(n)) for n, s in sorted(_ENZYMES.items()) if len(s) == size]
-        rows = kmers(seqs, size).select("seq_id", F.explode(F.array_compact(F.array(*tests))).alias("enzyme"))
-        out = rows if out is None else out.union(rows)
-    return out.groupBy("enzyme", "seq_id").agg(F.count(F.lit(1)).alias("sites")).withColumn("is_unique", F.col("sites") == 1)
-
-
-def _any_match(x: Column, site: str) -> Column:
-    return x.rlike("^(" + "|".join(G.iupac_regex(m) for m in G.with_reverse([site])) + ")$")
+    found = rules.validate(derive.dna_doc_spread(spark, d), [rules.Motifs((site,), True, name) for name, site in sorted(_ENZYMES.items())])
+    out = found.groupBy(F.col("constraint").alias("enzyme"), "seq_id").agg(F.count_distinct("start").alias("sites"))
+    return out.withColumn("is_unique", F.col("sites") == 1)
 
 
 @query("longest_runs", f"WITH {SEQ}, {km(1)}, r AS (SELECT seq_id, kmer, pos - row_number() OVER (PARTITION BY seq_id, kmer ORDER BY pos) AS isl FROM k1), h AS (SELECT seq_id, count(*) AS n FROM r GROUP BY seq_id, kmer, isl) SELECT seq_id, max(n) AS longest FROM h GROUP BY seq_id")
@@ -377,14 +368,7 @@ def longest_runs(spark, d):
 
 @query("tandem_span", f"WITH {SEQ}, p AS (SELECT seq_id, dna, unnest(range(1, 7)) AS p FROM seqs), x AS (SELECT seq_id, dna, p, unnest(range(0, greatest(length(dna) - p, 0))) AS i FROM p), e AS (SELECT seq_id, p, i FROM x WHERE substr(dna, i + 1, 1) = substr(dna, i + p + 1, 1)), r AS (SELECT *, i - row_number() OVER (PARTITION BY seq_id, p ORDER BY i) AS isl FROM e), s AS (SELECT seq_id, p, count(*) + p AS span FROM r GROUP BY seq_id, p, isl) SELECT s.seq_id, max(span) AS span FROM s WHERE span >= 2 * p GROUP BY s.seq_id")
 def tandem_span(spark, d):
-    from strandweave.operators.positions import runs
-
-    out = None
-    for p in range(1, 7):
-        same = kmers(derive.dna_doc(spark, d), p + 1).where(F.left("kmer", F.lit(1)) == F.right("kmer", F.lit(1))).withColumn("key", F.lit(p))
-        spans = runs(same).select("seq_id", (F.col("end") - F.col("start") + p).alias("span")).where(F.col("span") >= 2 * p)
-        out = spans if out is None else out.union(spans)
-    return out.groupBy("seq_id").agg(F.max("span").alias("span"))
+    return rules.tandem_span(derive.dna_doc_spread(spark, d))
 
 
 # --- sites ------------------------------------------------------------------
@@ -392,7 +376,7 @@ def tandem_span(spark, d):
 
 @query("splice_sites_nms", f"WITH {SITES}, h AS (SELECT *, pos - row_number() OVER (PARTITION BY seq_id, kind ORDER BY pos) AS run FROM site WHERE score > 0.01), b AS (SELECT *, row_number() OVER (PARTITION BY seq_id, kind, run ORDER BY score DESC, pos) AS r FROM h) SELECT seq_id, kind, pos, round(score, 6) AS score FROM b WHERE r = 1")
 def splice_sites_nms(spark, d):
-    return profiles.peaks(profiles.both_sites(derive.dna_doc(spark, d)), 0.01)
+    return profiles.peaks(profiles.both_sites(derive.dna_doc_spread(spark, d)), 0.01)
 
 
 _LOGIT = "ln(greatest(1e-6, least(1 - 1e-6, score)) / (1 - greatest(1e-6, least(1 - 1e-6, score))))"
@@ -401,13 +385,13 @@ RISK = f"{SITES}, l AS (SELECT *, {_LOGIT} AS l FROM site), k AS (SELECT *, row_
 
 @query("pooled_risk", f"WITH {RISK} SELECT seq_id, round(risk, 6) AS risk, round(response, 6) AS response, n_above, round(top, 6) AS top FROM risk")
 def pooled_risk(spark, d):
-    return profiles.pooled_risk(profiles.both_sites(derive.dna_doc(spark, d)))
+    return profiles.sequence_risk(derive.dna_doc_spread(spark, d)).select("seq_id", "risk", "response", "n_above", "top")
 
 
 @query("delta_splicing", RISK.replace("seqs AS (", "WITH base AS (", 1).replace("), k9 AS", "), seqs AS (SELECT seq_id * 2 AS seq_id, dna FROM base UNION ALL SELECT seq_id * 2 + 1, reverse(translate(dna, 'ACGT', 'TGCA')) FROM base), k9 AS", 1) + " SELECT a.seq_id // 2 AS seq_id, round(b.risk - a.risk, 6) AS delta FROM risk a JOIN risk b ON b.seq_id = a.seq_id + 1 WHERE a.seq_id % 2 = 0")
 def delta_splicing(spark, d):
-    seqs = derive.dna_doc(spark, d)
-    risk = lambda x, n: profiles.pooled_risk(profiles.both_sites(x)).select("seq_id", F.col("risk").alias(n))
+    seqs = derive.dna_doc_spread(spark, d)
+    risk = lambda x, n: profiles.sequence_risk(x).select("seq_id", F.col("risk").alias(n))
     own, other = risk(seqs, "a"), risk(seqs.withColumn("dna", D.reverse_complement(F.col("dna"))), "b")
     return own.join(other, "seq_id").select("seq_id", (F.col("b") - F.col("a")).alias("delta"))
 
@@ -415,7 +399,7 @@ def delta_splicing(spark, d):
 @query("cooccurrence", f"WITH {SITES}, h AS (SELECT DISTINCT seq_id, kind, pos FROM site WHERE score > 0.02) SELECT seq_id, kind, pos, EXISTS (SELECT 1 FROM h o WHERE o.seq_id = h.seq_id AND o.kind <> h.kind AND abs(o.pos - h.pos) <= 3) AS supported FROM h")
 def cooccurrence(spark, d):
     """Band join by buckets of the band's width: each call meets only calls of its own and the neighbouring buckets."""
-    h = profiles.both_sites(derive.dna_doc(spark, d)).where("score > 0.02").select("seq_id", "kind", "pos").distinct()
+    h = profiles.both_sites(derive.dna_doc_spread(spark, d)).where("score > 0.02").select("seq_id", "kind", "pos").distinct()
     near = h.select("seq_id", F.col("kind").alias("other"), F.col("pos").alias("at"), F.explode(F.sequence(F.floor(F.col("pos") / 4) - 1, F.floor(F.col("pos") / 4) + 1)).alias("bucket"))
     own = h.withColumn("bucket", F.floor(F.col("pos") / 4))
     hit = own.join(near, ["seq_id", "bucket"]).where((F.col("kind") != F.col("other")) & (F.abs(F.col("pos") - F.col("at")) <= 3)).select("seq_id", "kind", "pos").distinct().withColumn("hit", F.lit(True))
@@ -424,7 +408,7 @@ def cooccurrence(spark, d):
 
 @query("site_call_agreement", f"WITH {SITES}, k AS (SELECT *, row_number() OVER (PARTITION BY kind, seq_id ORDER BY score DESC, pos) AS r FROM site), c AS (SELECT kind, seq_id, pos FROM k WHERE r <= 3), j AS (SELECT a.pos AS a, b.pos AS b FROM (FROM c WHERE kind = 'acceptor') a FULL JOIN (FROM c WHERE kind = 'donor') b ON a.seq_id = b.seq_id AND a.pos = b.pos) SELECT 'acceptor' AS backend_a, 'donor' AS backend_b, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS \"both\", count(*) FILTER (b IS NULL) AS only_a, count(*) FILTER (a IS NULL) AS only_b, round(count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) / count(*), 6) AS jaccard FROM j")
 def site_call_agreement(spark, d):
-    return metrics.call_agreement(profiles.both_sites(derive.dna_doc(spark, d)).select(F.col("kind").alias("backend"), F.col("seq_id").alias("window"), "pos", "score"))
+    return metrics.call_agreement(profiles.both_sites(derive.dna_doc_spread(spark, d)).select(F.col("kind").alias("backend"), F.col("seq_id").alias("window"), "pos", "score"))
 
 
 # --- metrics ----------------------------------------------------------------
@@ -521,14 +505,16 @@ def top_n_abundance(spark, d):
     return etl.top_by_abundance(read(spark, d, "orders"), "o_custkey", "o_totalprice", 50)
 
 
-IDS = "known AS (SELECT source || CASE WHEN doc_id % 4 = 0 THEN '.' || (doc_id % 5) ELSE '' END AS id, lang AS gene FROM documents WHERE doc_id % 7 = 0), wanted AS (SELECT DISTINCT source || CASE WHEN doc_id % 2 = 0 THEN '.' || (doc_id % 5) ELSE '' END AS id FROM documents)"
+IDS = "known AS (SELECT 'G' || (c_custkey // 2) || CASE WHEN c_custkey % 4 = 0 THEN '.' || (c_custkey % 5) ELSE '' END AS id, c_mktsegment AS gene FROM customer), wanted AS (SELECT DISTINCT 'G' || (o_custkey * 3 // 4) || CASE WHEN o_orderkey % 2 = 0 THEN '.' || (o_orderkey % 5) ELSE '' END AS id FROM orders)"
 
 
 @query("id_resolution", f"WITH {IDS}, o AS (SELECT id, count(DISTINCT gene) AS g, min(gene) AS gene FROM known GROUP BY id), b AS (SELECT regexp_replace(id, '\\.[0-9]+$', '') AS bare, count(DISTINCT gene) AS bg, min(gene) AS bgene FROM known GROUP BY 1), x AS (SELECT w.id, gene, bgene, CASE WHEN g > 1 THEN 'ambiguous' WHEN g = 1 THEN 'exact' WHEN bg = 1 THEN 'unversioned' WHEN bg > 1 THEN 'ambiguous' ELSE 'missing' END AS outcome FROM wanted w LEFT JOIN o ON o.id = w.id LEFT JOIN b ON b.bare = regexp_replace(w.id, '\\.[0-9]+$', '')) SELECT id, CASE outcome WHEN 'exact' THEN gene WHEN 'unversioned' THEN bgene END AS resolved, outcome FROM x")
 def id_resolution(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", "source", "lang")
-    tag = lambda n: F.concat("source", F.when(F.col("doc_id") % n == 0, F.concat(F.lit("."), (F.col("doc_id") % 5).cast("string"))).otherwise(""))
-    return etl.resolve_ids(docs.select(tag(2).alias("id")).distinct(), docs.where("doc_id % 7 = 0").select(tag(4).alias("id"), F.col("lang").alias("gene")))
+    """Ids of the customers, two to a gene name and some with a version, resolved for those that the orders name."""
+    tag = lambda n, v, m: F.concat(F.lit("G"), F.floor(n).cast("long").cast("string"), F.when(v % m == 0, F.concat(F.lit("."), (v % 5).cast("string"))).otherwise(""))
+    known = read(spark, d, "customer").select(tag(F.col("c_custkey") / 2, F.col("c_custkey"), 4).alias("id"), F.col("c_mktsegment").alias("gene"))
+    wanted = read(spark, d, "orders").select(tag(F.col("o_custkey") * 3 / 4, F.col("o_orderkey"), 2).alias("id")).distinct()
+    return etl.resolve_ids(wanted, known)
 
 
 @query("anticodon_counts", f"WITH {TRNA} SELECT anticodon, n FROM trna")
@@ -563,7 +549,7 @@ MICRO = f"{TAB}, micro AS MATERIALIZED (SELECT codon, aa, CASE WHEN aa IN ('M',
 
 @query("optimize_local", f"WITH {MICRO}, {RES}, best AS (SELECT aa, arg_max(codon, (m, inv)) AS codon FROM micro GROUP BY aa) SELECT seq_id, string_agg(codon, '' ORDER BY pos) AS dna FROM res JOIN best USING (aa) GROUP BY seq_id")
 def optimize_local(spark, d):
-    return solve.optimize_local(derive.protein_bench(spark, d, 24), _log_w(spark, d))
+    return solve.optimize_local(derive.protein_bench(spark, d), _log_w(spark, d))
 
 
 _TRELLIS = f"""WITH RECURSIVE {MICRO}, {PROT}, dp(seq_id, pos, ctx, score, dna) AS (
@@ -579,7 +565,7 @@ SELECT seq_id, arg_max(dna, (score, translate(dna, 'ACGT', 'TGCA'))) AS dna, max
 @query("optimize_trellis", _TRELLIS)
 def optimize_trellis(spark, d):
     w, rule = solve.Weights(_log_w(spark, d)), rules.Homopolymer(3)
-    return solve.solve_batch(derive.protein_bench(spark, d, 24), lambda p: [solve.trellis(p, w, [rule])]).where("dna is not null").select("seq_id", "dna", "score")
+    return solve.solve_batch(derive.protein_bench(spark, d), lambda p: [solve.trellis(p, w, [rule])]).where("dna is not null").select("seq_id", "dna", "score")
 
 
 @query("optimize_beam")
@@ -652,7 +638,7 @@ _HIGH = "sites0 AS (SELECT seq_id, kind, pos FROM site WHERE score > 0.05)"
 
 
 def _sites(spark, d):
-    seqs = derive.dna_doc(spark, d)
+    seqs = derive.dna_doc_spread(spark, d)
     scores = profiles.both_sites(seqs)
     return seqs, scores, scores.where("score > 0.05").select("seq_id", "kind", "pos")
 
@@ -716,7 +702,7 @@ def gc_retention(spark, d):
 
 @query("model_fidelity", f"WITH {SITES}, a AS (SELECT seq_id, pos, score AS x, round(score, 4) AS y FROM site WHERE kind = 'donor') SELECT round(max(abs(x - y)), 6) AS deviation, count(*) AS n, max(abs(x - y)) <= 1e-3 AS faithful FROM a")
 def model_fidelity(spark, d):
-    rows = profiles.site_scores(derive.dna_doc(spark, d), "donor").groupBy(F.col("seq_id").alias("window"), F.floor(F.col("pos") / 512).alias("b")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "score"))), lambda s: s["score"]).alias("values"))
+    rows = profiles.site_scores(derive.dna_doc_spread(spark, d), "donor").groupBy(F.col("seq_id").alias("window"), F.floor(F.col("pos") / 512).alias("b")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "score"))), lambda s: s["score"]).alias("values"))
     rows = rows.select(F.struct("window", "b").alias("window"), "values")
     return studies.fidelity(rows, rows.withColumn("values", F.transform("values", lambda v: F.round(v, 4))))
 
@@ -727,12 +713,10 @@ def fold_means(spark, d):
     return studies.fold_means(rows, ["c_mktsegment"], "fold_")
 
 
-@query("synonymy_check", f"WITH {COD}, p AS (SELECT seq_id, string_agg(aa, '' ORDER BY cpos) AS protein FROM cod WHERE cpos < 2 GROUP BY seq_id) SELECT source AS \"group\", count(DISTINCT protein) AS proteins, count(*) FILTER (doc_id % 10 = 0) AS natives, count(DISTINCT protein) = 1 AND count(*) FILTER (doc_id % 10 = 0) = 1 AS consistent FROM p JOIN documents ON doc_id = seq_id GROUP BY 1")
+@query("synonymy_check", f"WITH {COD}, p AS (SELECT seq_id, string_agg(aa, '' ORDER BY cpos) AS protein FROM cod GROUP BY seq_id) SELECT source AS \"group\", count(DISTINCT protein) AS proteins, count(*) FILTER (doc_id % 10 = 0) AS natives, count(DISTINCT protein) = 1 AND count(*) FILTER (doc_id % 10 = 0) = 1 AS consistent FROM p JOIN documents ON doc_id = seq_id GROUP BY 1")
 def synonymy_check(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.col("source").alias("group"), F.when(F.col("doc_id") % 10 == 0, "native").otherwise("designed").alias("role"))
-    first = G.amino_acid(F.left("dna", F.lit(3)))
-    second = F.coalesce(G.amino_acid(F.substring("dna", 4, 3)), F.lit(""))
-    return studies.synonymous(derive.cds_doc(spark, d).select("seq_id", F.concat(first, second).alias("protein")).join(docs, "seq_id"))
+    return studies.synonymous(usage.translated(derive.cds_doc(spark, d)).join(docs, "seq_id"))
 
 
 @query("permutation_baseline")

@@ -5,26 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.core.session import read
+from strandweave.core.session import read, spread
 from strandweave.functions.dna import coding, dna_letters, protein_letters
 
 
 def dna_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sequences(seq_id, dna) from the letters of the documents; spread before anything is exploded."""
+    """sequences(seq_id, dna) from the letters of the documents, in the splits that the files have."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), dna_letters(F.col("text")).alias("dna"))
-    return docs.where(F.length("dna") > 0).repartition("seq_id")
+    return docs.where(F.length("dna") > 0)
+
+
+def dna_doc_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, over all cores: for operators that make a row for each position."""
+    return spread(dna_doc(spark, sf_dir))
 
 
 def cds_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dna_doc(spark, sf_dir).withColumn("dna", coding(F.col("dna"))).where(F.length("dna") > 0)
 
 
+def cds_doc_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dna_doc_spread(spark, sf_dir).withColumn("dna", coding(F.col("dna"))).where(F.length("dna") > 0)
+
+
 def dna_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """32-base sequences from the events."""
     return read(spark, sf_dir, "events").select(F.col("event_id").alias("seq_id"), F.translate(F.md5(F.col("event_id").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT").alias("dna"), "event_type")
 
 
-def protein_bench(spark: SparkSession, sf_dir: str, length: int | None = None) -> DataFrame:
-    """proteins(seq_id, protein) from the benchmark items; their first ``length`` residues if given."""
-    protein = protein_letters(F.col("text"))
-    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), (protein if length is None else F.left(protein, F.lit(length))).alias("protein")).where(F.length("protein") > 0)
+def protein_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """proteins(seq_id, protein) from the whole benchmark items."""
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), protein_letters(F.col("text")).alias("protein")).where(F.length("protein") > 0)
