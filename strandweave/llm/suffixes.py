@@ -7,14 +7,14 @@ wherever else the window stands.
 
 1. Kept suffixes are grouped by a hash of their first 31 words, which all
    windows of a suffix share; those that one document alone holds go.
-2. The others are sorted as suffixes: 50 words to the right, each a 32-bit
-   symbol, range-partitioned with their document, so equal ones of many
-   documents spread over partitions.
+2. The others meet in the bucket of that hash and are sorted as suffixes: 50
+   words to the right, each a 32-bit symbol. A bucket of over GROUP suffixes is
+   dealt over parts by document.
 3. Neighbours are compared word by word: the common prefixes of neighbours
    extend a match to the right, and the words on the left, nearest first,
    split its group step by step. Each window so meets its equals, of which the
-   least document is told. A group that goes on beyond a batch is decided by
-   an aggregate with map-side combine.
+   least document is told. Windows of buckets in parts are decided by an
+   aggregate over the parts, with map-side combine.
 
 No pairs are formed; a passage that a third of all documents hold costs a few
 rows a document.
@@ -32,9 +32,10 @@ from strandweave.core.session import bounded, checkpoint, ship
 from strandweave.llm import textscan
 
 K, SPAN, WINDOW = 8, 20, 50
-HELD = 1_000_000  #: most rows of hashes that are broadcast
+HELD = 200_000  #: most rows of hashes that are broadcast
 BYTES = 64 << 20  #: most bytes of places that are broadcast
 ROWS = 1 << 14  #: suffixes that one step writes or compares at least
+GROUP = 1 << 15  #: suffixes of a bucket beyond which it is dealt over parts
 
 
 def anchors(h: np.ndarray, first: np.ndarray, k: int, span: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -75,7 +76,7 @@ def _known(docs: DataFrame) -> DataFrame:
 
 
 def _shared(rows: DataFrame, k: int, span: int, window: int) -> DataFrame:
-    """(doc_id, tid, place) of the kept suffixes whose first words stand in several documents."""
+    """(doc_id, tid, place) of the kept suffixes whose first words stand in several documents; ``place`` has the part of its bucket in the upper 32 bits, -1 if it has one only."""
 
     def run(batches):
         for part, h, first, text, place, _, _ in _runs(batches, 2, k, span, window):
@@ -83,11 +84,13 @@ def _shared(rows: DataFrame, k: int, span: int, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), part.column(0).take(pa.array(text)), part.column(1).take(pa.array(text)), pa.array((place - first[text]).astype(np.int32))], names=["g", "doc_id", "tid", "place"])
 
     kept = rows.mapInArrow(run, "g long, doc_id long, tid long, place int")
-    several = checkpoint(kept.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("g"))
-    return kept.join(bounded(several, HELD), "g", "left_semi").select("doc_id", "tid", "place")
+    several = kept.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    several = checkpoint(several.select("g", F.ceil(F.col("n") / GROUP).cast("long").alias("parts")))
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id", "tid"), F.col("parts"))).otherwise(F.lit(-1).cast("long"))
+    return kept.join(bounded(several, HELD), "g").select("doc_id", "tid", F.shiftleft(part, 32).bitwiseOR(F.col("place").cast("long")).alias("place"))
 
 
-_SUFFIX = "doc_id long, tid long, place int, least int, most int, suffix binary, before binary"
+_SUFFIX = "g long, part int, doc_id long, tid long, place int, least int, most int, suffix binary, before binary"
 
 
 def _written(rows: DataFrame, places: DataFrame, k: int, span: int, window: int) -> DataFrame:
@@ -96,20 +99,25 @@ def _written(rows: DataFrame, places: DataFrame, k: int, span: int, window: int)
 
     def run(batches):
         for part, h, first, text, place, least, most in _runs(batches, 2, k, span, window):
-            wanted = [np.asarray(p, dtype=np.int64) + first[i] for i, p in enumerate(part.column(3).to_pylist())]
-            at = np.flatnonzero(np.isin(place, np.concatenate([*wanted, np.zeros(0, np.int64)])))
-            symbol = (h >> np.uint64(32)).astype(np.uint32)
+            lists = [np.asarray(p, dtype=np.int64) for p in part.column(3).to_pylist()]
+            wanted = np.concatenate([*((p & 0xFFFFFFFF) + first[i] for i, p in enumerate(lists)), np.zeros(0, np.int64)])
+            piece = np.concatenate([*lists, np.zeros(0, np.int64)]) >> 32
+            order = np.argsort(wanted)
+            wanted, piece = wanted[order], piece[order]
+            at = np.flatnonzero(np.isin(place, wanted))
+            symbol, g = (h >> np.uint64(32)).astype(np.uint32), textscan.grams(h, window - span + 1)
             for a in range(0, len(at), ROWS):
                 some = at[a : a + ROWS]
                 t, p = text[some], place[some]
                 right, left = p[:, None] + np.arange(window), p[:, None] - 1 - np.arange(span - 1)
                 right = np.where(right < first[t + 1][:, None], symbol[np.minimum(right, len(h) - 1)], 0).astype(">u4")
                 left = np.where(left >= first[t][:, None], symbol[np.maximum(left, 0)], 0).astype(">u4")
-                cols = [part.column(0).take(pa.array(t)), part.column(1).take(pa.array(t)), *(pa.array(x.astype(np.int32)) for x in (p - first[t], least[some], most[some])), _binary(right), _binary(left)]
+                own = piece[np.searchsorted(wanted, p)].astype(np.int32)
+                cols = [pa.array(g[p].view(np.int64)), pa.array(own), part.column(0).take(pa.array(t)), part.column(1).take(pa.array(t)), *(pa.array(x.astype(np.int32)) for x in (p - first[t], least[some], most[some])), _binary(right), _binary(left)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     lists = checkpoint(places.groupBy("doc_id", "tid").agg(F.collect_set("place").alias("places")))
-    size = lists.agg(F.sum(40 + 4 * F.size("places"))).first()[0] or 0
+    size = lists.agg(F.sum(40 + 8 * F.size("places"))).first()[0] or 0
     return rows.join(F.broadcast(lists) if size <= BYTES else lists, ["doc_id", "tid"]).select("doc_id", "tid", "text", "places").mapInArrow(run, _SUFFIX)
 
 
@@ -147,20 +155,21 @@ def equal_windows(right: np.ndarray, left: np.ndarray, least: np.ndarray, most:
 def repeated_windows(suffixes: DataFrame, window: int, span: int) -> DataFrame:
     """(doc_id, tid, at, last, earlier): windows that also start in a document with a smaller id, from ``at`` to ``last``, and the least such document."""
     names = ["doc_id", "tid", "at", "last", "earlier", "lo", "hi"]
-    sure = window - span + 1
     weight = textscan.mix(np.arange(1, window + 1, dtype=np.uint64)) | np.uint64(1)
 
-    def judge(table: pa.Table, is_open: np.ndarray):
+    def judge(table: pa.Table):
+        """All suffixes of some buckets, or of parts of buckets."""
         right, left = _symbols(table.column("suffix"), window), _symbols(table.column("before"), span - 1)
-        doc, tid, place, least, most = (table.column(c).to_numpy() for c in ("doc_id", "tid", "place", "least", "most"))
+        doc, tid, place, least, most, part = (table.column(c).to_numpy() for c in ("doc_id", "tid", "place", "least", "most", "part"))
         late = []
         for before, rows, group in equal_windows(right, left, least, most):
             order = np.argsort(group, kind="stable")
             head = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]])
             first = np.minimum.reduceat(doc[rows][order], head)[group]
-            shut = np.flatnonzero(~is_open[rows] & (doc[rows] > first))
+            whole = part[rows] < 0
+            shut = np.flatnonzero(whole & (doc[rows] > first))
             late.append(np.stack([rows[shut], place[rows[shut]] - before, first[shut]]))
-            r = rows[is_open[rows]]
+            r = rows[~whole]
             if len(r):
                 words = np.concatenate([left[r, :before][:, ::-1], right[r, : window - before]], axis=1).astype(np.uint64)
                 # 128 bits of the window's words in their order
@@ -179,35 +188,30 @@ def repeated_windows(suffixes: DataFrame, window: int, span: int) -> DataFrame:
     def run(batches):
         held, n = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
             held.append(batch)
             n += batch.num_rows
-            if n >= ROWS:
-                table = pa.Table.from_batches(held).combine_chunks()
-                yield from judge(table, _ends(table, sure))
-                held, n = [], 0
-        if n:
+            if n < ROWS:
+                continue
             table = pa.Table.from_batches(held).combine_chunks()
-            yield from judge(table, _ends(table, sure))
+            g, part = table.column("g").to_numpy(), table.column("part").to_numpy()
+            before = np.flatnonzero((g != g[-1]) | (part != part[-1]))
+            cut = int(before[-1]) + 1 if len(before) else 0  # the last bucket may go on
+            if cut:
+                yield from judge(table.slice(0, cut).combine_chunks())
+            held, n = table.slice(cut).to_batches(), n - cut
+        if n:
+            yield from judge(pa.Table.from_batches(held).combine_chunks())
 
     parts = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["suffix", "doc_id", "tid", "place"]
-    found = checkpoint(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, "doc_id long, tid long, at int, last int, earlier long, lo long, hi long"))
+    sorted_ = suffixes.repartition(parts, "g", "part").sortWithinPartitions("g", "part", "suffix", "doc_id", "tid", "place")
+    found = checkpoint(sorted_.mapInArrow(run, "doc_id long, tid long, at int, last int, earlier long, lo long, hi long"))
     ends = found.where("lo is not null")
-    whole = checkpoint(ends.groupBy("lo", "hi").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last")).where("earlier < last").select("lo", "hi", "earlier"))
+    whole = checkpoint(ends.groupBy("lo", "hi").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("latest")).where("earlier < latest").select("lo", "hi", "earlier"))
     late = ends.drop("earlier").join(bounded(whole, HELD), ["lo", "hi"]).where("doc_id > earlier")
     columns = ["doc_id", "tid", "at", "last", "earlier"]
     return found.where("lo is null").select(*columns).unionByName(late.select(*columns))
 
 
-def _ends(table: pa.Table, sure: int) -> np.ndarray:
-    """Rows whose first ``sure`` words are those of the first or of the last row: their groups may go on elsewhere."""
-    suffix = table.column("suffix").to_pylist()
-    head = np.array([s[: 4 * sure] for s in suffix], dtype=object)
-    return (head == head[0]) | (head == head[-1])
-
-
 def repeated_passages(docs: DataFrame, window: int = WINDOW, k: int = K, span: int = SPAN) -> DataFrame:
     """(doc_id, start, length, earlier_doc_id): maximal passages made of ``window``-word repeats from documents with smaller ids.
 

@@ -439,3 +439,42 @@ def test_ann_answers_are_full(spark):
         assert all(sorted(got[q]) == list(range(1, min(k, 14) + 1)) for q in range(15))
     for q in range(15):
         assert [got[q][r] for r in range(1, 15)] == [int(i) for i in np.argsort(-(x @ x[q])) if i != q]
+
+
+def _passages(rows):
+    """(doc_id, start, length, earlier_doc_id) by plain comparison of all 50-word windows; rows are (doc_id, text)."""
+    first, out = {}, set()
+    words = [(d, WORD.findall(t or "")) for d, t in rows]
+    for d, w in words:
+        for i in range(len(w) - 49):
+            k = tuple(w[i : i + 50])
+            first[k] = min(first.get(k, d), d)
+    for d, w in words:
+        late = [(i, first[tuple(w[i : i + 50])]) for i in range(len(w) - 49) if first[tuple(w[i : i + 50])] < d]
+        at = 0
+        while at < len(late):
+            to = at + 1
+            while to < len(late) and late[to][0] <= late[to - 1][0] + 50:
+                to += 1
+            out.add((d, late[at][0], late[to - 1][0] + 50 - late[at][0], min(e for _, e in late[at:to])))
+            at = to
+    return out
+
+
+@pytest.mark.parametrize("group, rows, held", [(1 << 15, 1 << 14, 200_000), (3, 4, 200_000), (5, 1 << 14, 0)])
+def test_passages_of_hot_groups_and_over_parts(spark, monkeypatch, group, rows, held):
+    for name, value in (("GROUP", group), ("ROWS", rows), ("HELD", held), ("BYTES", held * 64)):
+        monkeypatch.setattr(suffixes, name, value)
+    rng = random.Random(51)
+    vocab = _words(rng, 6)  # few words: many equal minimisers, repeats within documents
+    long, short = [rng.choice(vocab) for _ in range(130)], _words(rng, 60)
+    texts = []
+    for i in range(30):
+        w = _words(rng, rng.choice([0, 5, 40]))
+        a, b = sorted(rng.sample(range(131), 2))
+        texts.append(" ".join(w + long[a:b] + _words(rng, rng.choice([0, 3])) + (short if i % 3 == 0 else [])))
+    texts += [texts[4], "a " * 200, "a " * 120, None, "", "x" * 3_000_000 + " " + " ".join(short)]
+    table = [(int(d), t) for d, t in zip(rng.sample(range(1000), len(texts)), texts, strict=True)]
+    table.append((table[3][0], texts[6]))  # a doc_id with two texts
+    got = {tuple(r) for r in suffixes.repeated_passages(spark.createDataFrame([*table, table[7], (None, texts[4])], "doc_id long, text string").repartition(4)).collect()}
+    assert got == _passages(table) and len(got) >= 15
