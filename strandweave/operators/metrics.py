@@ -8,16 +8,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandweave.core.session import bounded, checkpoint
+
 
 def _zero(x: Column) -> Column:
     return F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0))
 
 
+def running(values: DataFrame, by: list[str], key: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
+    """``values`` with running sums of columns within each group, in the order of ``key``; a key occurs once in its group.
+
+    Rows are range-partitioned and each slice summed on its own; the sums of
+    the slices before it, of which there are as many as shuffle partitions,
+    are added. So a group of any size spreads over tasks.
+    """
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = F.col(key).desc() if descending else F.col(key).asc()
+    cut = checkpoint(values.repartitionByRange(parts, *by, order).withColumn("__slice", F.spark_partition_id()))
+    slices = cut.groupBy(*by, "__slice").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    earlier = W.partitionBy(*by).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
+    slices = slices.select(*[F.col(c).alias(f"__b{i}") for i, c in enumerate(by)], F.col("__slice").alias("__s"), *[F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}") for n in sums])
+    on = [F.col("__slice") == F.col("__s"), *[F.col(c).eqNullSafe(F.col(f"__b{i}")) for i, c in enumerate(by)]]
+    here = W.partitionBy(*by, "__slice").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    rows = cut.select("*", *[F.sum(c).over(here).alias(f"__own_{n}") for n, c in sums.items()])
+    for i, condition in enumerate(on[1:], 1):
+        on[0] = on[0] & condition
+    return rows.join(bounded(checkpoint(slices), 100_000), on[0]).select(*values.columns, *[(F.col(f"__own_{n}") + F.col(f"__{n}")).alias(n) for n in sums])
+
+
 def with_rank(df: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
     """Ranks from 1, ties averaged, from counts of distinct values: only those are sorted."""
     values = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("__n"))
-    below = F.sum("__n").over(W.partitionBy(*by).orderBy(column).rowsBetween(W.unboundedPreceding, 0))
-    ranks = values.select(*by, column, (below - (F.col("__n") - 1) / 2.0).alias(name))
+    ranks = running(values, by, column, {"__upto": "__n"}).select(*by, column, (F.col("__upto") - (F.col("__n") - 1) / 2.0).alias(name))
     return df.join(ranks, [*by, column])
 
 
@@ -50,8 +72,7 @@ def regression(df: DataFrame, by: list[str], x: str = "predicted", y: str = "mea
 def curve(cases: DataFrame, by: list[str]) -> DataFrame:
     """One row for each distinct score from the highest: cases and positives of that score, and up to it."""
     g = cases.groupBy(*by, "predicted").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
-    down = W.partitionBy(*by).orderBy(F.col("predicted").desc()).rowsBetween(W.unboundedPreceding, 0)
-    return g.withColumn("n_to", F.sum("n").over(down)).withColumn("pos_to", F.sum("pos").over(down))
+    return running(g, by, "predicted", {"n_to": "n", "pos_to": "pos"}, descending=True)
 
 
 def ranking_metrics(cases: DataFrame, by: list[str]) -> DataFrame:
@@ -63,7 +84,7 @@ def ranking_metrics(cases: DataFrame, by: list[str]) -> DataFrame:
     """
     c = curve(cases, by)
     total = c.groupBy(*by).agg(F.sum("n").alias("n_all"), F.sum("pos").alias("pos_all"))
-    rows = c.join(F.broadcast(total), by) if by else c.crossJoin(F.broadcast(total))
+    rows = c.join(total, by) if by else c.crossJoin(F.broadcast(total))
     ap = F.sum(F.when(F.col("pos_all") > 0, F.col("pos") / F.col("pos_all") * F.col("pos_to") / F.col("n_to")).otherwise(0.0))
     neg = F.col("n") - F.col("pos")
     below = F.col("n_all") - F.col("pos_all") - (F.col("n_to") - F.col("pos_to"))
@@ -114,10 +135,9 @@ def quartile_range(df: DataFrame, by: list[str], column: str) -> DataFrame:
 def conformal(df: DataFrame, by: list[str], residual: str, coverage: float = 0.9) -> DataFrame:
     """(n, q, covered): the k-th smallest residual, k = ceil((n + 1) * coverage), infinite if there are fewer; and the share within q."""
     values = df.groupBy(*by, residual).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(W.partitionBy(*by).orderBy(residual).rowsBetween(W.unboundedPreceding, 0))
-    values = values.withColumn("upto", upto)
+    values = running(values, by, residual, {"upto": "c"})
     total = values.groupBy(*by).agg(F.sum("c").alias("n"))
-    rows = values.join(F.broadcast(total), by) if by else values.crossJoin(F.broadcast(total))
+    rows = values.join(total, by) if by else values.crossJoin(F.broadcast(total))
     rows = rows.withColumn("k", F.ceil((F.col("n") + 1) * F.lit(coverage) - 1e-9))
     q = F.min(F.when(F.col("upto") >= F.col("k"), F.col(residual)))
     out = rows.groupBy(*by, "n").agg(F.coalesce(q, F.lit(math.inf)).alias("q"), F.min(F.when(F.col("upto") >= F.col("k"), F.col("upto"))).alias("within"))
@@ -136,42 +156,54 @@ def site_gate(cases: DataFrame, stratum: str, minimum: float = 0.5, fewest_group
     return m.withColumn("reasons", F.array_join(reasons, "; ")).withColumn("passed", F.size(reasons) == 0)
 
 
+def numbered_groups(cases: DataFrame, group: str = "group") -> DataFrame:
+    """(group, number): the distinct groups from 1, in their order."""
+    return running(cases.select(group).distinct().withColumn("__one", F.lit(1)), [], group, {"number": "__one"}).select(group, "number")
+
+
 def expression_gate(cases: DataFrame, share: float = 0.5, coverage: float = 0.9, least_rho: float = 0.3, tolerance: float = 0.1) -> DataFrame:
-    """Grouped split, within-group centring, a link fitted on the calibration fold, and coverage of its conformal band on the rest."""
-    fold = cases.select("group").distinct().withColumn("r", F.row_number().over(W.orderBy("group"))).crossJoin(F.broadcast(cases.agg(F.count_distinct("group").alias("groups"))))
-    fold = fold.select("group", (F.col("r") <= F.ceil(F.lit(share) * F.col("groups"))).alias("calibration"))
-    rows = cases.join(F.broadcast(fold), "group")
-    own = W.partitionBy("group")
-    rows = rows.withColumn("x", F.col("predicted") - F.avg("predicted").over(own)).withColumn("y", F.col("measured") - F.avg("measured").over(own))
-    link = rows.where("calibration").agg(F.coalesce(_slope("x", "y"), F.lit(0.0)).alias("slope"), F.coalesce(F.avg("y") - _slope("x", "y") * F.avg("x"), F.lit(0.0)).alias("intercept"))
-    rows = rows.crossJoin(F.broadcast(link)).withColumn("residual", F.abs(F.col("y") - (F.col("slope") * F.col("x") + F.col("intercept"))))
-    q = conformal(rows.where("calibration"), [], "residual", coverage).select("q")
+    """Grouped split, within-group centring, a link fitted on the calibration fold, and coverage of its conformal band on the rest.
+
+    The first groups by name, ``share`` of them and at least one, are the
+    calibration fold. One row; the link, the band and the rank correlation are
+    aggregates of one row each.
+    """
+    groups = checkpoint(numbered_groups(cases))
+    most = math.ceil(share * groups.count() - 1e-9)
+    means = cases.groupBy("group").agg(F.avg("predicted").alias("__p"), F.avg("measured").alias("__m"))
+    rows = cases.join(means, "group").join(groups.select("group", (F.col("number") <= most).alias("calibration")), "group")
+    rows = checkpoint(rows.select("group", "calibration", (F.col("predicted") - F.col("__p")).alias("x"), (F.col("measured") - F.col("__m")).alias("y")))
+    link = rows.where("calibration").agg(F.coalesce(_slope("x", "y"), F.lit(0.0)).alias("slope"), F.coalesce(F.avg("y") - _slope("x", "y") * F.avg("x"), F.lit(0.0)).alias("intercept")).first()
+    rows = rows.withColumn("residual", F.abs(F.col("y") - (F.lit(link["slope"]) * F.col("x") + F.lit(link["intercept"]))))
+    band = conformal(rows.where("calibration"), [], "residual", coverage).first()
+    q = math.inf if band is None else band["q"]
     rest = rows.where("not calibration")
-    inside = rest.crossJoin(F.broadcast(q)).agg(F.avg(F.when(F.col("residual") <= F.col("q"), 1.0).otherwise(0.0)).alias("covered"), F.min("q").alias("q"), F.count(F.lit(1)).alias("n_test"))
-    rho = spearman(rest.withColumn("__all", F.lit(1)), ["__all"], "x", "y").select("spearman")
-    out = inside.crossJoin(F.broadcast(rho))
-    return out.withColumn("passed", (F.col("spearman") >= least_rho) & (F.abs(F.col("covered") - coverage) <= tolerance))
+    out = rest.agg(F.avg(F.when(F.col("residual") <= q, 1.0).otherwise(0.0)).alias("covered"), F.lit(q).alias("q"), F.count(F.lit(1)).alias("n_test"))
+    rho = spearman(rest.withColumn("__all", F.lit(1)), ["__all"], "x", "y").agg(F.coalesce(F.max("spearman"), F.lit(0.0)).alias("spearman"))
+    out = out.crossJoin(F.broadcast(rho))
+    return out.withColumn("passed", F.coalesce((F.col("spearman") >= least_rho) & (F.abs(F.col("covered") - coverage) <= tolerance), F.lit(False)))
+
+
+def resampled(cases: DataFrame, draws: int, seed: int = 0) -> DataFrame:
+    """The cases with columns draw and copies: in each draw as many groups as there are, with replacement, chosen by a seeded hash.
+
+    Draws are counted by group before they meet the cases; nothing is drawn
+    on the driver.
+    """
+    groups = checkpoint(numbered_groups(cases))
+    n = groups.count()
+    pick = F.pmod(F.xxhash64(F.lit(seed), "draw", "slot"), F.lit(max(n, 1))) + 1
+    slots = cases.sparkSession.range(draws * n).select((F.col("id") / max(n, 1)).cast("long").alias("draw"), (F.col("id") % max(n, 1)).alias("slot"))
+    plan = slots.select("draw", pick.alias("number")).groupBy("draw", "number").agg(F.count(F.lit(1)).alias("copies"))
+    return cases.join(groups, "group").join(plan, "number").drop("number")
 
 
 def cluster_bootstrap(cases: DataFrame, statistic, draws: int = 200, level: float = 0.95, seed: int = 0) -> tuple[float, float]:
     """Percentile interval of ``statistic(cases, by)`` over resampled groups; NaN under 20 valid draws.
 
-    Groups are drawn on the driver with a seeded generator; only group names
-    and multiplicities are sent, and replicates are one grouped query.
+    Replicates are one grouped query; one number a draw comes to the driver.
     """
-    import random
-
-    names = [r[0] for r in cases.select("group").distinct().orderBy("group").collect()]
-    rng = random.Random(seed)
-    rows = []
-    for d in range(draws):
-        picked: dict = {}
-        for _ in names:
-            g = rng.choice(names)
-            picked[g] = picked.get(g, 0) + 1
-        rows += [(d, g, c) for g, c in picked.items()]
-    plan = cases.sparkSession.createDataFrame(rows, cases.select(F.lit(0).alias("draw"), "group", F.lit(0).alias("copies")).schema)
-    drawn = cases.join(F.broadcast(plan), "group").withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    drawn = resampled(cases, draws, seed).withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     values = sorted(r[0] for r in statistic(drawn, ["draw"]).collect() if r[0] is not None and not math.isnan(r[0]))
     if len(values) < 20:
         return math.nan, math.nan
@@ -179,6 +211,21 @@ def cluster_bootstrap(cases: DataFrame, statistic, draws: int = 200, level: floa
     return at((1 - level) / 2), at((1 + level) / 2)
 
 
+def median_interval(values: DataFrame, group: str, value: str, draws: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """One row (median, low, high): the median over groups(group, value), and a percentile interval from resampled groups."""
+    rows = values.select(F.col(group).alias("group"), F.col(value).alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    each = resampled(rows, draws, seed).groupBy("draw").agg(F.percentile("__v", F.lit(0.5), F.col("copies")).alias("m"))
+    ends = each.agg(F.percentile("m", F.lit((1 - level) / 2)).alias("low"), F.percentile("m", F.lit((1 + level) / 2)).alias("high"))
+    return rows.agg(F.percentile("__v", F.lit(0.5)).alias("median")).crossJoin(F.broadcast(ends))
+
+
+def promotion(passed: bool, low: float, baselines: dict[str, float], width_over_iqr: float) -> dict[str, object]:
+    """Whether a model is promoted: it passes its gate, the interval's lower end beats every baseline, and the interval is narrower than the spread."""
+    best = max(baselines.items(), key=lambda b: (b[1], b[0])) if baselines else ("none", -math.inf)
+    beats, informative = low > best[1], width_over_iqr < 1.0
+    return {"best_baseline": best[0], "best_baseline_score": best[1], "beats_every_baseline": beats, "interval_is_informative": informative, "promotable": bool(passed and beats and informative)}
+
+
 def sign_test(wins: int, losses: int) -> float:
     """Exact two-sided binomial p-value; 1 without trials."""
     n = wins + losses
@@ -199,3 +246,15 @@ def call_agreement(scores: DataFrame, top_k: int = 3) -> DataFrame:
     both = a.join(b, ["backend_a", "backend_b", "window", "pos"], "full_outer")
     n = both.groupBy("backend_a", "backend_b").agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"), F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull()).alias("only_b"))
     return n.withColumn("jaccard", F.col("both") / (F.col("both") + F.col("only_a") + F.col("only_b")))
+
+
+def call_correlation(scores: DataFrame, top_k: int = 3) -> DataFrame:
+    """(backend_a, backend_b, n, spearman) of both backends' scores at the positions that either calls; a position without a score has 0."""
+    best = W.partitionBy("backend", "window").orderBy(F.col("score").desc(), "pos")
+    calls = scores.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top_k).select("backend", "window", "pos")
+    names = calls.select("backend").distinct()
+    pairs = F.broadcast(names.select(F.col("backend").alias("backend_a")).join(names.select(F.col("backend").alias("backend_b")), F.col("backend_a") < F.col("backend_b")))
+    either = calls.join(pairs, (F.col("backend") == F.col("backend_a")) | (F.col("backend") == F.col("backend_b"))).select("backend_a", "backend_b", "window", "pos").distinct()
+    side = lambda n, v: scores.select(F.col("backend").alias(n), "window", "pos", F.col("score").alias(v))
+    both = either.join(side("backend_a", "x"), ["backend_a", "window", "pos"], "left").join(side("backend_b", "y"), ["backend_b", "window", "pos"], "left").na.fill(0.0, ["x", "y"])
+    return spearman(both, ["backend_a", "backend_b"], "x", "y")

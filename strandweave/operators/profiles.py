@@ -98,6 +98,14 @@ def peaks(scores: DataFrame, threshold: float) -> DataFrame:
     return runs.withColumn("__r", F.row_number().over(best)).where("__r = 1").select("seq_id", "kind", "pos", "score")
 
 
+def supported(peaks: DataFrame, width: int = 3) -> DataFrame:
+    """Peaks(seq_id, backend, kind, pos, score) with the backends that have one within ``width`` bases; each meets only its own and the neighbouring buckets."""
+    bucket = lambda c: F.floor(F.col(c) / (width + 1))
+    near = peaks.select("seq_id", F.col("backend").alias("other"), F.col("pos").alias("at"), F.explode(F.sequence(bucket("pos") - 1, bucket("pos") + 1)).alias("bucket"))
+    met = peaks.withColumn("bucket", bucket("pos")).join(near, ["seq_id", "bucket"]).where(F.abs(F.col("pos") - F.col("at")) <= width)
+    return met.groupBy("seq_id", "backend", "kind", "pos", "score").agg(F.array_sort(F.collect_set("other")).alias("backends"))
+
+
 def pooled_risk(scores: DataFrame, background: float = 0.01, top_k: int = 3, floor: float = 1e-6) -> DataFrame:
     """(seq_id, risk, response, n_above, top, n_scored, below_background): log odds over the background, summed over the k highest sites.
 

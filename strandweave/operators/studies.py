@@ -35,12 +35,13 @@ def _pairs(long: DataFrame, name: str, case: list[str], value: str) -> DataFrame
     return a.join(b, case).where("a < b")
 
 
-def delta_agreement(deltas: DataFrame, eps: float = 1e-9) -> DataFrame:
-    """(a, b, n, spearman, sign_agreement) for each pair of backends over deltas(backend, case, delta)."""
-    p = _pairs(deltas, "backend", ["case"], "delta")
+def delta_agreement(deltas: DataFrame, eps: float = 1e-9, by: list[str] | None = None) -> DataFrame:
+    """(*by, a, b, n, spearman, sign_agreement) for each pair of backends over deltas(*by, backend, case, delta)."""
+    by = by or []
+    p = _pairs(deltas, "backend", [*by, "case"], "delta")
     sign = lambda c: F.when(F.abs(c) <= eps, 0).otherwise(F.signum(c))
-    signs = p.groupBy("a", "b").agg(F.avg(F.when(sign(F.col("x")) == sign(F.col("y")), 1.0).otherwise(0.0)).alias("sign_agreement"))
-    return spearman(p, ["a", "b"], "x", "y").join(signs, ["a", "b"])
+    signs = p.groupBy(*by, "a", "b").agg(F.avg(F.when(sign(F.col("x")) == sign(F.col("y")), 1.0).otherwise(0.0)).alias("sign_agreement"))
+    return spearman(p, [*by, "a", "b"], "x", "y").join(signs, [*by, "a", "b"])
 
 
 def context_stability(scores: DataFrame) -> DataFrame:
@@ -49,6 +50,12 @@ def context_stability(scores: DataFrame) -> DataFrame:
     return spearman(p, ["group", "a", "b"], "x", "y").groupBy("group").agg(F.percentile("spearman", F.lit(0.5)).alias("stability"))
 
 
+def corrected_stability(stability: DataFrame, fits: DataFrame) -> DataFrame:
+    """(group, stability, residual_fraction, corrected): stability times the share of the score that features do not explain, 0 at least; fits(group, adjusted_r2)."""
+    share = F.greatest(F.lit(0.0), 1 - F.greatest(F.lit(0.0), F.col("adjusted_r2")))
+    return stability.join(fits, "group").select("group", "stability", share.alias("residual_fraction"), (F.col("stability") * share).alias("corrected"))
+
+
 def context_swap(scores: DataFrame, first: str, second: str, floor: float) -> DataFrame:
     """(member, change, moved): the absolute score change between two contexts, and whether it is over the noise floor."""
     a = scores.where(F.col("context") == first).select("group", "member", F.col("score").alias("x"))
@@ -70,10 +77,12 @@ def spread_ratio(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def fold_means(df: DataFrame, key: list[str], prefix: str) -> DataFrame:
-    """(*key, value): the mean of the columns named by a prefix in each row, then over the rows of a key; no such column raises."""
+    """(*key, value): the mean of the columns named by a prefix in each row, then over the rows of a key; no such column, or a missing value, raises."""
     cols = [c for c in df.columns if c.startswith(prefix)]
     if not cols:
         raise ValueError(f"no column starts with {prefix!r}")
+    gap = F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in cols])
+    df = df.withColumn(cols[0], F.when(gap != "", F.raise_error(F.concat(F.lit("no value in "), gap)).cast("double")).otherwise(F.col(cols[0]).cast("double")))
     row = sum((F.col(c).cast("double") for c in cols[1:]), F.col(cols[0]).cast("double")) / len(cols)
     return df.select(*key, row.alias("v")).groupBy(*key).agg(F.avg("v").alias("value"))
 

@@ -340,21 +340,22 @@ def refine(dna: str, weights: Objective, local: Iterable[Rule], whole: Iterable[
     return Solution(best[2], -best[1], "heuristic")
 
 
-def optimize(protein: str, weights: Objective, rules: Iterable[Rule], beam: int | None = None, widest_window: int = 12, widest: int = 40, seed: int = 0) -> Solution:
+def optimize(protein: str, weights: Objective, rules: Iterable[Rule], beam: int | None = None, widest_window: int = 12, widest: int = 40, seed: int = 0, steps: int = 2000, always: bool = False) -> Solution:
     """Rules of bounded context exactly; the others by refinement where the exact answer breaks them.
 
     Rules that read ``widest`` bases or more, and GC windows that read
     ``widest_window`` or more, count as unbounded, as their graphs grow with
     the number of contexts. ``refined`` of the result names the rules that
-    were left to annealing; without any the answer is proven.
+    were left to annealing; without any the answer is proven. ``always`` anneals
+    even a clean answer.
     """
     rules = list(rules)
     exact = [r for r in rules if r.context < (widest_window if r.name == "gc_window" else widest)]
     other = [r for r in rules if r not in exact]
     out = relaxing(protein, weights, exact, beam)
-    if out.status == "infeasible" or not any(r.found(out.dna) for r in other):
+    if out.status == "infeasible" or not (always or any(r.found(out.dna) for r in other)):
         return out
-    better = refine(out.dna, weights, [r for r in exact if r.name not in out.relaxed], other, seed)
+    better = refine(out.dna, weights, [r for r in exact if r.name not in out.relaxed], other, seed, steps)
     better.relaxed, better.refined = out.relaxed, sorted(r.name for r in other)
     return better
 

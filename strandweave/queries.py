@@ -476,16 +476,6 @@ def iqr_conformal(spark, d):
     return metrics.conformal(e, ["stratum"], "residual").join(metrics.quartile_range(e, ["stratum"], "residual"), "stratum")
 
 
-@query("splice_gate")
-def splice_gate(spark, d):
-    return metrics.site_gate(_cases(spark, d), "stratum")
-
-
-@query("expression_gate")
-def expression_gate(spark, d):
-    return metrics.expression_gate(_cases(spark, d).select("group", "predicted", "measured"))
-
-
 @query("group_spread", f"WITH {CASES}, g AS (SELECT \"group\", count(*) AS n, avg(measured) AS mean, stddev_samp(measured) AS sd, stddev_pop(measured) AS sdp, max(measured) - min(measured) AS span FROM cases GROUP BY 1) SELECT \"group\", n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(sdp, 6) AS sdp, round(span, 6) AS span FROM g")
 def group_spread(spark, d):
     m = F.col("measured")
@@ -574,18 +564,6 @@ def optimize_beam(spark, d):
     return solve.solve_batch(derive.protein_bench(spark, d), lambda p: [solve.relaxing(p, w, rs, 16)]).drop("point")
 
 
-@query("budget_gc")
-def budget_gc(spark, d):
-    w = solve.Weights(_log_w(spark, d))
-    return solve.solve_batch(derive.protein_bench(spark, d), lambda p: [solve.budgeted(p, w, round(0.45 * 3 * (len(p) + 1)), round(0.6 * 3 * (len(p) + 1)), solve.gc_amount, 0)]).drop("point")
-
-
-@query("budget_dinuc")
-def budget_dinuc(spark, d):
-    w = solve.Weights(_log_w(spark, d))
-    return solve.solve_batch(derive.protein_bench(spark, d), lambda p: [solve.budgeted(p, w, 0, 1, solve.pair_amount("CG"), 1)]).drop("point")
-
-
 @query("frontier")
 def frontier(spark, d):
     return solve.frontier(derive.protein_bench(spark, d), _log_w(spark, d), [rules.Homopolymer(4)])
