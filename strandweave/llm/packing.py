@@ -1,4 +1,11 @@
-"""Sequence packing as a cutting-stock problem solved by column generation (operator 5)."""
+"""Sequence packing as a cutting-stock problem solved by column generation (operator 5).
+
+Documents are cut into full pieces and a remainder. A linear program over the
+histogram of remainders finds patterns of lengths that fill a sequence; its
+columns are priced by a knapsack. Patterns without padding are rounded down
+and used as often as that; what is left is laid end to end and cut at the ends
+of sequences, so that at most the last one is padded.
+"""
 
 from __future__ import annotations
 
@@ -10,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.core.session import checkpoint, ship
+from strandweave.core.session import bounded, checkpoint, ship
 from strandweave.llm import textscan
 from strandweave.llm.sharding import numbered
 from strandweave.llm.tokens import SegmentEncoder, default_path
 
 LENGTH = 1024
+CUT_DOCS = 100_000  #: most documents whose cuts are broadcast
 GAP = 5e-3  #: the linear program stops within this share of its lower bound
 COLUMNS = 24  #: columns taken from one pricing
 STALL = 25  #: pricings without progress after which the linear program stops; its gap is then larger
@@ -155,43 +163,44 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, length: int = LENGT
             return basis, x, bound
 
 
-def leftovers(sizes: np.ndarray, count: np.ndarray, length: int = LENGTH) -> list[tuple[np.ndarray, int]]:
-    """Patterns for what rounding left: the longest piece, then the subset of the rest that fills its sequence best."""
-    left, out = {int(s): int(c) for s, c in zip(sizes, count, strict=True) if c}, []
-    order = {int(s): i for i, s in enumerate(sizes)}
-    while left:
-        first = max(left)
-        pattern = np.zeros(len(sizes), dtype=np.int64)
-        pattern[order[first]] += 1
-        for s, n in fullest(length - first, left | {first: left[first] - 1}).items():
-            pattern[order[s]] += n
-        times = min(left[int(s)] // int(p) for s, p in zip(sizes, pattern, strict=True) if p)
-        for i in np.flatnonzero(pattern):
-            s = int(sizes[i])
-            left[s] -= times * int(pattern[i])
-            if not left[s]:
-                del left[s]
-        out.append((pattern, times))
-    return out
-
-
 @dataclass
 class Plan:
-    """Ranges of ranks: the pieces of one length from rank ``start`` on fill ``each`` places of consecutive sequences."""
+    """Places by length and rank within it.
+
+    Ranges of ranks: the pieces of one length from rank ``start`` on fill
+    ``each`` places of consecutive sequences. Ranks from ``tail_start`` of
+    their length on are laid end to end from ``tail_base`` bases behind the
+    start of sequence ``tail``, and may go on in the next one.
+    """
 
     size: np.ndarray
     start: np.ndarray
     each: np.ndarray
     sequence: np.ndarray
     offset: np.ndarray
+    tail_size: np.ndarray
+    tail_start: np.ndarray
+    tail_base: np.ndarray
+    tail: int
     sequences: int
     padding: int
     bound: float
-
-    def place(self, size: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.size.astype(np.int64) << 48 | self.start, size.astype(np.int64) << 48 | rank, side="right") - 1
-        past = rank - self.start[at]
-        return self.sequence[at] + past // self.each[at], self.offset[at] + past % self.each[at] * size
+    length: int = LENGTH
+
+    def place(self, size: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sequence, offset, here): ``here`` tokens of each piece lie there, the rest at the start of the next sequence."""
+        at = np.maximum(np.searchsorted(self.size.astype(np.int64) << 48 | self.start, size.astype(np.int64) << 48 | rank, side="right") - 1, 0)
+        if len(self.size):
+            past = rank - self.start[at]
+            sequence, offset = self.sequence[at] + past // self.each[at], self.offset[at] + past % self.each[at] * size
+        else:
+            sequence = offset = np.zeros(len(size), dtype=np.int64)
+        if len(self.tail_size):
+            of = np.minimum(np.searchsorted(self.tail_size, size), len(self.tail_size) - 1)
+            behind = (self.tail_size[of] == size) & (rank >= self.tail_start[of])
+            spot = self.tail_base[of] + (rank - self.tail_start[of]) * size
+            sequence, offset = np.where(behind, self.tail + spot // self.length, sequence), np.where(behind, spot % self.length, offset)
+        return sequence, offset, np.minimum(size, self.length - offset)
 
 
 def plan(histogram: dict[int, int], length: int = LENGTH, gap: float = GAP) -> Plan:
@@ -200,32 +209,36 @@ def plan(histogram: dict[int, int], length: int = LENGTH, gap: float = GAP) -> P
     sizes = np.array(sorted(s for s in histogram if s < length), dtype=np.int64)
     demand = np.array([histogram[int(s)] for s in sizes], dtype=np.int64)
     used: list[tuple[np.ndarray, int]] = []
-    bound = 0.0
+    bound, rest = 0.0, demand.copy()
     if len(sizes):
         basis, x, bound = column_generation(sizes, demand.astype(float), length, gap)
-        rest = demand.copy()
         for j in np.argsort(-x, kind="stable"):
             column = basis[:, j].astype(np.int64)
             some = column > 0
+            fill = int((column * sizes).sum())
+            if int(padded(fill, length)) != fill:
+                continue  # cutting its pieces wastes less
             times = min(int(x[j] + 1e-9), int((rest[some] // column[some]).min()))
             if times:
                 used.append((column, times))
                 rest -= times * column
-        used += leftovers(sizes, rest, length)
-    rows, taken, number, padding = [], np.zeros(len(sizes), dtype=np.int64), 0, 0
+    rows, taken, number = [], np.zeros(len(sizes), dtype=np.int64), 0
     for column, times in used:
         offset = 0
         for i in np.flatnonzero(column)[::-1]:
             rows.append((int(sizes[i]), int(taken[i]), int(column[i]), number, offset))
             taken[i] += times * column[i]
             offset += int(column[i] * sizes[i])
-        padding += times * int(padded(offset, length) - offset)
         number += times
     if whole:
         rows.append((length, 0, 1, number, 0))
     rows.sort()
     cols = [np.array(c, dtype=np.int64) for c in (zip(*rows, strict=True) if rows else ([],) * 5)]
-    return Plan(*cols, sequences=number + whole, padding=padding, bound=bound + whole * length)
+    left = rest > 0
+    spread = rest[left] * sizes[left]
+    total = int(spread.sum())
+    padding = int(padded(total % length, length) - total % length) if total % length else 0
+    return Plan(*cols, sizes[left], taken[left], np.cumsum(spread) - spread, number + whole, number + whole - (-total // length), padding, bound + whole * length, length)
 
 
 def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
@@ -250,24 +263,66 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Da
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
+_PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+
+
+def _cut(docs: DataFrame, cuts: DataFrame, path: str) -> DataFrame:
+    """(*piece, here, first_crc32, second_crc32): the checksums of both parts of cuts(*piece, here), from their documents' tokens."""
+    names = [*_PIECE, "here", "first_crc32", "second_crc32"]
+
+    def run(batches):
+        encoder = SegmentEncoder(path)
+        for batch in batches:
+            for part in textscan.runs([batch]):
+                ids, first = encoder.encode(part.column(part.schema.get_field_index("text")))
+                ids = ids.astype("<u4", copy=False)
+                rows = []
+                for doc, cut, a, b in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    data = ids[a:b].tobytes() + np.zeros(1, "<u4").tobytes()
+                    for c in cut:
+                        piece = data[4 * c["start"] : 4 * (c["start"] + c["length"])]
+                        if c["doc_tokens"] == b - a + 1 and zlib.crc32(piece) == c["ids_crc32"]:  # else another text of this doc_id
+                            rows.append((doc, c["start"], c["length"], c["ids_crc32"], c["doc_tokens"], c["here"], zlib.crc32(piece[: 4 * c["here"]]), zlib.crc32(piece[4 * c["here"] :])))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+
+    by_doc = cuts.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in (*_PIECE[1:], "here")])).alias("cuts")).withColumnRenamed("doc_id", "__doc")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    met = rows.join(bounded(by_doc, CUT_DOCS), F.col("doc_id").eqNullSafe(F.col("__doc"))).select("doc_id", "text", "cuts")
+    return met.mapInArrow(run, ", ".join(f"{n} long" for n in names)).distinct()
+
+
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, gap: float = GAP) -> DataFrame:
     """The pieces of all documents, each with sequence_id and offset in a sequence of at most ``length`` tokens.
 
     Full pieces are sequences of their own. The histogram of the other lengths
     (under ``length`` rows, however large the corpus) is all that the driver
     sees; the plan it makes has a bounded number of rank ranges, and pieces,
-    ranked within their length in slices, look up their places. A null text is
-    empty and has the one end token; repeated rows are packed each.
+    ranked within their length in slices, look up their places. Pieces that
+    the plan cuts in two are tokenised again for the checksums of their
+    parts. A null text is empty and has the one end token; repeated rows are
+    packed each.
     """
+    path = path or default_path()
     made = checkpoint(pieces(docs, path, length))
     histogram = {r["length"]: r["count"] for r in made.groupBy("length").count().collect()}
     where = plan(histogram, length, gap)
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    names = [*_PIECE, "sequence_id", "offset", "here"]
 
     def run(batches):
         for batch in batches:
-            sequence, offset = where.place(batch.column(2).to_numpy(), batch.column(5).to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=names)
+            placed = where.place(batch.column(2).to_numpy(), batch.column(5).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *(pa.array(x) for x in placed)], names=names)
 
     ranked = numbered(made, ["length"], ["doc_id", "start", "ids_crc32"], ["doc_id", "start", "ids_crc32"], "rank")
-    return ranked.select(*names[:5], "rank").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    placed = checkpoint(ranked.select(*_PIECE, "rank").mapInArrow(run, ", ".join(f"{n} long" for n in names)))
+    out = [*_PIECE, "sequence_id", "offset"]
+    uncut, split = placed.where("here = length").select(*out), placed.where("here < length")
+    sums = _cut(docs, split.select(*_PIECE, "here").distinct(), path)
+    on = [*_PIECE, "here"]
+    both = split.alias("s").join(sums.alias("c"), [F.col(f"s.{c}").eqNullSafe(F.col(f"c.{c}")) for c in on]).select("s.*", "first_crc32", "second_crc32")
+    part = F.explode(F.array(
+        F.struct("start", F.col("here").alias("length"), F.col("first_crc32").alias("ids_crc32"), "sequence_id", "offset"),
+        F.struct((F.col("start") + F.col("here")).alias("start"), (F.col("length") - F.col("here")).alias("length"), F.col("second_crc32").alias("ids_crc32"), (F.col("sequence_id") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")),
+    )).alias("p")
+    return uncut.unionByName(both.select("doc_id", "doc_tokens", part).select("doc_id", "p.start", "p.length", "p.ids_crc32", "doc_tokens", "p.sequence_id", "p.offset"))

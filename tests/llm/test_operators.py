@@ -184,31 +184,47 @@ def test_jump_hash_moves_only_into_the_new_shard():
         assert ((a == b) | (b == n)).all() and abs((b == n).mean() - 1 / (n + 1)) < 0.02
 
 
-def test_packing(docs, empty):
+def _packed(rows, packed, length=1024):
+    """Checks that pieces are the documents' ids, each in one piece, and sequences gapless; returns (tokens, tokens with padding)."""
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.default_path())
-    ids = Counter()
-    for d, t, *_ in ROWS:
-        ids[(d, tuple([*tok.encode(t or "", add_special_tokens=False).ids, 0]))] += 1
-    rows = packing.pack(docs).collect()
-    place, total = defaultdict(list), 0
-    for r in rows:
+    place, by = defaultdict(list), defaultdict(list)
+    for r in packed:
         place[r["sequence_id"]].append((r["offset"], r["length"]))
-        total += r["length"]
+        by[r["doc_id"], r["doc_tokens"]].append((r["start"], r["length"], r["ids_crc32"]))
     for spans in place.values():
         at = 0
-        for offset, length in sorted(spans):
-            assert offset == at
-            at += length
-        assert at <= 1024
-    want = Counter((d, s, min(1024, len(x) - s), zlib.crc32(np.array(x[s : s + 1024], "<u4").tobytes()), len(x)) for (d, x), n in ids.items() for _ in range(n) for s in range(0, len(x), 1024))
-    assert Counter(tuple(r)[:5] for r in rows) == want
-    used = sum(int(packing.padded(sum(n for _, n in s))) for s in place.values())
-    assert used <= 1.1 * total
+        for offset, n in sorted(spans):
+            assert offset == at and n > 0
+            at += n
+        assert at <= length
+    for d, t, *_ in rows:
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        at, mine = 0, by[d, len(ids)]
+        while at < len(ids):  # a piece that goes on here and has the right ids; equal documents have pieces of their own
+            found = next(p for p in mine if p[0] == at and zlib.crc32(ids[at : at + p[1]].tobytes()) == p[2])
+            mine.remove(found)
+            at += found[1]
+    assert not any(by.values())
+    return sum(n for s in place.values() for _, n in s), sum(int(packing.padded(sum(n for _, n in s))) for s in place.values())
+
+
+def test_packing(docs, empty):
+    total, used = _packed(ROWS, packing.pack(docs).collect())
+    assert used - total < 1024
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_cuts_what_cannot_fill(spark, monkeypatch):
+    """All remainders alike, none of them a divisor, and cuts that are not broadcast."""
+    rows = [(i, "word " * 700, None, None, 0) for i in range(7)] + [(3, "other " * 700, None, None, 0), (None, "word " * 700, None, None, 0)]
+    for most in (100_000, 0):
+        monkeypatch.setattr(packing, "CUT_DOCS", most)
+        total, used = _packed([*rows, rows[0]], packing.pack(spark.createDataFrame([*rows, rows[0]], SCHEMA)).collect())
+        assert used - total < 1024
+
+
 @pytest.mark.parametrize("n", [1, 30, 3000])
 def test_plan_places_every_piece_once(n):
     rng = np.random.default_rng(n)
@@ -216,13 +232,15 @@ def test_plan_places_every_piece_once(n):
     p = packing.plan(histogram)
     spots = []
     for size, count in histogram.items():
-        seq, off = p.place(np.full(count, size), np.arange(count))
-        spots += [(int(s), int(o), size) for s, o in zip(seq, off, strict=True)]
+        seq, off, here = p.place(np.full(count, size), np.arange(count))
+        for s, o, h in zip(seq.tolist(), off.tolist(), here.tolist(), strict=True):
+            spots += [(s, o, h)] + ([(s + 1, 0, size - h)] if h < size else [])
     at = {}
     for s, o, size in sorted(spots):
         assert o == at.get(s, 0)
         at[s] = o + size
-    assert max(at.values()) <= 1024 and sum(int(packing.padded(v)) - v for v in at.values()) == p.padding
+    assert max(at.values()) <= 1024 and len(at) == p.sequences == max(at) + 1
+    assert sum(int(packing.padded(v)) - v for v in at.values()) == p.padding < 1024
 
 
 def test_ann(spark):
