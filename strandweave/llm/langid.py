@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.core.session import checkpoint, ship
+from strandweave.core.session import bounded, checkpoint, ship
 from strandweave.llm import textscan
 
 BUCKETS = 1 << 16
-MOST_LANGUAGES = 200
+MOST_LANGUAGES = 200  #: of the documents, all together; more are refused before any page is read
+HELD_LANGUAGES = 32  #: whose counts a task holds before it gives its sums so far
+BROADCAST = 4_000_000  #: most numbers of an evidence table that is broadcast
 #: Weight of a byte trigram's log likelihood: neighbours overlap, so they are not independent.
 TEMPER = 0.1
 DOMAIN_WEIGHT, HOST_WEIGHT, TABLE_WEIGHT = 10.0, 5.0, 5.0
@@ -50,31 +52,40 @@ class TextModel:
 
     @staticmethod
     def fit(docs: DataFrame) -> TextModel:
-        """Counts over all documents with a language: every task sums its own rows into one table a language before anything is shuffled."""
+        """Counts over all documents with a language: every task sums its own rows into one table a language before anything is shuffled.
+
+        Over MOST_LANGUAGES distinct languages raise a ValueError, however the
+        rows are partitioned.
+        """
         ship(docs.sparkSession)
+        known = docs.where("lang is not null and text is not null")
+        languages = sorted(r[0] for r in known.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+        if len(languages) > MOST_LANGUAGES:
+            raise ValueError(f"over {MOST_LANGUAGES} languages")
+        place = {x: i for i, x in enumerate(languages)}
+
+        def give(total):
+            for i, c in sorted(total.items()):
+                at = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["lang", "bucket", "n"])
 
         def run(batches):
-            total: dict[str, np.ndarray] = {}
+            total: dict[int, np.ndarray] = {}
             for part in textscan.runs(batches):
                 raw, off = textscan.text_bytes(part.column(1))
                 key, text = trigrams(raw, off)
-                lang = part.column(0).to_pylist()
-                names = sorted(set(lang))
-                code = np.array([names.index(x) for x in lang])
-                sums = np.bincount(code[text] * BUCKETS + key, minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
-                for i, n in enumerate(names):
-                    total[n] = total.get(n, 0) + sums[i]
-                if len(total) > MOST_LANGUAGES:
-                    raise ValueError(f"over {MOST_LANGUAGES} languages")
-            for n, c in total.items():
-                at = np.flatnonzero(c)
-                yield pa.RecordBatch.from_arrays([pa.array([n] * len(at), pa.string()), pa.array(at), pa.array(c[at])], names=["lang", "bucket", "n"])
-
-        rows = docs.where("lang is not null and text is not null").select("lang", "text").mapInArrow(run, "lang string, bucket long, n long")
+                code = np.array([place[x] for x in part.column(0).to_pylist()])[text]
+                for i in np.unique(code).tolist():
+                    total[i] = total.get(i, 0) + np.bincount(key[code == i], minlength=BUCKETS)
+                if len(total) > HELD_LANGUAGES:
+                    yield from give(total)
+                    total = {}
+            yield from give(total)
+
+        rows = known.select("lang", "text").mapInArrow(run, "lang int, bucket int, n long")
         table = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-        languages = sorted(table["lang"].unique())
         counts = np.zeros((len(languages), BUCKETS))
-        counts[[languages.index(x) for x in table["lang"]], table["bucket"]] = table["n"]
+        counts[table["lang"], table["bucket"]] = table["n"]
         return TextModel(languages, counts)
 
     def likelihoods(self, column: pa.Array) -> np.ndarray:
@@ -140,7 +151,8 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     sums = [F.sum(F.col("t")[i]) for i in range(n)]
 
     def table(key: str, name: str) -> DataFrame:
-        return base.groupBy(key).agg(F.array(*sums).alias(name))
+        """Sums by key, broadcast if they are few, so that the rows of a hot key stay where they are."""
+        return bounded(checkpoint(base.groupBy(key).agg(F.array(*sums).alias(name))), BROADCAST // n)
 
     all_ = [x or 0.0 for x in (base.agg(F.array(*sums)).first()[0] or [0.0] * n)]
     whole = sum(all_) or 1.0

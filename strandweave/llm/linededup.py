@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.core.session import checkpoint, extended, free_name, ship
+from strandweave.core.session import bounded, checkpoint, extended, free_name, ship
 from strandweave.llm import textscan
 
 MIN_CHARS, MIN_DOCS = 40, 5
+HELD = 200_000  #: most line hashes that are broadcast
 
 
 def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -84,7 +85,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     )
     ends = found.where("open")
     whole = ends.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("one").alias("docs"), F.max("doc_id").alias("last"))
-    late = ends.join(whole.where(F.col("docs") >= min_docs), ["h1", "h2"]).where("doc_id <> last")
+    whole = bounded(checkpoint(whole.where(F.col("docs") >= min_docs)), HELD)  # one or two lines a batch
+    late = ends.join(whole, ["h1", "h2"]).where("doc_id <> last")
     return found.where("not open").select("doc_id", "tid", "pos").union(late.select("doc_id", "tid", "pos"))
 
 

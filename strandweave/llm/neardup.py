@@ -9,7 +9,7 @@ two can share, parity sketches rule out more, and whole sets decide.
 
 Pairs are found in two rounds, so that a large group of near copies costs no
 square: first every document proposes its neighbour by fingerprint and the
-least document of each of its buckets, and what proves similar is joined; then
+middle document of each of its buckets, and what proves similar is joined; then
 all pairs of documents that are not joined yet are looked at.
 
 RADIUS is set so that a pair at the least similarity is beyond it with a chance
@@ -29,11 +29,12 @@ from strandweave.llm import simhash, textscan
 from strandweave.llm.graph import components
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 28
-SAMPLE, COMMON, LISTED = 32, 16, 100_000  #: texts sampled one in SAMPLE; shingles in COMMON of them or more come last in the order, LISTED at most
+SAMPLE, COMMON, LISTED = 8, 4, 500_000  #: texts sampled one in SAMPLE; shingles in COMMON of them or more come last in the order, LISTED at most
 TILE = 2048  #: expected documents of a common shingle's bucket that one comparison holds from either side
 SLAB = 1 << 17  #: bucket entries made at once
 HELD = 1_000_000  #: most rows of ids that are broadcast
 _SLACK = 1e-9  #: against rounding of similarity * size
+FOLD = 512  #: bits of the sketch that pairs of one bucket are held against
 _CUT = np.uint64(16)  #: bits of a shingle's hash that its bucket leaves out
 
 
@@ -69,15 +70,15 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     sample = texts.where(F.pmod("t", F.lit(SAMPLE)) == 0).select("text")
     found = sample.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
-    rows = found.orderBy(F.col("n").desc(), "key").limit(LISTED).collect()
-    key, n = np.array([r["key"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
+    rows = found.orderBy(F.col("n").desc(), "key").limit(LISTED).toPandas()
+    key, n = rows["key"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
     order = np.argsort(key)
     return key[order], n[order] * SAMPLE
 
 
-def _sketch(x: np.ndarray) -> bytes:
-    """The parities of a set's members in two cells a member or more; two sets differ in as many members or more as their sketches in bits."""
-    bits = max(64, 1 << int(2 * len(x)).bit_length())
+def _sketch(x: np.ndarray, bits: int = 0) -> bytes:
+    """The parities of a set's members in two cells a member or more, or in ``bits``; two sets differ in as many members or more as their sketches in bits."""
+    bits = bits or max(64, 1 << int(2 * len(x)).bit_length())
     return np.packbits((np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
@@ -88,7 +89,7 @@ def _differ(x: bytes, y: bytes) -> int:
 
 
 def nodes_of(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """(t, n, fp, prefix, sketch) of texts(t, text): a set's size, SimHash, bucket keys and parities; texts without words have no row."""
+    """(t, n, fp, prefix, sketch, fold) of texts(t, text): a set's size, SimHash, bucket keys and parities, in many bits and in FOLD; texts without words have no row."""
 
     def run(batches):
         for part in textscan.runs(batches):
@@ -97,10 +98,10 @@ def nodes_of(texts: DataFrame, common: np.ndarray) -> DataFrame:
             fp = simhash.majority(np.concatenate([*sets, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum(n)]))
             some = np.flatnonzero(n)
             prefix = [np.ascontiguousarray((_prefix(sets[i], common) >> _CUT).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() for i in some]
-            cols = [pa.array(n[some]), pa.array(fp.view(np.int64)[some]), pa.array(prefix, pa.binary()), pa.array([_sketch(sets[i]) for i in some], pa.binary())]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some)), *cols], names=["t", "n", "fp", "prefix", "sketch"])
+            cols = [pa.array(n[some]), pa.array(fp.view(np.int64)[some]), pa.array(prefix, pa.binary()), *(pa.array([_sketch(sets[i], b) for i in some], pa.binary()) for b in (0, FOLD))]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some)), *cols], names=["t", "n", "fp", "prefix", "sketch", "fold"])
 
-    return texts.select("t", "text").mapInArrow(run, "t long, n long, fp long, prefix binary, sketch binary")
+    return texts.select("t", "text").mapInArrow(run, "t long, n long, fp long, prefix binary, sketch binary, fold binary")
 
 
 def _keys(data: bytes) -> np.ndarray:
@@ -153,7 +154,11 @@ def _buckets(rows: DataFrame, order: list[str], run, schema: str) -> DataFrame:
 
 
 def proposals(met: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The entries that have company in their bucket, with ``near`` and ``hub``: the next node by fingerprint and the bucket's least, where similar ones are possible."""
+    """The entries that have company in their bucket, with ``near`` and ``hub``: the next node by fingerprint and the bucket's middle, where similar ones are possible.
+
+    The middle is the node nearest to the bits that most of the bucket have: of
+    copies of one text with edits of their own that is the text itself.
+    """
 
     def run(batches):
         for (key, tile, t, at, fp), bucket in simhash.bucket_runs(batches, 5, 2):
@@ -162,8 +167,11 @@ def proposals(met: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             key, tile, t, at, fp, bucket = (c[once] for c in (key, tile, t, at, fp, bucket))
             head = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1])
             size = np.diff(np.append(head, len(t)))
-            first, wide = np.repeat(head, size), np.repeat(size, size)
+            of, wide = np.repeat(np.arange(len(head)), size), np.repeat(size, size)
             bits = np.ascontiguousarray(fp).view(np.uint64)
+            votes = np.add.reduceat(np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), head, axis=0, dtype=np.int32)
+            most = np.packbits(2 * votes > size[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+            first = np.lexsort((np.bitwise_count(bits ^ most[of]), of))[head][of]
             close = lambda i, j: _may(at, i, j, similarity) & (np.bitwise_count(bits[i] ^ bits[j]) <= RADIUS)  # noqa: E731, B023
             here = np.arange(len(t))
             hub = np.where((here != first) & close(here, first), first, -1)
@@ -202,42 +210,61 @@ def _spread(common: tuple[np.ndarray, np.ndarray]):
     return run
 
 
-def crossing(found: DataFrame, comps: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b), a > b, of entries in one bucket that are in different components and can be similar.
+def _most_apart(total: np.ndarray, similarity: float) -> np.ndarray:
+    """In how many members two similar sets may differ, by the sum of their sizes."""
+    return total - 2 * np.ceil(similarity / (1 + similarity) * total - _SLACK)
+
+
+def crossing(found: DataFrame, comps: DataFrame, nodes: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b), a > b, of entries in one bucket that are in different components and can be similar by size, place, fingerprint and sketch.
 
     Split buckets whose nodes are all of one component are left out before
     their entries are dealt to pairs of tiles; there are LISTED keys at most.
     """
     label = F.coalesce("component", "t").alias("comp")
     rows = found.join(comps.withColumnRenamed("id", "t"), "t", "left").select(*_ENTRY, label)
+    several = checkpoint(rows.groupBy("key", "tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi or tile >= 0").select("key", "tile"))
+    rows = rows.join(several, ["key", "tile"], "left_semi").join(nodes.select("t", "fold").distinct(), "t").select(*_ENTRY, "comp", "fold")
     mixed = rows.where("tile >= 0").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rows = rows.where("tile < 0").unionByName(rows.where("tile >= 0").join(F.broadcast(mixed), "key", "left_semi").select(*_ENTRY, "comp"))
+    rows = rows.where("tile < 0").unionByName(rows.where("tile >= 0").join(F.broadcast(mixed), "key", "left_semi").select(*_ENTRY, "comp", "fold"))
 
     def run(batches):
-        for (_, _, comp, t, at, fp), bucket in simhash.bucket_runs(batches, 6, 2):
+        for (_, _, comp, t, at, fp, fold), bucket in simhash.bucket_runs(batches, 7, 2):
             head = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1])
             size = np.diff(np.append(head, len(t)))
             mixed = np.flatnonzero(np.repeat(comp[head] != comp[np.append(head[1:], len(t)) - 1], size))
             if not len(mixed):
                 continue
-            comp, t, at, fp, bucket = (c[mixed] for c in (comp, t, at, fp, bucket))
+            comp, t, at, fp, fold, bucket = (c[mixed] for c in (comp, t, at, fp, fold, bucket))
             # the largest component of each bucket comes last and doesn't ask
             new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (comp[1:] != comp[:-1])])
             held = np.diff(np.append(np.flatnonzero(new), len(t)))[np.cumsum(new) - 1]
             order = np.lexsort((comp, held, bucket))
-            comp, t, at, fp, bucket = (c[order] for c in (comp, t, at, fp, bucket))
+            comp, t, at, fp, fold, bucket = (c[order] for c in (comp, t, at, fp, fold, bucket))
+            folds = np.frombuffer(b"".join(fold), np.uint64).reshape(len(t), -1)
             last = np.append(bucket[1:] != bucket[:-1], True)
             group = np.cumsum(np.concatenate([[0], last[:-1]]))
             asks = comp != comp[np.flatnonzero(last)][group]
             pairs = []
             for i, j in simhash.close_pairs(np.ascontiguousarray(fp).view(np.uint64), group, RADIUS, asks):
                 ok = (comp[i] != comp[j]) & _may(at, i, j, similarity)
-                pairs.append(np.stack([np.maximum(t[i[ok]], t[j[ok]]), np.minimum(t[i[ok]], t[j[ok]])], axis=1))
+                i, j = i[ok], j[ok]
+                ok = np.ones(len(i), dtype=bool)
+                for a in range(0, len(i), SLAB):
+                    x, y = i[a : a + SLAB], j[a : a + SLAB]
+                    ok[a : a + SLAB] = np.bitwise_count(folds[x] ^ folds[y]).sum(axis=1) <= _most_apart((at[x] >> 32) + (at[y] >> 32), similarity)
+                i, j = i[ok], j[ok]
+                pairs.append(np.stack([np.maximum(t[i], t[j]), np.minimum(t[i], t[j])], axis=1))
+                if sum(map(len, pairs)) > SLAB:
+                    pairs = [np.unique(np.concatenate(pairs), axis=0)]
+                    if len(pairs[0]) > SLAB // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(pairs[0][:, 0]), pa.array(pairs[0][:, 1])], names=["a", "b"])
+                        pairs = []
             pairs = np.unique(np.concatenate([*pairs, np.zeros((0, 2), np.int64)]), axis=0)
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    spread = rows.select("key", "tile", "comp", "t", "at", "fp").mapInArrow(_spread(common), "key long, tile long, comp long, t long, at long, fp long")
+    spread = rows.select("key", "tile", "comp", "t", "at", "fp", "fold").mapInArrow(_spread(common), "key long, tile long, comp long, t long, at long, fp long, fold binary")
     return _buckets(spread, ["comp", "t"], run, "a long, b long").distinct()
 
 
@@ -250,7 +277,7 @@ def possible(pairs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY)
                 continue
             total = batch.column(2).to_numpy() + batch.column(4).to_numpy()
             off = np.array([_differ(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)])
-            keep = off <= total - 2 * np.ceil(similarity / (1 + similarity) * total - _SLACK)
+            keep = off <= _most_apart(total, similarity)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     side = lambda c: nodes.select(F.col("t").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
@@ -321,7 +348,7 @@ def labels(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     found = checkpoint(proposals(entries(nodes, common), similarity))
     pairs = found.select("t", F.explode(F.array("near", "hub")).alias("m")).where("m is not null")
     links = checkpoint(verified(pairs.select(F.greatest("t", "m").alias("a"), F.least("t", "m").alias("b")).distinct(), nodes, texts, similarity))
-    more = verified(crossing(found, components(links), common, similarity), nodes, texts, similarity)
+    more = verified(crossing(found, components(links), nodes, common, similarity), nodes, texts, similarity)
     joined = components(links.unionByName(more)).withColumnRenamed("id", "t")
     known = held.join(joined, "t", "left").select("t", "first", F.coalesce("component", "t").alias("component"))
     least = known.groupBy("component").agg(F.min(F.struct("first", "t")).alias("least"))

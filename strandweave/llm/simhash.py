@@ -17,7 +17,7 @@ from strandweave.llm.graph import components
 SEED = 42
 BITS = 64
 TILE = 4096  #: fingerprints of one bucket that one comparison task holds
-SLAB = 1 << 17  #: (query, word of 64 candidates) blocks compared at once
+SLAB = 1 << 15  #: (query, word of 64 candidates) blocks compared at once
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -226,13 +226,18 @@ def bucketed(nodes: DataFrame, tables: list[list[tuple[int, int]]]) -> DataFrame
     return keys.join(hot, ["t", "key"], "left").select("t", "key", "fp", "rep", F.explode(pairs).alias("tile"))
 
 
+def _numpy(column) -> np.ndarray:
+    """A column as an array; binary values as objects."""
+    return np.array(column.to_pylist(), dtype=object) if pa.types.is_binary(column.type) else column.to_numpy()
+
+
 def bucket_runs(batches, columns: int, by: int = 3):
     """Whole buckets, equal in the first ``by`` columns, from sorted batches, many small ones together; yields numpy columns and bucket numbers."""
     held: list[pa.RecordBatch] = []
     rows = 0
 
     def give(table, upto):
-        cols = [table.column(c).to_numpy()[:upto] for c in range(columns)]
+        cols = [_numpy(table.column(c).slice(0, upto)) for c in range(columns)]
         new = np.zeros(upto, dtype=bool)
         for c in cols[:by]:
             new[1:] |= c[1:] != c[:-1]
