@@ -35,7 +35,7 @@ def trigrams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     b = np.where(gap, 0x20, b).astype(np.int64)
     text = np.repeat(np.arange(len(off) - 1), np.diff(off))
     keep = np.ones(len(b), dtype=bool)
-    keep[1:] = ~(gap[1:] & gap[:-1])
+    keep[1:] = ~(gap[1:] & gap[:-1] & (text[1:] == text[:-1]))
     b, text = b[keep], text[keep]
     key = (b[:-2] * 2654435761 + b[1:-1] * 40503 * 257 + b[2:] * 69069) % 1_000_003 % BUCKETS
     same = text[:-2] == text[2:]
