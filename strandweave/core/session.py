@@ -32,9 +32,15 @@ def local_session(cpus: int = 8, app: str = "strandweave") -> SparkSession:
     )
 
 
+BATCH_ROWS = 2048  #: rows of an Arrow batch, where the session has Spark's own default: rows here are whole texts and sets
+
+
 def ship(spark: SparkSession) -> None:
-    """Give this package to every executor's Python workers, once for each application."""
+    """Give this package to every executor's Python workers, once for each application, and keep Arrow batches small."""
     sc = spark.sparkContext
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
     if _shipped.get(sc.applicationId):
         return
     path = Path(tempfile.mkdtemp(prefix="strandweave-")) / f"{PACKAGE.name}.zip"
