@@ -25,15 +25,15 @@ def running(values: DataFrame, by: list[str], key: str, sums: dict[str, str], de
     parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = F.col(key).desc() if descending else F.col(key).asc()
     cut = checkpoint(values.repartitionByRange(parts, *by, order).withColumn("__slice", F.spark_partition_id()))
-    slices = cut.groupBy(*by, "__slice").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    slices = cut.groupBy(*by, "__slice").agg(*[F.sum(c).alias(f"__sum_{n}") for n, c in sums.items()])
     earlier = W.partitionBy(*by).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
-    slices = slices.select(*[F.col(c).alias(f"__b{i}") for i, c in enumerate(by)], F.col("__slice").alias("__s"), *[F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}") for n in sums])
-    on = [F.col("__slice") == F.col("__s"), *[F.col(c).eqNullSafe(F.col(f"__b{i}")) for i, c in enumerate(by)]]
+    slices = slices.select(*[F.col(c).alias(f"__by_{i}") for i, c in enumerate(by)], F.col("__slice").alias("__at_slice"), *[F.coalesce(F.sum(f"__sum_{n}").over(earlier), F.lit(0)).alias(f"__sum_{n}") for n in sums])
+    on = [F.col("__slice") == F.col("__at_slice"), *[F.col(c).eqNullSafe(F.col(f"__by_{i}")) for i, c in enumerate(by)]]
     here = W.partitionBy(*by, "__slice").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     rows = cut.select("*", *[F.sum(c).over(here).alias(f"__own_{n}") for n, c in sums.items()])
     for i, condition in enumerate(on[1:], 1):
         on[0] = on[0] & condition
-    return rows.join(bounded(checkpoint(slices), 100_000), on[0]).select(*values.columns, *[(F.col(f"__own_{n}") + F.col(f"__{n}")).alias(n) for n in sums])
+    return rows.join(bounded(checkpoint(slices), 100_000), on[0]).select(*values.columns, *[(F.col(f"__own_{n}") + F.col(f"__sum_{n}")).alias(n) for n in sums])
 
 
 def with_rank(df: DataFrame, by: list[str], column: str, name: str) -> DataFrame:

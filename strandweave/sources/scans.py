@@ -137,6 +137,6 @@ def site_reports(reports: DataFrame) -> DataFrame:
                 except ValueError as e:
                     rows.append({"seq_id": r.seq_id, "fault": str(e)})
             out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"position": "Int32", "score": "float64", "confidence": "float64"})
+            yield out.astype({"seq_id": "int64", "position": "Int32", "kind": object, "site_class": object, "score": "float64", "confidence": "float64", "fault": object})
 
     return reports.select("seq_id", "report", "length").mapInPandas(run, "seq_id long, position int, kind string, site_class string, score double, confidence double, fault string")
