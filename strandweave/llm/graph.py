@@ -14,17 +14,20 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _to_least(pairs: DataFrame, include_self: bool) -> DataFrame:
+HELD = 500_000  #: most edges whose least neighbours are broadcast
+
+
+def _to_least(pairs: DataFrame, include_self: bool, few: bool) -> DataFrame:
     """For each (u, v): v with the least of u's neighbours (and of u itself).
 
-    The least neighbour is an aggregate with map-side combine joined back, so a
-    vertex with very many neighbours is split by skew-join handling rather than
-    collected.
+    The least neighbour is an aggregate with map-side combine joined back. If
+    there are few edges it is broadcast, so the pairs of a vertex with very
+    many neighbours stay where they are; else skew-join handling splits them.
     """
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
     if include_self:
         least = least.select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+    return pairs.join(F.broadcast(least) if few else least, "u")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -39,9 +42,10 @@ def components(edges: DataFrame) -> DataFrame:
     )
     seen = _signature(edges)
     while seen[0]:
+        few = seen[0] <= HELD
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = _to_least(both, True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        near = _to_least(large, False)
+        large = _to_least(both, True, few).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        near = _to_least(large, False, few)
         small = near.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(near.select(F.col("u").alias("a"), F.col("m").alias("b")))
         edges = checkpoint(small.distinct())
         now = _signature(edges)
