@@ -496,3 +496,81 @@ def test_passages_of_hot_groups_and_over_parts(spark, monkeypatch, group, rows,
     table.append((table[3][0], texts[6]))  # a doc_id with two texts
     got = {tuple(r) for r in suffixes.repeated_passages(spark.createDataFrame([*table, table[7], (None, texts[4])], "doc_id long, text string").repartition(4)).collect()}
     assert got == _passages(table) and len(got) >= 15
+
+
+def _nearest_plain(x, ids, k):
+    out = {}
+    for q, v in zip(ids, x, strict=True):
+        s = (x * v).sum(axis=1)
+        order = sorted((-s[j], ids[j]) for j in range(len(ids)) if ids[j] != q)
+        out[q] = [i for _, i in order[:k]]
+    return out
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 11, 21, 30])
+def test_ann_small_tables_are_answered_in_full(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r], 0.5, 1) for i, r in enumerate(x)], "vec_id long, embedding array<float>, score double, rank int")
+    rows = ann.search(df, df).collect()
+    got = defaultdict(dict)
+    for r in rows:
+        got[r["query_id"]][r["rank"]] = r["vec_id"]
+    want = _nearest_plain(x.astype(float), list(range(n)), 20)
+    assert {q: [got[q][r] for r in sorted(got[q])] for q in got} == {q: w for q, w in want.items() if w}
+
+
+@pytest.mark.parametrize("hashes", [1, 2])
+def test_ann_bands_copies_and_pairs_of_axes(spark, hashes):
+    """Norms over several powers of two, a vector that a third of the rows hold, and cells that are pairs of axes."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 16)) * rng.choice([0.1, 1.0, 9.0], size=(300, 1))
+    x[::3] = x[3]
+    ids = [7 * i for i in range(300)]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = defaultdict(dict)
+    for r in ann.search(df.unionByName(df.limit(5)), df.where("vec_id % 5 = 0"), 10, hashes=hashes).collect():
+        got[r["query_id"]][r["rank"]] = (r["vec_id"], r["score"])
+    want = _nearest_plain(x, ids, 10)
+    hit = 0
+    for q in (i for i in ids if i % 5 == 0):
+        mine = [got[q][r] for r in sorted(got[q])]
+        assert len(mine) == 10 and all(abs(s - float((x[ids.index(v)] * x[ids.index(q)]).sum())) < 1e-9 for v, s in mine)
+        hit += len({v for v, _ in mine} & set(want[q]))
+    assert hit >= 0.9 * 10 * 60
+
+
+def test_probing_plans_reach_their_target():
+    rng = np.random.default_rng(2)
+    cosines, plans = ann.probing(32, 1, 2, 0.9)
+    q = rng.normal(size=(800, 32))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    u = rng.normal(size=q.shape)
+    u -= (u * q).sum(axis=1, keepdims=True) * q
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    for c, (tables, count) in zip(cosines, plans, strict=True):
+        if count:
+            found = np.zeros(len(q), bool)
+            for t in range(tables):
+                near, own = ann.cells(q, t, 1, count), ann.cells(c * q + np.sqrt(1 - c * c) * u, t, 1, 1)
+                found |= (near == own).any(axis=1)
+            assert found.mean() > 0.86, c
+    assert plans[-1][1] * plans[-1][0] < plans[2][1] * plans[2][0] or plans[2][1] == 0  # near neighbours need fewer cells
+
+
+def test_substrings_of_texts_over_a_chunk(spark):
+    rng = random.Random(61)
+    vocab = _words(rng, 5000)
+    long = [rng.choice(vocab) for _ in range(750_000)]
+    rows = [(9, " ".join(long)), (3, " ".join(long[100:140])), (12, " ".join(_words(rng, 9) + long[699_990:700_020])), (20, " ".join(long[100:112]))]
+    first = {}
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - 12):
+            k = tuple(w[i : i + 13])
+            first[k] = min(first.get(k, d), d)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).drop("kept").collect()}
+    want = {}
+    for d, t in rows:
+        w = t.split()
+        want[d] = (len(w), len({j for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < d for j in range(i, i + 13)}))
+    assert got == want and want[9][1] == 40 and want[12][1] == 30 and want[20][1] == 0
