@@ -558,13 +558,40 @@ def optimize_trellis(spark, d):
     return solve.solve_batch(derive.protein_bench(spark, d), lambda p: [solve.trellis(p, w, [rule])]).where("dna is not null").select("seq_id", "dna", "score")
 
 
-@query("optimize_beam")
+_BEAM = f"""WITH RECURSIVE {TAB}, bm AS MATERIALIZED (SELECT codon, aa, CAST(round((CASE WHEN aa IN ('M', 'W', '*') THEN 0 ELSE ln(w) END - 0.5 * power({gc('codon')} / 3.0::DOUBLE - 0.5, 2)) * 1000000) AS BIGINT) AS m FROM wtab), {PROT}, dp(seq_id, pos, score, dna, cut) AS (
+  SELECT seq_id, 0, 0::BIGINT, '', false FROM prot
+  UNION ALL
+  SELECT seq_id, p, score, dna, cut FROM (
+    SELECT seq_id, p, score, dna, c OR count(*) OVER (PARTITION BY seq_id) > 16 AS cut, row_number() OVER (PARTITION BY seq_id ORDER BY score DESC, dna) AS r FROM (
+      SELECT seq_id, pos + 1 AS p, max(s) AS score, arg_max(d2, (s, translate(d2, 'ACGT', 'TGCA'))) AS dna, bool_or(cut) AS c FROM (
+        SELECT dp.seq_id, pos, dna || codon AS d2, score + m AS s, cut FROM dp JOIN prot USING (seq_id) JOIN bm ON bm.aa = substr(protein || '*', pos + 1, 1)
+        WHERE pos <= length(protein) AND NOT regexp_matches(right(dna, 5) || codon, 'AAAAA|CCCCC|GGGGG|TTTTT|GAATTC'))
+      GROUP BY seq_id, pos + 1, right(d2, 5)))
+  WHERE r <= 16)
+SELECT seq_id, arg_max(dna, (score, translate(dna, 'ACGT', 'TGCA'))) AS dna, max(score) AS score, CASE WHEN bool_or(cut) THEN 'beam_truncated' ELSE 'proven_optimal' END AS status FROM dp JOIN prot USING (seq_id) WHERE pos = length(protein) + 1 GROUP BY seq_id"""
+
+
+@query("optimize_beam", _BEAM)
 def optimize_beam(spark, d):
     w, rs = solve.Weights(_log_w(spark, d), 1.0, 0.5), [rules.Homopolymer(4), rules.Motifs(("GAATTC",))]
-    return solve.solve_batch(derive.protein_bench(spark, d), lambda p: [solve.relaxing(p, w, rs, 16)]).drop("point")
+    return solve.solve_batch(derive.protein_bench(spark, d), lambda p: [solve.relaxing(p, w, rs, 16)]).select("seq_id", "dna", "score", "status")
 
 
-@query("frontier")
+_FRONTIER = f"""WITH RECURSIVE {TAB}, wm AS MATERIALIZED (SELECT i, codon, aa, CAST(round((i / 4.0::DOUBLE * CASE WHEN aa IN ('M', 'W', '*') THEN 0 ELSE ln(w) END - (1 - i / 4.0::DOUBLE) * power({gc('codon')} / 3.0::DOUBLE - 0.5, 2)) * 1000000) AS BIGINT) AS m FROM wtab, range(0, 5) t(i)), {PROT}, dp(seq_id, i, pos, score, dna) AS (
+  SELECT seq_id, i, 0, 0::BIGINT, '' FROM prot, range(0, 5) t(i)
+  UNION ALL
+  SELECT seq_id, i, pos + 1, max(s), arg_max(d2, (s, translate(d2, 'ACGT', 'TGCA'))) FROM (
+    SELECT dp.seq_id, dp.i, pos, dna || codon AS d2, score + m AS s FROM dp JOIN prot USING (seq_id) JOIN wm ON wm.i = dp.i AND wm.aa = substr(protein || '*', pos + 1, 1)
+    WHERE pos <= length(protein) AND NOT regexp_matches(right(dna, 4) || codon, 'AAAAA|CCCCC|GGGGG|TTTTT'))
+  GROUP BY seq_id, i, pos + 1, right(d2, 4)),
+best AS (SELECT seq_id, i, arg_max(dna, (score, translate(dna, 'ACGT', 'TGCA'))) AS dna FROM dp JOIN prot USING (seq_id) WHERE pos = length(protein) + 1 GROUP BY seq_id, i),
+pt AS (SELECT seq_id, dna, min(i) AS point FROM best GROUP BY seq_id, dna),
+x AS (SELECT seq_id, dna, any_value(point) AS point, round(sum(CASE WHEN wtab.aa IN ('M', 'W', '*') THEN 0 ELSE ln(w) END), 9) AS cai_logw, round(sum(-power({gc('codon')} / 3.0::DOUBLE - 0.5, 2)), 9) AS gc_proximity FROM (SELECT *, unnest(range(0, length(dna) // 3)) AS k FROM pt) JOIN wtab ON codon = substr(dna, 3 * k + 1, 3) GROUP BY seq_id, dna),
+f AS (SELECT *, NOT EXISTS (SELECT 1 FROM x q WHERE q.seq_id = x.seq_id AND q.cai_logw >= x.cai_logw AND q.gc_proximity >= x.gc_proximity AND (q.cai_logw > x.cai_logw OR q.gc_proximity > x.gc_proximity)) AS is_front FROM x)
+SELECT seq_id, dna, point, round(cai_logw, 6) AS cai_logw, round(gc_proximity, 6) AS gc_proximity, is_front, row_number() OVER (PARTITION BY seq_id ORDER BY is_front DESC, cai_logw DESC, dna) = 1 AS is_chosen FROM f"""
+
+
+@query("frontier", _FRONTIER)
 def frontier(spark, d):
     return solve.frontier(derive.protein_bench(spark, d), _log_w(spark, d), [rules.Homopolymer(4)])
 
