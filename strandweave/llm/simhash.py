@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandweave.core.session import checkpoint, ship
 from strandweave.llm import textscan
-from strandweave.llm.graph import components
+from strandweave.llm.graph import components, local_roots
 
 SEED = 42
 BITS = 64
@@ -172,22 +172,6 @@ def close_pairs(fp: np.ndarray, group: np.ndarray, radius: int, asks: np.ndarray
         at = to
 
 
-def local_roots(n: int, pairs) -> np.ndarray:
-    """The least index connected to each of 0..n-1 by the pairs."""
-    root = np.arange(n)
-    for i, j in pairs:
-        while True:
-            a, b = root[i], root[j]
-            off = a != b
-            if not off.any():
-                break
-            i, j, a, b = i[off], j[off], a[off], b[off]
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-            while (root[root] != root).any():
-                root = root[root]
-    return root
-
-
 # --- groups -----------------------------------------------------------------
 
 

@@ -574,3 +574,23 @@ def test_substrings_of_texts_over_a_chunk(spark):
         w = t.split()
         want[d] = (len(w), len({j for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < d for j in range(i, i + 13)}))
     assert got == want and want[9][1] == 40 and want[12][1] == 30 and want[20][1] == 0
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch, most):
+    from strandweave.llm import graph
+
+    monkeypatch.setattr(graph, "ONE_TASK", most)
+    rng = random.Random(71)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5), (None, 3), (-7, 1000)]
+    least = {}
+    for a, b in edges:
+        if a is not None and a != b:
+            least.setdefault(a, a)
+            least.setdefault(b, b)
+    for _ in range(80):
+        for a, b in edges:
+            if a is not None and a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == least and graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
