@@ -87,7 +87,7 @@ def _shared(rows: DataFrame, k: int, span: int, window: int) -> DataFrame:
     several = kept.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     several = checkpoint(several.select("g", F.ceil(F.col("n") / GROUP).cast("long").alias("parts")))
     part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id", "tid"), F.col("parts"))).otherwise(F.lit(-1).cast("long"))
-    return kept.join(bounded(several, HELD), "g").select("doc_id", "tid", F.shiftleft(part, 32).bitwiseOR(F.col("place").cast("long")).alias("place"))
+    return kept.join(several, "g").select("doc_id", "tid", F.shiftleft(part, 32).bitwiseOR(F.col("place").cast("long")).alias("place"))
 
 
 _SUFFIX = "g long, part int, doc_id long, tid long, place int, least int, most int, suffix binary, before binary"
