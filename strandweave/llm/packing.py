@@ -23,6 +23,7 @@ from strandweave.llm.sharding import numbered
 from strandweave.llm.tokens import SegmentEncoder, default_path
 
 LENGTH = 1024
+RUN_BYTES = 2 << 20  #: of texts tokenised at once: each run looks up its segments anew
 CUT_DOCS = 100_000  #: most documents whose cuts are broadcast
 GAP = 5e-3  #: the linear program stops within this share of its lower bound
 COLUMNS = 24  #: columns taken from one pricing
@@ -249,7 +250,7 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Da
 
     def run(batches):
         encoder = SegmentEncoder(path)
-        for part in textscan.runs(batches):
+        for part in textscan.runs(batches, limit=RUN_BYTES):
             ids, first = encoder.encode(part.column(1))
             ids = ids.astype("<u4", copy=False)
             ends = np.zeros(1, "<u4").tobytes()
