@@ -23,7 +23,7 @@ from strandweave.llm.sharding import numbered
 from strandweave.llm.tokens import SegmentEncoder, default_path
 
 LENGTH = 1024
-RUN_BYTES = 2 << 20  #: of texts tokenised at once: each run looks up its segments anew
+RUN_BYTES = (2 << 20) - (1 << 12)  #: of texts tokenised at once: each run looks up its segments anew
 CUT_DOCS = 100_000  #: most documents whose cuts are broadcast
 GAP = 5e-3  #: the linear program stops within this share of its lower bound
 COLUMNS = 24  #: columns taken from one pricing

@@ -245,6 +245,7 @@ def bucket_runs(batches, columns: int, by: int = 3):
     if rows:
         table = pa.Table.from_batches(held).combine_chunks()
         yield give(table, rows)
+    textscan.release()
 
 
 def links(nodes: DataFrame, radius: int, distinct: int) -> DataFrame:

@@ -8,6 +8,7 @@ count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +41,7 @@ def powers(base: int, n: int) -> np.ndarray:
             out[done : 2 * done] = out[:done] * np.uint64(step)
             done, step = 2 * done, step * step & _M
         have = out
-        if size <= 1 << 22:
+        if size <= 1 << 20:  # a worker keeps no more than a run needs
             _powers[base] = have
     return have[:n]
 
@@ -70,6 +71,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def release() -> None:
+    """Give freed memory back: a worker that waits for its next task shares its executor's memory with others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # no glibc
+
+
 def runs(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in runs of about ``limit`` text bytes; a longer text is a run of its own."""
     for batch in batches:
@@ -81,6 +91,7 @@ def runs(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = R
             to = max(at + 1, int(np.searchsorted(off, off[at] + limit, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 @dataclass
