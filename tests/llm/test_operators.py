@@ -64,7 +64,8 @@ def test_line_dedup(docs, empty):
     got = [(str(r["doc_id"]), *tuple(r)[1:]) for r in linededup.digest(docs).collect()]
     assert sorted(got) == sorted(want)
     out = linededup.without_repeated_lines(docs.withColumnRenamed("source", "n_lines"))
-    assert out.columns == ["doc_id", "text", "lang", "n_chars", "n_lines", "n_dropped"] and out.count() == len(ROWS)
+    assert out.columns == ["doc_id", "text", "lang", "n_lines", "n_chars", "n_lines_", "n_dropped"] and out.count() == len(ROWS)
+    assert {r["n_lines"] for r in out.collect()} == {r[3] for r in ROWS}  # the input's own column
     assert linededup.digest(empty).count() == 0
 
 
@@ -294,7 +295,8 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.classify(docs, lab).count() == len(ROWS)
     assert toxicity.classify(empty, lab.limit(0)).count() == 0
     scored = toxicity.score(docs.withColumnRenamed("lang", "score"), model)
-    assert scored.count() == len(ROWS) and scored.schema["score"].dataType.simpleString() == "double"
+    assert scored.count() == len(ROWS) and scored.schema["score_"].dataType.simpleString() == "double"
+    assert {r["score"] for r in scored.collect()} == {r[2] for r in ROWS}  # the input's own column
 
 
 def test_decontamination(spark, docs, empty):
