@@ -95,11 +95,26 @@ class PairingFold:
 
         return fold_proxy(dna, self.window)
 
+    def energies(self, dna):
+        from strandweave.plans.solve import fold_proxies
+
+        return fold_proxies(dna, self.window)
+
 
 def folded(seqs: DataFrame, model: FoldingModel | None = None) -> DataFrame:
-    """(seq_id, energy)."""
+    """(seq_id, energy); a model with ``energies`` is given all sequences of a batch at once."""
     model = model or PairingFold()
-    return kernel(seqs, lambda batch: (None, [pa.array([None if s is None else model.energy(s) for s in batch.column(1).to_pylist()], pa.float64())]), "energy double", whole=True)
+
+    def run(batch):
+        column = batch.column(1)
+        some = column.drop_null().to_pylist()
+        energy = model.energies(some) if hasattr(model, "energies") else [model.energy(s) for s in some]
+        out = np.zeros(len(column))
+        none = column.is_null().to_numpy(zero_copy_only=False)
+        out[~none] = energy
+        return None, [pa.array(out, pa.float64(), mask=none)]
+
+    return kernel(seqs, run, "energy double", whole=True)
 
 
 def junction_windows(seqs: DataFrame, before: int = 45, after: int = 48) -> DataFrame:

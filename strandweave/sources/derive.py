@@ -28,9 +28,18 @@ def cds_doc_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dna_doc_spread(spark, sf_dir).withColumn("dna", coding(F.col("dna"))).where(F.length("dna") > 0)
 
 
+def _dna_event(events: DataFrame) -> DataFrame:
+    return events.select(F.col("event_id").alias("seq_id"), F.translate(F.md5(F.col("event_id").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT").alias("dna"), "event_type")
+
+
 def dna_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """32-base sequences from the events."""
-    return read(spark, sf_dir, "events").select(F.col("event_id").alias("seq_id"), F.translate(F.md5(F.col("event_id").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT").alias("dna"), "event_type")
+    return _dna_event(read(spark, sf_dir, "events"))
+
+
+def dna_event_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, over all cores: for operators that work long on each sequence; only numbers and types are dealt."""
+    return _dna_event(spread(read(spark, sf_dir, "events").select("event_id", "event_type")))
 
 
 def protein_bench(spark: SparkSession, sf_dir: str) -> DataFrame:

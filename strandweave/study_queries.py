@@ -227,7 +227,7 @@ def packaging_report(spark, d):
 
 @query("junction_fold")
 def junction_fold(spark, d):
-    return models.folded(models.junction_windows(derive.dna_event(spark, d).withColumn("upstream", F.lit("GGGCCCATCG"))))
+    return models.folded(models.junction_windows(derive.dna_event_spread(spark, d).withColumn("upstream", F.lit("GGGCCCATCG"))))
 
 
 # --- tables and catalogs ----------------------------------------------------
