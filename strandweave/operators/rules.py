@@ -409,27 +409,76 @@ class MaxRepeat(Rule):
         return len(self.spans(prefix + codon)) == len(self.spans(prefix))
 
 
-def longest_repeat(seqs: DataFrame) -> DataFrame:
-    """(seq_id, longest): the longest word that occurs twice, also if once as its reverse complement, which may be itself.
+def _longest_repeat(dna: str) -> int:
+    """For one sequence with any letters: words twice as wide are pairs of ranks of words, so no word is spelled out.
 
-    Words of half the length of a repeated one repeat too, so lengths are
-    halved in on.
+    Words of half the length of a repeated one repeat too: widths are doubled
+    while one repeats, and halved in on from there.
     """
+    n = len(dna)
+    letters = np.frombuffer((dna + reverse_complement(dna)).encode("utf-32-le"), np.uint32)
+    rank = np.unique(letters, return_inverse=True)[1].reshape(2, n)  # of the words of one strand and the other
+
+    def words(k):
+        return rank[:, : n - k + 1] * (2 * n) + rank[:, k - width : n - width + 1]
+
+    def again(own, other):
+        values = np.unique(own)
+        return len(values) < len(own) or bool(np.isin(other, values).any())
+
+    width = 1
+    if not n or not again(*rank):
+        return 0
+    while 2 * width <= n and again(*(twice := words(2 * width))):
+        rank = np.unique(twice, return_inverse=True)[1].reshape(twice.shape)
+        width *= 2
+    lo, hi = width, min(2 * width - 1, n)
+    while lo < hi:
+        k = (lo + hi + 1) // 2
+        lo, hi = (k, hi) if again(*words(k)) else (lo, k - 1)
+    return lo
+
+
+def _bits(letters: np.ndarray) -> np.ndarray:
+    """(base, sequence): a number whose i-th bit says that the i-th letter is that base."""
+    return np.stack([np.packbits(letters == b, axis=1, bitorder="little").view(f"<u{letters.shape[1] // 8}")[:, 0] for b in range(4)])
+
+
+def _longest_repeats(r: Run) -> np.ndarray:
+    """For sequences of at most 64 bases, all at once: at each shift of a strand against itself or the other, the bases that agree are bits, and a repeat is a run of bits."""
+    most = int(r.size.max(initial=0))
+    place = np.arange(32 if most <= 32 else 64)
+    inside = place < r.size[:, None]
+    letters = np.full(inside.shape, 9, dtype=np.int8)
+    letters[inside] = r.codes
+    turned = np.take_along_axis(letters, np.where(inside, r.size[:, None] - 1 - place, place), axis=1)
+    own, other = _bits(letters), _bits(3 - turned)
+    same = [np.bitwise_or.reduce(own & (own >> d)) for d in range(1, most)]
+    same += [np.bitwise_or.reduce(own & (other >> d)) for d in range(most)] + [np.bitwise_or.reduce(other & (own >> d)) for d in range(1, most)]
+    out = np.zeros(len(r.size), dtype=np.int64)
+    left = np.array(same, dtype=own.dtype).reshape(len(same), len(out))
+    at = np.arange(len(out))
+    while len(at):
+        some = np.flatnonzero(np.bitwise_or.reduce(left, axis=0))
+        if len(some) < len(at):
+            at, left = at[some], left[:, some]
+        out[at] += 1
+        left = left & (left >> 1)
+    return out
+
+
+def longest_repeat(seqs: DataFrame) -> DataFrame:
+    """(seq_id, longest): the longest word that occurs twice, also if once as its reverse complement, which may be itself."""
 
     def run(batch):
-        out = []
-        for dna in batch.column(1).to_pylist():
-            lo, hi, dna = 0, len(dna or ""), dna or ""
-            while lo < hi:
-                k = (lo + hi + 1) // 2
-                own = [dna[i : i + k] for i in range(len(dna) - k + 1)] if k > _WIDEST else _words(dna, k)
-                if own is None:
-                    own = [dna[i : i + k] for i in range(len(dna) - k + 1)]
-                other = reverse_complement(dna)
-                back = _words(other, k) if isinstance(own, np.ndarray) else [other[i : i + k] for i in range(len(other) - k + 1)]
-                again = len(np.unique(own)) < len(own) or np.isin(own, back).any() if isinstance(own, np.ndarray) else len(set(own)) < len(own) or not set(own).isdisjoint(back)
-                lo, hi = (k, hi) if again else (lo, k - 1)
-            out.append(lo)
+        column = batch.column(1).fill_null("")
+        whole = Run(column)
+        other = np.add.reduceat(np.append(whole.codes > 3, False), whole.first[:-1], dtype=np.int64)
+        short = (whole.size <= 64) & ((other == 0) | (whole.size == 0))
+        out = np.zeros(len(column), dtype=np.int64)
+        out[short] = _longest_repeats(Run(column.filter(pa.array(short))))
+        rest = np.flatnonzero(~short)
+        out[rest] = [_longest_repeat(dna) for dna in column.take(pa.array(rest)).to_pylist()]
         return None, [pa.array(out, pa.int64())]
 
     return kernel(seqs, run, "longest long", whole=True)

@@ -188,7 +188,7 @@ def seeded_runs(spark, d):
 
 @query("longest_repeat")
 def longest_repeat(spark, d):
-    return rules.longest_repeat(derive.dna_event(spark, d))
+    return rules.longest_repeat(derive.dna_event_spread(spark, d))
 
 
 @query("pooled_detail", f"WITH {RISK}, c AS (SELECT seq_id, count(*) AS n_scored FROM site GROUP BY 1) SELECT seq_id, round(risk, 6) AS risk, n_scored, n_above, n_above = 0 AS below_background FROM risk JOIN c USING (seq_id)")

@@ -3,7 +3,8 @@
 import random
 import time
 
-from strandweave.operators import models
+from strandweave.core.genetic import reverse_complement
+from strandweave.operators import models, rules
 from strandweave.plans import solve as S
 
 
@@ -38,3 +39,31 @@ def test_many_folds_take_seconds(spark):
     began = time.time()
     assert models.folded(frame).where("energy <= 0").count() == 20_000
     assert time.time() - began < 15
+
+
+def test_many_longest_repeats_take_seconds(spark):
+    """Before, a sequence of 32 bases took over a millisecond."""
+    rng = random.Random(5)
+    dna = ["".join(rng.choices("ACGT", k=32)) for _ in range(40_000)]
+    frame = spark.createDataFrame(list(enumerate(dna)), "seq_id long, dna string").coalesce(1).cache()
+    frame.count()
+    began = time.time()
+    assert rules.longest_repeat(frame).where("longest > 0").count() == 40_000
+    assert time.time() - began < 15
+
+
+def test_longest_repeats_of_all_lengths(spark):
+    def plain(s):
+        n, back = len(s), reverse_complement(s)
+        words = lambda t, k: [t[i : i + k] for i in range(n - k + 1)]
+        return max((k for k in range(1, n + 1) if len(set(words(s, k))) <= n - k or set(words(s, k)) & set(words(back, k))), default=0)
+
+    dna = ["", None, "é", "éé", "RY", "acgt", "T" * 32, "T" * 64, "T" * 65, "ACGT" * 16, "ACGTN" * 13, *_some(40), *_some(20, "AC", seed=6), *_some(20, "ACGTN", seed=7), *_some(5, longest=400, seed=8)]
+    got = {r["seq_id"]: r["longest"] for r in rules.longest_repeat(spark.createDataFrame(list(enumerate(dna)), "seq_id long, dna string")).collect()}
+    assert got == {i: plain(s or "") for i, s in enumerate(dna)}
+
+
+def test_a_long_copied_half_fits_in_memory(spark):
+    """Before, words of 30,000 letters were spelled out at 30,000 places: 0.9 GB for each strand."""
+    half = "".join(random.Random(9).choices("ACGT", k=30_000))
+    assert rules.longest_repeat(spark.createDataFrame([(1, half + half)], "seq_id long, dna string")).first()["longest"] == 30_000
