@@ -4,13 +4,17 @@ import math
 import random
 import time
 
+import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 
+from strandweave import study_queries  # noqa: F401  registers its SQL with the others
 from strandweave.core.genetic import reverse_complement
 from strandweave.operators import metrics, models, profiles, rules
 from strandweave.operators.kernels import Run
 from strandweave.plans import solve as S
+from strandweave.queries import ORACLES
 
 
 def _some(n, letters="ACGT", longest=70, seed=1):
@@ -87,3 +91,28 @@ def test_site_scores_do_not_depend_on_the_exponential_of_numpy(monkeypatch):
             for column, letter in zip(odds, dna[at:], strict=False):
                 total += float(column["ACGT".index(letter)])
             assert got == 1 / (1 + math.exp(-total))
+
+
+def test_near_ties_are_called_as_in_sql(spark, monkeypatch):
+    """Before, calls among windows that score alike up to the last bits were numpy's, and the rank correlation with them."""
+    rng = random.Random(11)
+    shuffled = lambda s: "".join(rng.sample(s, len(s)))
+    docs = [(i, "".join(shuffled("GAGGTAGGGGG") + "TAGC" for _ in range(40))) for i in range(12)]
+    real = np.exp
+    odd = lambda x: np.where(x.view(np.int64) % 3 == 0, np.nextafter(real(x), np.inf), real(x))
+
+    def here(seqs, work, columns):
+        rows = [(r["seq_id"], r["dna"]) for r in seqs.collect()]
+        at, (pos, score) = work(Run(pa.array([dna for _, dna in rows])))
+        return spark.createDataFrame([(rows[i][0], p, s) for i, p, s in zip(at.tolist(), pos.tolist(), score.tolist(), strict=True)], "seq_id long, " + columns)
+
+    monkeypatch.setattr(profiles, "kernel", here)
+    monkeypatch.setattr(np, "exp", odd)
+    scores = profiles.both_sites(spark.createDataFrame(docs, "seq_id long, dna string")).withColumnsRenamed({"kind": "backend", "seq_id": "window"}).cache()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    _, _, rho, n = con.execute(ORACLES["site_call_spearman"]).fetchone()
+    got = metrics.call_correlation(scores).first()
+    assert got["n"] == n and got["spearman"] == pytest.approx(rho, abs=1e-6)
+    assert tuple(metrics.call_agreement(scores).select("both", "only_a", "only_b").first()) == con.execute(ORACLES["site_call_agreement"]).fetchone()[2:5]
