@@ -97,6 +97,30 @@ def both_sites(seqs: DataFrame) -> DataFrame:
     return site_scores(seqs, "donor").withColumn("kind", F.lit("donor")).unionByName(site_scores(seqs, "acceptor").withColumn("kind", F.lit("acceptor")))
 
 
+def called_sites(seqs: DataFrame, top_k: int = 3) -> DataFrame:
+    """The rows of ``both_sites`` at positions that are among the ``top_k`` highest of either kind in their sequence, the first of equal scores.
+
+    They are found within the row: no other position leaves the kernel.
+    """
+    tracks = {k: _odds(k) for k in ("donor", "acceptor")}
+
+    def pick(run: Run):
+        called, found = np.zeros(len(run.codes), dtype=bool), []
+        for kind, (odds, anchor) in tracks.items():
+            row, place, score = _site_track(run, odds)
+            place = place + anchor
+            at = run.first[row] + place
+            order = np.lexsort((-score, row))
+            _, head, n = np.unique(row, return_index=True, return_counts=True)
+            called[at[order[np.arange(len(row)) - np.repeat(head, n) < top_k]]] = True
+            found.append((kind, row, place, score, at))
+        kept = [(row[m], place[m], score[m], [kind] * int(m.sum())) for kind, row, place, score, at in found for m in [called[at]]]
+        row, place, score, kind = (np.concatenate([k[i] for k in kept]) for i in range(4))
+        return row, [place.astype(np.int32), score, pa.array(kind.tolist(), pa.string())]
+
+    return kernel(seqs, pick, "pos int, score double, kind string")
+
+
 def peaks(scores: DataFrame, threshold: float) -> DataFrame:
     """One row for each run of consecutive positions over the threshold: its first highest position."""
     high = scores.where(F.col("score") > threshold)

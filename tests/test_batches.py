@@ -14,7 +14,7 @@ from strandweave.core.genetic import reverse_complement
 from strandweave.operators import metrics, models, profiles, rules
 from strandweave.operators.kernels import Run
 from strandweave.plans import solve as S
-from strandweave.queries import ORACLES
+from strandweave.queries import ORACLES, QUERIES
 
 
 def _some(n, letters="ACGT", longest=70, seed=1):
@@ -116,3 +116,29 @@ def test_near_ties_are_called_as_in_sql(spark, monkeypatch):
     got = metrics.call_correlation(scores).first()
     assert got["n"] == n and got["spearman"] == pytest.approx(rho, abs=1e-6)
     assert tuple(metrics.call_agreement(scores).select("both", "only_a", "only_b").first()) == con.execute(ORACLES["site_call_agreement"]).fetchone()[2:5]
+
+
+def test_calls_are_found_within_the_row_as_in_sql(spark, tmp_path):
+    """Before, every position left the kernel, once to be called and again for each side's scores."""
+    rng = random.Random(12)
+    shuffled = lambda s: "".join(rng.sample(s, len(s)))
+    texts = [None, "", "xyz", "ACGTACGT", "acgtacgta", "ACGTACGTACGTAC", "A" * 40, "é GAGGTAAGT ü tttttttttttncagg", *("".join(shuffled("GAGGTAGGGGG") + "TAGC" for _ in range(30)) for _ in range(12)), *_some(40, "ACGTacgtn \n", seed=13)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    sql = ORACLES["site_call_spearman"]
+    sites = con.execute(sql[: sql.index(", j AS (")] + " SELECT site.* FROM site JOIN c USING (seq_id, pos)").fetchall()
+    got = profiles.called_sites(docs.selectExpr("doc_id AS seq_id", "upper(regexp_replace(text, '[^ACGTacgt]', '')) AS dna"))
+    assert sorted(map(tuple, got.select("seq_id", "pos", "kind", "score").collect())) == sorted(sites)
+    assert tuple(QUERIES["site_call_spearman"](spark, str(tmp_path)).first()) == con.execute(sql).fetchone()
+
+
+def test_calls_among_many_positions_take_seconds(spark, tmp_path):
+    """Before, 12 million scored positions were shuffled for the calls and for each side: 99 seconds on 8 cores, 13 now."""
+    rng = random.Random(14)
+    docs = spark.createDataFrame([(i, "".join(rng.choices("ACGT", k=2000))) for i in range(3000)], "doc_id long, text string")
+    docs.repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.time()
+    assert 17_900 < QUERIES["site_call_spearman"](spark, str(tmp_path)).first()["n"] <= 18_000
+    assert time.time() - began < 45
