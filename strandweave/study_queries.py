@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandweave.api import PACKAGING
 from strandweave.core import genetic as G
-from strandweave.core.session import checkpoint, read
+from strandweave.core.session import bounded, checkpoint, read
 from strandweave.functions import dna as D
 from strandweave.operators import boards, enzymes, etl, metrics, models, panels, profiles, rules, usage
 from strandweave.plans import config, solve
@@ -52,7 +52,13 @@ def expression_gate(spark, d):
 
 @query("site_call_spearman", f"WITH {SITES}, k AS (SELECT *, row_number() OVER (PARTITION BY kind, seq_id ORDER BY score DESC, pos) AS r FROM site), c AS (SELECT DISTINCT seq_id, pos FROM k WHERE r <= 3), j AS (SELECT coalesce(a.score, 0) AS x, coalesce(b.score, 0) AS y FROM c LEFT JOIN (FROM site WHERE kind = 'acceptor') a ON a.seq_id = c.seq_id AND a.pos = c.pos LEFT JOIN (FROM site WHERE kind = 'donor') b ON b.seq_id = c.seq_id AND b.pos = c.pos), r AS (SELECT {_RANKED.format(k='1', c='x')} AS rx, {_RANKED.format(k='1', c='y')} AS ry FROM j) SELECT 'acceptor' AS backend_a, 'donor' AS backend_b, round(corr(rx, ry), 6) AS spearman, count(*) AS n FROM r")
 def site_call_spearman(spark, d):
-    scores = profiles.called_sites(derive.dna_doc_spread(spark, d)).select(F.col("kind").alias("backend"), F.col("seq_id").alias("window"), "pos", "score")
+    seqs = derive.dna_doc_spread(spark, d)
+    repeated = checkpoint(read(spark, d, "documents").groupBy(F.col("doc_id").alias("seq_id")).count().where("count > 1").select("seq_id"))
+    sites = profiles.called_sites(seqs)
+    if not repeated.isEmpty():  # calls are made by doc_id: of one with several rows, every position may be asked for
+        repeated = bounded(repeated, 100_000)
+        sites = profiles.called_sites(seqs.join(repeated, "seq_id", "left_anti")).unionByName(profiles.both_sites(seqs.join(repeated, "seq_id", "left_semi")))
+    scores = sites.select(F.col("kind").alias("backend"), F.col("seq_id").alias("window"), "pos", "score")
     return metrics.call_correlation(checkpoint(scores))
 
 

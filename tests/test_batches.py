@@ -134,6 +134,14 @@ def test_calls_are_found_within_the_row_as_in_sql(spark, tmp_path):
     assert tuple(QUERIES["site_call_spearman"](spark, str(tmp_path)).first()) == con.execute(sql).fetchone()
 
 
+def test_calls_of_documents_with_one_id_are_made_together(spark, tmp_path):
+    rows = [(i // 2, t) for i, t in enumerate(_some(40, longest=120, seed=15))] + [(None, t) for t in _some(3, seed=16)] + [(i, t) for i, t in enumerate(_some(20, longest=120, seed=17), 100)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert tuple(QUERIES["site_call_spearman"](spark, str(tmp_path)).first()) == con.execute(ORACLES["site_call_spearman"]).fetchone()
+
+
 def test_calls_among_many_positions_take_seconds(spark, tmp_path):
     """Before, 12 million scored positions were shuffled for the calls and for each side: 99 seconds on 8 cores, 13 now."""
     rng = random.Random(14)
