@@ -20,10 +20,9 @@ from pyspark.sql import functions as F
 from strandweave.core.session import bounded, checkpoint, ship
 from strandweave.llm import textscan
 from strandweave.llm.sharding import numbered
-from strandweave.llm.tokens import SegmentEncoder, default_path
+from strandweave.llm.tokens import TextEncoder, default_path
 
 LENGTH = 1024
-RUN_BYTES = (2 << 20) - (1 << 12)  #: of texts tokenised at once: each run looks up its segments anew
 CUT_DOCS = 100_000  #: most documents whose cuts are broadcast
 GAP = 5e-3  #: the linear program stops within this share of its lower bound
 COLUMNS = 24  #: columns taken from one pricing
@@ -249,8 +248,8 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Da
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches):
-        encoder = SegmentEncoder(path)
-        for part in textscan.runs(batches, limit=RUN_BYTES):
+        encoder = TextEncoder(path)
+        for part in textscan.runs(batches):
             ids, first = encoder.encode(part.column(1))
             ids = ids.astype("<u4", copy=False)
             ends = np.zeros(1, "<u4").tobytes()
@@ -272,7 +271,7 @@ def _cut(docs: DataFrame, cuts: DataFrame, path: str) -> DataFrame:
     names = [*_PIECE, "here", "first_crc32", "second_crc32"]
 
     def run(batches):
-        encoder = SegmentEncoder(path)
+        encoder = TextEncoder(path)
         for batch in batches:
             for part in textscan.runs([batch]):
                 ids, first = encoder.encode(part.column(part.schema.get_field_index("text")))

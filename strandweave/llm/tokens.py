@@ -1,4 +1,4 @@
-"""Byte-BPE token ids of whole texts, with the work done once for each distinct segment."""
+"""Byte-BPE token ids of whole texts."""
 
 from __future__ import annotations
 
@@ -11,10 +11,12 @@ import pyarrow as pa
 
 from strandweave.llm import textscan
 
-CACHE_SEGMENTS = 100_000
+LONG_SPACE = 100_000  #: bytes of white space in a row that go through ``tokenizers``
 
-#: White space of the pre-tokenizer's pattern that is not ASCII white space; texts that hold it are encoded whole.
+#: White space other than ASCII's, and the bytes that its UTF-8 forms begin with.
 _WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_WIDE_FIRST = np.zeros(256, dtype=bool)
+_WIDE_FIRST[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def default_path() -> str:
@@ -30,15 +32,14 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(other)) for b in range(256)]
 
 
-class SegmentEncoder:
+class TextEncoder:
     """Ids as the tokenizer gives them for whole texts.
 
-    The pre-tokenizer never joins a character with white space after it, so a
-    text's ids are those of its segments (white space and the word after it)
-    end to end. Each distinct segment is encoded once and remembered by a
-    128-bit hash, in a cache of bounded size. Segments go through the faster of
-    two libraries over the same vocabulary; those that hold a special token's
-    text, and texts with other white space than ASCII's, through ``tokenizers``.
+    Texts go through the faster of two libraries over the same vocabulary.
+    Those that hold a special token's text, other white space than ASCII's or
+    more white space in a row than the faster one's pattern can take go
+    through ``tokenizers``. Nothing is remembered between texts: where words
+    are ever new, looking them up costs more than encoding them again.
     """
 
     def __init__(self, path: str):
@@ -52,8 +53,7 @@ class SegmentEncoder:
         self.path, self._whole = path, None
         to_byte = {c: b for b, c in enumerate(_byte_letters())}
         ranks = {bytes(to_byte[c] for c in piece): i for piece, i in vocab.items() if piece not in self.added}
-        self.plain = tiktoken.Encoding("segments", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.forget()
+        self.plain = tiktoken.Encoding("texts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     @property
     def tokenizer(self):
@@ -64,66 +64,23 @@ class SegmentEncoder:
             self._whole = Tokenizer.from_file(self.path)
         return self._whole
 
-    def forget(self) -> None:
-        self.slot: dict[tuple[int, int], int] = {}
-        self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.start = [0]
-
-    def _learn(self, keys: list[tuple[int, int]], segments: list[str]) -> None:
-        plain = self.plain.encode_ordinary
-        found = [plain(x) for x in segments]
-        for i, x in enumerate(segments):
-            if "<" in x and any(t in x for t in self.added):
-                found[i] = self.tokenizer.encode(x, add_special_tokens=False).ids
-        need = self.start[-1] + sum(map(len, found))
-        while need > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        for key, ids in zip(keys, found, strict=True):
-            a = self.start[-1]
-            self.ids[a : a + len(ids)] = ids
-            self.slot[key] = len(self.start) - 1
-            self.start.append(a + len(ids))
-
-    def _segments(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        w = textscan.words(column)
-        _, off = textscan.text_bytes(column)
-        raw, ends = w.raw, w.end
-        # a segment ends with each word, and with each text that ends in white space
-        tail = off[1:][(off[1:] > off[:-1])]
-        cut = np.union1d(ends, tail)
-        begin = np.concatenate([[0], cut[:-1]]).astype(np.int64)
-        h1, h2 = textscan.segment_hash(raw, begin, cut)
-        order = np.argsort(h1, kind="stable")
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-        lead = order[new]
-        group = np.empty(len(order), dtype=np.int64)
-        group[order] = np.cumsum(new) - 1
-        if len(self.slot) > CACHE_SEGMENTS:
-            self.forget()
-        keys = list(zip(h1[lead].tolist(), h2[lead].tolist(), strict=True))
-        fresh = [i for i, k in enumerate(keys) if k not in self.slot]
-        if fresh:
-            text, at = raw.tobytes(), lead[fresh]
-            self._learn([keys[i] for i in fresh], [text[a:b].decode() for a, b in zip(begin[at].tolist(), cut[at].tolist(), strict=True)])
-        slot = np.fromiter((self.slot[k] for k in keys), np.int64, len(keys))[group]
-        start = np.asarray(self.start, dtype=np.int64)
-        size = (start[1:] - start[:-1])[slot]
-        flat = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[slot], size)
-        upto = np.concatenate([[0], np.cumsum(size)])
-        return self.ids[flat], upto[np.searchsorted(cut, off, side="right")]
+    def _odd(self, column: pa.Array, texts: list[str | None]) -> set[int]:
+        """The texts that ``tokenizers`` encodes."""
+        raw, off = textscan.text_bytes(column)
+        rare = np.unique(np.searchsorted(off, np.flatnonzero(_WIDE_FIRST[raw]), side="right") - 1)
+        odd = {i for i in rare.tolist() if _WIDE_SPACE.search(texts[i])}
+        for i in np.flatnonzero(np.diff(off) >= LONG_SPACE).tolist():
+            solid = np.flatnonzero(~textscan.IS_SPACE[raw[off[i] : off[i + 1]]])
+            if np.diff(solid, prepend=-1, append=off[i + 1] - off[i]).max() > LONG_SPACE:
+                odd.add(i)
+        return odd | {i for i, x in enumerate(texts) if x and any(t in x for t in self.added)}
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, each text's first id with the total at the end); null texts are empty."""
-        ids, first = self._segments(column) if len(column) else (np.zeros(0, np.uint32), np.zeros(1, np.int64))
-        raw, _ = textscan.text_bytes(column)
-        if not (((raw >= 0x1C) & (raw <= 0x1F)) | (raw == 0xC2) | ((raw >= 0xE1) & (raw <= 0xE3))).any():
-            return ids, first
         texts = column.to_pylist()
-        odd = [i for i, t in enumerate(texts) if t and _WIDE_SPACE.search(t)]
-        if not odd:
-            return ids, first
-        parts = [ids[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        for i in odd:
-            parts[i] = np.asarray(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype=np.uint32)
-        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        odd, plain = self._odd(column, texts), self.plain.encode_ordinary
+        parts = [np.zeros(0, np.uint32)]
+        for i, x in enumerate(texts):
+            found = [] if not x else self.tokenizer.encode(x, add_special_tokens=False).ids if i in odd else plain(x)
+            parts.append(np.fromiter(found, np.uint32, len(found)))
+        return np.concatenate(parts), np.cumsum([len(p) for p in parts])

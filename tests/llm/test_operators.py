@@ -3,14 +3,16 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from strandweave.llm import ann, decontaminate, langid, linededup, packing, repeats, sharding, simhash, suffixes, toxicity
+from strandweave.llm import ann, decontaminate, langid, linededup, packing, repeats, sharding, simhash, suffixes, tokens, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -226,6 +228,33 @@ def test_packing_cuts_what_cannot_fill(spark, monkeypatch):
         assert used - total < 1024
 
 
+def test_packing_encodes_new_words_at_the_price_of_the_library():
+    """Texts whose words are ever new, as invented prose has them: a memory of words costs more than it saves."""
+    rng = random.Random(2)
+    parts = ["the", "re", "on", "an", "ing", "tion", "er", "ha", "le", "éa", "ou", "st", "nd", "wh"]
+    texts = [" ".join("".join(rng.choices(parts, k=rng.randint(1, 6))) for _ in range(2000)) for _ in range(60)]
+    plain, whole = [], []
+    for _ in range(3):
+        encoder, column = tokens.TextEncoder(packing.default_path()), pa.array(texts)  # one that has not met the words
+        at = time.process_time()
+        encoder.encode(column)
+        whole.append(time.process_time() - at)
+        at = time.process_time()
+        for t in texts:
+            encoder.plain.encode_ordinary(t)
+        plain.append(time.process_time() - at)
+    assert min(whole) < 2 * min(plain)
+
+
+def test_packing_encodes_odd_texts_whole():
+    odd = ["a" + " " * 1_000_000 + "b", "a" + "\n \t" * 400_000, "x <|endoftext|> y", "a\xa0 b\u3000c", "", None, " ", "plain text", "a\r\n\r\nb  ", "<|endoftext|>"]
+    encoder = tokens.TextEncoder(packing.default_path())
+    ids, first = encoder.encode(pa.array(odd))
+    for t, a, b in zip(odd, first[:-1], first[1:], strict=True):
+        assert ids[a:b].tolist() == encoder.tokenizer.encode(t or "", add_special_tokens=False).ids
+    assert encoder.encode(pa.array([], pa.string()))[1].tolist() == [0]
+
+
 @pytest.mark.parametrize("n", [1, 30, 3000])
 def test_plan_places_every_piece_once(n):
     rng = np.random.default_rng(n)
